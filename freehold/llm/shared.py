@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,8 +18,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 class Scratch:
     """Parquet tables in the shared folder that the session names in spark.checkpoint.dir.
 
-    A saved table cuts the lineage and outlives any executor. drop() removes a
-    table that is no longer read, so that a long job's disk use stays level.
+    A saved table cuts the lineage and outlives any executor. save() also lets
+    the session's cleaner see that earlier shuffles are done with, and drop()
+    removes a table that is no longer read, so a long job's disk use stays level.
     """
 
     def __init__(self, spark: SparkSession):
@@ -39,6 +41,8 @@ class Scratch:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return back
 
     def drop(self, *tables: DataFrame) -> None:
