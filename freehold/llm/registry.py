@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import additive, bpe, divergence, jaccard, mixing, subword, urls
+from . import additive, bpe, chaining, divergence, jaccard, mixing, subword, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op4_substring_dedup": chaining.op4_substring_dedup,
     "op5_quality_classifier": additive.op5_quality_classifier,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_toxicity": subword.op7_toxicity,
