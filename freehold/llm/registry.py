@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import additive, bpe, chaining, divergence, jaccard, mixing, subword, urls
+from . import additive, bpe, chaining, divergence, hilbert, jaccard, licences, mixing, subword, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_licence_scan": licences.op3_licence_scan,
     "op4_substring_dedup": chaining.op4_substring_dedup,
     "op5_quality_classifier": additive.op5_quality_classifier,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_toxicity": subword.op7_toxicity,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_hilbert_neighbours": hilbert.op9_hilbert_neighbours,
     "op10_quality_rules": divergence.op10_quality_rules,
 }
 ORACLE_SQL = {
