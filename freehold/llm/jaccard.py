@@ -94,21 +94,54 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
+def choose_level(n: int, df: np.ndarray) -> tuple[int, int]:
+    """(level, shared shingles in its prefix) of least estimated cost for a node of n shingles.
+
+    df holds the frequencies of the node's shared shingles, rare first. A level's
+    cost is its prefix's postings, and at most postings / level verifications.
+    """
+    least = -(-n * PERCENT // 100)
+    mass = np.concatenate([[0], np.cumsum(df - 1)])
+    best = (np.inf, 1, 0)
+    for level in LEVELS:
+        if level > max(1, least):
+            break
+        k = int(min(len(df), max(0, n - least + level - (n - len(df)))))  # shingles that no other node has come first and match nothing
+        best = min(best, (mass[k] * (1 + min(n, 512) / (16 * level)), level, k))
+    return best[1:]
+
+
 def with_prefixes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, n, level, pre, all): from (node, t, df) the shared shingles of each node of sizes, in order.
+    """(node, n, level, pre, all): from (node, t, df) the shared shingles of each node of sizes.
 
-    ``all`` are they as bytes, sorted by value; ``pre`` the shared ones in the
-    node's own prefix. Nodes whose prefix holds fewer than their level could
-    still match a node of a lower level, so only empty prefixes are dropped.
+    ``pre`` are those in the node's own prefix, ``all`` the whole of them sorted
+    by value. A prefix without any can meet no other node, so such nodes go.
     """
-    per_node = shared.groupBy("node").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "t")))).alias("s")).join(sizes, "node")
-    lone = F.col("n") - F.size("s")  # shingles that no other node has come first and match nothing
-    k = lambda level: F.greatest(F.lit(0), F.least(F.size("s"), F.col("n") - _rest(F.col("n")) + F.lit(level) - lone)).cast("int")
-    mass = lambda level: F.aggregate(F.slice("s", 1, k(level)), F.lit(0.0), lambda a, x: a + x["df"] - 1)
-    costs = F.array(*[F.struct((mass(v) * (F.lit(1.0) + F.least(F.col("n"), F.lit(512)) / F.lit(16.0 * v))).alias("cost"), F.lit(v).alias("level")) for v in LEVELS])
-    out = per_node.withColumn("level", F.least(F.array_min(costs)["level"], F.greatest(_rest(F.col("n")), F.lit(1))))
-    size = F.greatest(F.lit(0), F.least(F.size("s"), F.col("n") - _rest(F.col("n")) + F.col("level") - lone)).cast("int")
-    return out.withColumn("k", size).where("k > 0").select("node", "n", "level", F.transform(F.slice("s", 1, F.col("k")), lambda x: x["t"]).alias("pre"), F.sort_array(F.transform("s", lambda x: x["t"])).alias("all"))
+    per_node = shared.groupBy("node").agg(F.collect_list(F.struct("df", "t")).alias("s")).join(sizes, "node").select("node", "n", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("s")
+            cuts, flat_s = lists.offsets.to_numpy(), lists.values
+            df, t = flat_s.field("df").to_numpy(), flat_s.field("t").to_numpy()
+            rows, levels, pres, alls = [], [], [], []
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                mine = slice(cuts[i], cuts[i + 1])
+                values, first = np.unique(t[mine], return_index=True)
+                f = df[mine][first]
+                order = np.lexsort((values, f))
+                level, k = choose_level(n, f[order])
+                if k:
+                    rows.append(i)
+                    levels.append(level)
+                    pres.append(values[order[:k]])
+                    alls.append(values)
+            if rows:
+                at = pa.array(rows)
+                listed = lambda arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)), pa.array(np.concatenate(arrays)))
+                yield pa.record_batch([batch.column("node").take(at), batch.column("n").take(at), pa.array(levels, pa.int32()), listed(pres), listed(alls)], ["node", "n", "level", "pre", "all"])
+
+    return per_node.mapInArrow(run, "node long, n long, level int, pre array<long>, all array<long>")
 
 
 def _linked(n_a, n_b, common):
