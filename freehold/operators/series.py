@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..constants import ANCHOR_MONTHS, DAYS_PER_YEAR, MIN_SAMPLE, MIN_YEARS_FOR_CAGR
 from ..functions.clean import cagr_pct, half_up, pct_change
 
+#: 1970-01-01 as days since the year 1: midpoints are rounded half to even as such ordinals.
+EPOCH_ORDINAL = 719_163
 GROWTH_METRICS = ("capital_growth", "sale_price_m2")
 METRICS = {"capital_growth": "capital_growth_cagr_pct", "gross_yield": "gross_rental_yield_pct", "total_return": "gross_total_return_pct", "sale_price_m2": "end_value_aed_m2", "rent_m2": "median_rent_aed_m2_year"}
 
@@ -49,7 +51,7 @@ def anchor_window(points: DataFrame, key: str = "entity_id", months: int = ANCHO
     aggs = []
     for name, where in (("start", F.col("_a") <= months), ("end", F.col("_z") <= months)):
         n = F.when(where, F.col("sale_cnt"))
-        mid = F.bround(F.sum(F.unix_date("month") * n).cast("double") / F.sum(n)).cast("int")
+        mid = (F.bround(F.sum(F.unix_date("month") * n).cast("double") / F.sum(n) + EPOCH_ORDINAL) - EPOCH_ORDINAL).cast("int")
         aggs += [_mean("sale_median_price_m2", "sale_cnt", where).alias(f"{name}_value"), F.sum(n).alias(f"{name}_sample_size"), F.date_from_unix_date(mid).alias(f"{name}_midpoint"), F.count_if(where).alias(f"{name}_months")]
     return r.groupBy(key).agg(*aggs)
 

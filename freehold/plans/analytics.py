@@ -247,7 +247,7 @@ def _series_sql(key: str, pts: str = "mpts") -> list[str]:
     desc = ", ".join(f"{t.strip()} DESC" for t in tie.split(","))
     rk = lambda v, n, name: f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {tie}) AS a, row_number() OVER (PARTITION BY {key} ORDER BY {desc}) AS z FROM {pts} WHERE {v} IS NOT NULL AND {n} > 0)"
     mean = lambda v, n: f"sum(round({v} * 100)::BIGINT * {n})::DOUBLE / sum({n})::DOUBLE / 100"
-    end = lambda c: f"SELECT {key}, {mean('v', 'n')} AS val, sum(n)::BIGINT AS smp, DATE '1970-01-01' + round_even(sum((month - DATE '1970-01-01') * n)::DOUBLE / sum(n), 0)::INT AS mid, count(*) AS k FROM rs WHERE {c} <= 12 GROUP BY 1"
+    end = lambda c: f"SELECT {key}, {mean('v', 'n')} AS val, sum(n)::BIGINT AS smp, DATE '1970-01-01' + (round_even(sum((month - DATE '1970-01-01') * n)::DOUBLE / sum(n) + 719163, 0) - 719163)::INT AS mid, count(*) AS k FROM rs WHERE {c} <= 12 GROUP BY 1"
     r2 = lambda x: f"round(({x})::DECIMAL(20,6), 2)::DOUBLE"
     return [
         rk("v", "n", "rs"), rk("rv", "rn", "rr"), f"st AS ({end('a')})", f"en AS ({end('z')})",
