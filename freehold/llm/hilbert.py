@@ -35,8 +35,8 @@ from .shared import Scratch
 #: Vectors that planes and ranges are fitted on at most (a hash of the id chooses).
 SAMPLE_ROWS = 10_000
 CURVES, PLANE_DIMS, BITS, RANGES, REACH, PROBES = 24, 4, 6, 32, 1, 14
-#: Vectors that one block of a key range holds about.
-BLOCK_ROWS = 4096
+#: Vectors that a key range holds at least (fewer vectors, fewer ranges), and that one block of a range holds about.
+RANGE_ROWS, BLOCK_ROWS = 64, 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -115,8 +115,10 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     asked = queries.select("rep").distinct().withColumn("asked", F.lit(True))
 
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").toArrow()
+    n_classes = classes.count()
+    ranges = min(ranges, max(1, n_classes // RANGE_ROWS))
     index = spark.sparkContext.broadcast(CurveIndex(_matrix(sample.column("v")), curves, PLANE_DIMS, BITS, ranges))
-    blocks = max(1, -(-classes.count() // (ranges * BLOCK_ROWS)))
+    blocks = max(1, -(-n_classes // (ranges * BLOCK_ROWS)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,6 +151,21 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300, r
     return w, b
 
 
+def _template_pairs(spark: SparkSession) -> list[tuple[str, list[int]]]:
+    """(family, word pair hashes) of each template."""
+    made = spark.createDataFrame([(n, t) for n, texts in TEMPLATES.items() for t in texts], "name string, line string")
+    return [tuple(r) for r in made.select("name", let(_tokens(F.col("line")), lambda t: F.array_distinct(_pairs(t)))).collect()]
+
+
+def _array(hashes: Sequence[int]) -> Column:
+    return F.array(*[F.lit(h) for h in hashes]) if hashes else F.array().cast("array<bigint>")
+
+
+def _like_a_template(line: Column, templates: Sequence[tuple[str, list[int]]]) -> Column:
+    known = F.array(*[_array(p) for _, p in templates])
+    return let(F.array_distinct(_pairs(_tokens(line))), lambda p: F.exists(known, lambda t: F.size(F.array_intersect(p, t)) >= MIN_OVERLAP * F.size(t)))
+
+
 def train(docs: DataFrame, text_col: str = "text", sample_lines: int = SAMPLE_LINES) -> LicenceModel:
     """Fits both regressions on the templates' variants and at most sample_lines lines of docs."""
     spark = docs.sparkSession
@@ -159,7 +174,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_lines: int = SAMPLE_LI
     positive = made.collect()  # a few hundred rows
     lines = docs.select(F.explode(F.split(docs[text_col], "\n")).alias("line")).where("length(line) between 20 and 2000")
     lines = lines.where(~F.lower("line").rlike("licen[sc]e|copyright|all rights")).orderBy(F.xxhash64("line"), "line").limit(sample_lines)
-    negative = [r["x"] for r in lines.select(let(_tokens(F.col("line")), _buckets).alias("x")).collect()]
+    negative = [r["x"] for r in lines.where(~_like_a_template(F.col("line"), _template_pairs(spark))).select(let(_tokens(F.col("line")), _buckets).alias("x")).collect()]
 
     families = [*TEMPLATES, "unknown"]
 
@@ -192,10 +207,8 @@ def scan(docs: DataFrame, model: LicenceModel, keep: Sequence[str] = ("doc_id",)
     found = _vector(model.found)
     named = F.array(*[_vector(model.named[:, k]) for k in range(len(model.families))])
     biases, names = F.array(*[F.lit(float(b)) for b in model.named_bias]), F.array(*[F.lit(n) for n in model.families])
-    spark = docs.sparkSession
-    texts = [(k, t) for k, name in enumerate(model.families) for t in TEMPLATES.get(name, ())]
-    hashed = spark.createDataFrame(texts, "k int, line string").select("k", let(_tokens(F.col("line")), lambda t: F.array_distinct(_pairs(t))).alias("p")).collect()  # the templates
-    templates = F.array(*[F.array(*[F.array(*[F.lit(h) for h in r["p"]]) for r in hashed if r["k"] == k] or [F.array().cast("array<bigint>")]) for k in range(len(model.families))])
+    pairs = _template_pairs(docs.sparkSession)
+    templates = F.array(*[F.array(*[_array(p) for n, p in pairs if n == name] or [_array(())]) for name in model.families])
 
     def judge(line: Column) -> Column:
         def named_by(tokens: Column) -> Column:

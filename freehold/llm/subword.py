@@ -30,7 +30,7 @@ from .wordnum import mix64, slices
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 2_500
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
-BUCKET_BITS, DIMS, EPOCHS, BATCH, RATE = 17, 4, 6, 100, 0.02
+BUCKET_BITS, DIMS, EPOCHS, MIN_STEPS, BATCH, RATE = 17, 4, 6, 150, 100, 0.02
 _GRAMS = (3, 4, 5)
 _SCALE = 50.0  # of a mean vector, so that a rare word in a long text still counts
 _LETTER = np.zeros(128, bool)
@@ -111,9 +111,10 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, prior_sh
     bias = np.log([1 - share, share]).astype(np.float32)
     shares = [c.astype(np.float32) * np.float32(_SCALE / max(1, c.sum())) for c in counts]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, out, bias)]
-    step = 0
-    for epoch in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
+    step, batches = 0, -(-len(y) // BATCH)
+    epochs = max(EPOCHS, -(-MIN_STEPS // batches))
+    for epoch in range(epochs):
+        for part in np.array_split(rng.permutation(len(y)), batches):
             at = np.concatenate([ids[i] for i in part])
             w = np.concatenate([shares[i] for i in part])
             row = np.repeat(np.arange(len(part)), [len(ids[i]) for i in part])
@@ -128,7 +129,7 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, prior_sh
             back = (p @ out.T)[row] * w[:, None]
             g = np.stack([np.bincount(at, back[:, k], size) for k in range(DIMS)], axis=1).astype(np.float32)
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for q, grad, (m, v) in zip((vectors, out, bias), (g, bag.T @ p, p.sum(0)), state, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
