@@ -164,3 +164,37 @@ def judge_documents(
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return judge_documents(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """DuckDB SQL of op10_quality_rules for tables of distinct ids."""
+    kinds = ", ".join(f"length(regexp_replace(t, '{p.replace('++', '+').replace(chr(39), chr(39) * 2)}', '', 'g')) AS {n}" for n, p in CLASSES.items())
+    bins = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{n}' AS bin, {n} AS n FROM c" for n in CLASSES)
+    rest = " - ".join(CLASSES)
+    listed = ", ".join(f"('{code}', '{w}')" for code, ws in COMMON_WORDS.items() for w in ws)
+    codes = ", ".join(f"'{c}'" for c in COMMON_WORDS if c != "other")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({codes}) THEN lang ELSE 'other' END AS lang FROM documents),
+w AS (SELECT doc_id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, lang, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+tri AS (SELECT doc_id, i, w, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, a, b) AS c FROM tri WHERE b IS NOT NULL) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY 1),
+cnt AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM w GROUP BY 1),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT d.doc_id, lang, length(t) AS chars, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+   coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed, {kinds}
+  FROM d LEFT JOIN cnt USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+listed(lang, bin) AS (VALUES {listed}),
+hits AS (SELECT doc_id, l.lang, l.bin, count(*) AS n FROM w JOIN listed l ON l.lang = w.lang AND l.bin = lower(w.w) GROUP BY 1, 2, 3),
+wb AS (SELECT c.doc_id, c.lang, base_failed, l.bin, coalesce(h.n, 0) AS n FROM c JOIN listed l ON l.lang = c.lang LEFT JOIN hits h ON h.doc_id = c.doc_id AND h.bin = l.bin),
+b AS (SELECT 'char' AS kind, * FROM ({bins} UNION ALL SELECT doc_id, lang, base_failed, 'rest', chars - {rest} FROM c) UNION ALL SELECT 'word', * FROM wb UNION ALL SELECT 'word', doc_id, lang, any_value(base_failed), '#', any_value(n_words) - sum(n) FROM wb JOIN c USING (doc_id, lang, base_failed) GROUP BY doc_id, lang),
+ref AS (SELECT kind, lang, bin, sum(n)::DOUBLE AS m FROM b WHERE NOT base_failed GROUP BY 1, 2, 3),
+s AS (SELECT b.doc_id, b.kind, n / nullif(sum(n) OVER p, 0) AS x, m / nullif(sum(m) OVER p, 0) AS y FROM b LEFT JOIN ref r ON r.kind = b.kind AND r.lang = b.lang AND r.bin = b.bin WINDOW p AS (PARTITION BY b.doc_id, b.kind)),
+js AS (SELECT doc_id, kind, sqrt(greatest(0, sum((CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2))) AS distance FROM s GROUP BY 1, 2)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (chars < {MIN_CHARS} OR coalesce(k.distance, 0) <= {MAX_CHAR_DISTANCE}) AND (n_words < {MIN_WORDS} OR coalesce(v.distance, 0) <= {MAX_WORD_DISTANCE}) AS kept
+FROM c LEFT JOIN js k ON k.doc_id = c.doc_id AND k.kind = 'char' LEFT JOIN js v ON v.doc_id = c.doc_id AND v.kind = 'word'
+"""
+
+
+OP10_SQL = _oracle()

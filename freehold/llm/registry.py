@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_url_filter": urls.OP1_SQL,
+    "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op6_source_mix": mixing.OP6_SQL,
+    "op10_quality_rules": divergence.OP10_SQL,
 }
