@@ -153,9 +153,9 @@ def test_gateway_pages(spark):
 
 
 def test_rent_reference(spark):
-    p = '{"REGISTRATION_DATE":"2024-06-01T00:00:00","AREA_EN":"Marsa Dubai","ANNUAL_AMOUNT":"120000","ACTUAL_AREA":"80","START_DATE":"2024-06-01","END_DATE":"2025-05-31"}'
+    p = '{"REGISTRATION_DATE":"2024-06-01T00:00:00","AREA_EN":"Old Harbour","ANNUAL_AMOUNT":"120000","ACTUAL_AREA":"80","START_DATE":"2024-06-01","END_DATE":"2025-05-31"}'
     r = L.map_gateway_rent(spark.createDataFrame([(p,)], "payload string")).first()
-    assert r["source_ref"] == "2024-06-01|Marsa Dubai|120000|80|2024-06-01|2025-05-31" and r["valid"]
+    assert r["source_ref"] == "2024-06-01|Old Harbour|120000|80|2024-06-01|2025-05-31" and r["valid"]
 
 
 def test_month_windows(spark):
@@ -164,9 +164,9 @@ def test_month_windows(spark):
 
 
 def test_resolve(spark):
-    names = spark.createDataFrame([(1, "DUBAI MARINA"), (2, "MARINA GATE 1"), (3, "MARINA GATE 2"), (4, "DEIRA")], "id int, name string")
-    q = spark.createDataFrame([("dubai marina",), ("marina gate",), ("jvc",)], "query string")
-    assert rows(I.resolve_entity(q, names), "query", "status") == [("dubai marina", "resolved"), ("jvc", "no match"), ("marina gate", "ambiguous")]
+    names = spark.createDataFrame([(1, "PORTO MARINA"), (2, "MARINA GATE 1"), (3, "MARINA GATE 2"), (4, "DEIRA")], "id int, name string")
+    q = spark.createDataFrame([("porto marina",), ("marina gate",), ("jvc",)], "query string")
+    assert rows(I.resolve_entity(q, names), "query", "status") == [("porto marina", "resolved"), ("jvc", "no match"), ("marina gate", "ambiguous")]
 
 
 def test_listing_arguments(spark):
