@@ -93,8 +93,8 @@ def _target(url: Column, link: Column) -> Column:
     )
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """(row, judged): each page as a struct, and host, path, rule, verdict, alias_blocked.
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """(row, judged): each page's columns (those of keep, else all but its html) as a struct, and host, path, rule, verdict, alias_blocked.
 
     redirects: more edges, columns from_url and to_url (a crawl's redirect log).
     Components are found over the urls that have edges only; nodes without any
@@ -102,7 +102,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "
     """
     spark = pages.sparkSession
     url = pages[url_col]
-    rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    rows = pages.select(F.struct(*[pages[c] for c in (keep or [c for c in pages.columns if c != html_col])]).alias("row"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     scratch = Scratch(spark)
 
@@ -131,7 +131,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    out = judge_urls(pages)
+    out = judge_urls(pages, keep=["page_id"])
     return out.select("row.page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
