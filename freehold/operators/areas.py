@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from ..constants import SPLIT_MIN_OVERLAP_PCT, SPLIT_WINDOW_DAYS
 
 
+#: Rows of a lookup table that may be broadcast, after they were counted.
+LOOKUP_ROWS = 200_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A small dimension for a join with facts: broadcast if it has at most LOOKUP_ROWS rows, so that facts aren't shuffled for it."""
+    return F.broadcast(df) if df.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else df
+
+
 def single_successor(evidence: DataFrame) -> DataFrame:
     """old_area_id -> its one reviewed successor."""
     g = evidence.where("reviewed").groupBy("old_area_id").agg(F.max("new_area_id").alias("new_area_id"), F.count("*").alias("n"))
@@ -31,7 +40,7 @@ def project_actual_reviewed(project_actual: DataFrame, evidence: DataFrame) -> D
 def with_canonical_area(facts: DataFrame, projects: DataFrame, evidence: DataFrame, project_actual: DataFrame) -> DataFrame:
     """facts with canonical_area_id: reviewed project target, the project's own area, the sole successor, the area as reported.
 
-    The three lookups have one row a project or an area at most; Spark picks broadcast or shuffle by their size.
+    The three lookups have one row a project or an area at most.
     """
     pick = lambda df, key, value, to: df.select(F.col(key).alias(f"_{to}_k"), F.col(value).alias(f"_{to}"))
     out = facts
@@ -40,7 +49,7 @@ def with_canonical_area(facts: DataFrame, projects: DataFrame, evidence: DataFra
         (projects, "id", "area_id", "own", "project_id"),
         (single_successor(evidence), "old_area_id", "new_area_id", "succ", "area_id"),
     ):
-        out = out.join(pick(df, key, value, to), F.col(on) == F.col(f"_{to}_k"), "left").drop(f"_{to}_k")
+        out = out.join(lookup(pick(df, key, value, to)), F.col(on) == F.col(f"_{to}_k"), "left").drop(f"_{to}_k")
     return out.withColumn("canonical_area_id", F.coalesce("_target", "_own", "_succ", "area_id")).drop("_target", "_own", "_succ")
 
 
