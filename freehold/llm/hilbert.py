@@ -117,14 +117,14 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").toArrow()
     n_classes = classes.count()
     ranges = min(ranges, max(1, n_classes // RANGE_ROWS))
-    index = spark.sparkContext.broadcast(CurveIndex(_matrix(sample.column("v")), curves, PLANE_DIMS, BITS, ranges))
+    index = CurveIndex(_matrix(sample.column("v")), curves, PLANE_DIMS, BITS, ranges)  # some 100 kB, whatever the rows
     blocks = max(1, -(-n_classes // (ranges * BLOCK_ROWS)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                at, held = index.value.place(_matrix(part.column("v")))
+                at, held = index.place(_matrix(part.column("v")))
                 reps = part.column("rep").to_numpy()
                 n, c = at.shape
                 row, curve = np.repeat(np.arange(n), c), np.tile(np.arange(c), n)
