@@ -65,7 +65,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", encode),
 ]
 
-#: No SQL: the learnt model, the components and the chains have none. Tested against brute force instead.
+#: No SQL: the learnt model, the components and the chains have none. Tests check planted cases of the stages, not all rows against brute force.
 ORACLE_SQL = None
 
 
