@@ -14,12 +14,15 @@ n - ceil(0.8 n) + l.
    out, so a prefix keeps only what other nodes hold too.
 3. Level. Each node lengthens its prefix to the level with the least estimated
    cost: postings to scan, plus verifications of at most postings / level nodes.
-4. Hubs. Each node is verified against the posting list head it meets most
-   often. That joins most of a large group of near copies by a star of links.
+4. Hubs. Each node is verified against the head of another component that it
+   meets most often in its posting lists. Lists that hold one component only are
+   done with; the rest vote again until few components still merge. So a large
+   group of near copies is joined by about one link a node, hub or no hub.
 5. Rest. Posting lists that still hold several components are bundled by their
    main component; every pair across components that shares enough prefix
-   shingles is verified in blocks of bounded size, and only links come out. Pairs
-   inside a component need no test, so no group of copies is paired up.
+   shingles is verified in blocks of bounded size. Pairs inside a component need
+   no test, and a block gives a link only where it joins two components, so at
+   most one fewer than it has components.
 
 Defined results
 - Null or blank text: 0 shingles, linked with nothing. Fewer than five words: one shingle of all of them.
@@ -46,6 +49,8 @@ PERCENT = 80
 LEVELS = (1, 2, 3, 4, 6, 8)
 #: A block of the last step holds about so many nodes, or so many shingles if that is fewer nodes.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
+#: Hubs are voted on again while a round's links are at least this share of the nodes left; what remains is for the blocks, whatever its size.
+AGAIN = 0.01
 
 
 def _rest(n: Column) -> Column:
@@ -163,9 +168,9 @@ def verify_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Links between the foreign and the other nodes of one block, across components."""
+    """Pairs of components that links between the foreign and the other nodes of one block join; a forest, so fewer than there are components."""
     members, foreign = block[~block["query"]], block[block["query"]]
-    links: list[tuple[int, int]] = []
+    joins: list[tuple[int, int]] = []
     if len(members) and len(foreign):
         sides = {}
         for name in ("pre", "all"):
@@ -173,7 +178,8 @@ def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
             sizes = np.array([len(x) for x in lists])
             words, codes = np.unique(np.concatenate(lists), return_inverse=True)
             sides[name] = (words, codes, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        node, n, comp, level = (members[c].to_numpy() for c in ("node", "n", "comp", "level"))
+        n, level, root = (members[c].to_numpy().copy() for c in ("n", "level", "comp"))
+        became: dict[int, int] = {}
 
         def shared(name: str, values) -> np.ndarray:
             words, codes, starts = sides[name]
@@ -184,12 +190,82 @@ def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
             return np.add.reduceat(flags[codes], starts)
 
         for q in foreign.itertuples(index=False):
-            may = (comp != q.comp) & (100 * np.minimum(n, q.n) >= PERCENT * np.maximum(n, q.n))
-            may &= shared("pre", np.asarray(q.pre, np.int64)) >= np.minimum(level, q.level)
+            mine = int(q.comp)
+            while mine in became:
+                mine = became[mine]
+            may = (root != mine) & (100 * np.minimum(n, q.n) >= PERCENT * np.maximum(n, q.n))
+            if may.any():
+                may &= shared("pre", np.asarray(q.pre, np.int64)) >= np.minimum(level, q.level)
             if may.any():
                 common = shared("all", np.asarray(q.all, np.int64))
-                links += [(q.node, b) for b in node[may & _linked(n, q.n, common)].tolist()]
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+                for other in np.unique(root[may & _linked(n, q.n, common)]).tolist():
+                    joins.append((mine, other))
+                    became[other] = mine
+                    root[root == other] = mine
+    return pd.DataFrame(joins, columns=["a", "b"]).astype("int64")
+
+
+def _verified(chosen: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of chosen whose two nodes link."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("all").alias(f"all_{s}"))
+    return verify_pairs(chosen.join(side("a"), "a").join(side("b"), "b"))
+
+
+def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """rows (..., comp) with comp replaced by what connected_components() made of it."""
+    moves = moves.select(F.col("node").alias("comp"), "label")
+    return rows.join(moves, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+
+
+def link_components(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp) of the nodes (node, n, level, pre, all): comp is the same for nodes that links connect.
+
+    placed holds the posting lists with each node's component so far. Links
+    between components become links of their labels, so a component is one
+    vertex however many nodes it has.
+    """
+    at = nodes.select("node", F.col("node").alias("comp"))
+    placed = nodes.select("node", F.col("node").alias("comp"), "n", F.explode("pre").alias("t"))
+
+    def merge(pairs: DataFrame) -> None:
+        nonlocal at, placed
+        moves = scratch.save(connected_components(pairs, scratch), "moves")
+        at, placed = scratch.save(_moved(at, moves), "at"), _moved(placed, moves)
+
+    while True:  # 4
+        ends = placed.groupBy("t").agg(F.min(F.struct("comp", "node", "n")).alias("lo"), F.max(F.struct("comp", "node", "n")).alias("hi")).where("lo.comp < hi.comp")
+        live = scratch.save(placed.join(ends, "t"), "live")
+        placed = live.select("node", "comp", "n", "t")
+        head = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi"))
+        votes = live.select("node", "comp", "n", head.alias("h")).where(100 * F.least("n", "h.n") >= PERCENT * F.greatest("n", "h.n"))
+        votes = votes.groupBy("node", "comp", F.col("h.node").alias("head"), F.col("h.comp").alias("of")).agg(F.count("*").alias("votes"))
+        chosen = votes.groupBy("node", "comp").agg(F.max(F.struct("votes", "head", "of")).alias("h"))
+        chosen = scratch.save(chosen.select(F.col("node").alias("a"), F.col("h.head").alias("b"), "comp", F.col("h.of").alias("of")), "chosen")
+        links = _verified(chosen.select("a", "b"), nodes)
+        links = scratch.save(links.join(chosen, ["a", "b"]).select(F.col("comp").alias("a"), F.col("of").alias("b")), "links")
+        n = links.count()
+        if n:
+            merge(links)
+        if n <= AGAIN * chosen.count():
+            break
+
+    # 5
+    mixed = placed.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp"))["comp"].alias("bundle"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    members = scratch.save(placed.join(mixed, "t").select("bundle", "node", "comp").distinct(), "members")
+    members = members.join(nodes.select("node", F.size("all").alias("k")), "node")
+    foreign = F.col("comp") != F.col("bundle")
+    parts = lambda c, k: F.greatest(F.lit(1), F.ceil(c / BLOCK_NODES), F.ceil(k / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("bundle").agg(
+        parts(F.count("*"), F.sum("k")).alias("m_parts"), parts(F.count_if(foreign), F.sum(F.when(foreign, F.col("k")).otherwise(0))).alias("q_parts")
+    )
+    dealt = members.join(sizes, "bundle")
+    part = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    as_member = dealt.select("bundle", "node", "comp", F.lit(False).alias("query"), part(F.col("m_parts")).alias("i"), every("q_parts").alias("j"))
+    as_query = dealt.where(foreign).select("bundle", "node", "comp", F.lit(True).alias("query"), every("m_parts").alias("i"), part(F.col("q_parts")).alias("j"))
+    blocks = as_member.unionByName(as_query).join(nodes, "node")
+    merge(blocks.groupBy("bundle", "i", "j").applyInPandas(_verify_block, "a long, b long"))
+    return at
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,35 +289,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     nodes = scratch.save(with_prefixes(sets.join(counts, "t"), alive.select("node", "n")), "nodes")
     scratch.drop(lists, counts)
 
-    # 4
-    posts = scratch.save(nodes.select("node", "n", F.explode("pre").alias("t")), "posts")
-    heads = posts.groupBy("t").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("df")).where("df > 1").select("t", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
-    fits = 100 * F.least("n", "head_n") >= PERCENT * F.greatest("n", "head_n")
-    votes = posts.join(heads, "t").where((F.col("node") != F.col("head")) & fits).groupBy("node", "head").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("node").agg(F.max(F.struct("votes", "head"))["head"].alias("head"))
-    side = lambda s, on: nodes.select(F.col("node").alias(on), F.col("n").alias(f"n_{s}"), F.col("all").alias(f"all_{s}"))
-    links = scratch.save(verify_pairs(chosen.select(F.col("node").alias("a"), F.col("head").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")), "links")
-
-    # 5
-    groups = connected_components(links, scratch)
-    placed = posts.select("node", "t").join(groups, "node", "left").select("t", "node", F.coalesce("label", "node").alias("comp"))
-    mixed = placed.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp"))["comp"].alias("bundle"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    members = scratch.save(placed.join(mixed, "t").select("bundle", "node", "comp").distinct(), "members")
-    members = members.join(nodes.select("node", F.size("all").alias("k")), "node")
-    foreign = F.col("comp") != F.col("bundle")
-    parts = lambda c, k: F.greatest(F.lit(1), F.ceil(c / BLOCK_NODES), F.ceil(k / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("bundle").agg(
-        parts(F.count("*"), F.sum("k")).alias("m_parts"), parts(F.count_if(foreign), F.sum(F.when(foreign, F.col("k")).otherwise(0))).alias("q_parts")
-    )
-    dealt = members.join(sizes, "bundle")
-    part = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    as_member = dealt.select("bundle", "node", "comp", F.lit(False).alias("query"), part(F.col("m_parts")).alias("i"), every("q_parts").alias("j"))
-    as_query = dealt.where(foreign).select("bundle", "node", "comp", F.lit(True).alias("query"), every("m_parts").alias("i"), part(F.col("q_parts")).alias("j"))
-    blocks = as_member.unionByName(as_query).join(nodes, "node")
-    more = blocks.groupBy("bundle", "i", "j").applyInPandas(_verify_block, "a long, b long")
-    links = scratch.save(links.unionByName(more), "all-links")
-    groups = connected_components(links, scratch)
+    groups = link_components(nodes, scratch).withColumnRenamed("comp", "label")
 
     classes = signed.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first"))
     in_group = classes.join(groups, "node")

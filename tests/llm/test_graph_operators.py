@@ -17,8 +17,10 @@ def brute(edges):
     return label
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
-def test_components(spark, kind):
+def test_components(spark, kind, hot, monkeypatch):
+    monkeypatch.setattr("freehold.llm.shared.HOT_KEY", hot)
     r = random.Random(3)
     edges = {"chain": [(i, i + 1) for i in range(40)], "star": [(0, i) for i in range(1, 40)], "random": [(r.randrange(60), r.randrange(60)) for _ in range(45)], "none": []}[kind]
     df = spark.createDataFrame([*edges, *edges[:3], (None, 5)], "a bigint, b bigint")

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,11 +29,12 @@ def brute_components(rows):
         if i is not None:
             sets.setdefault(i, shingles(t))
     label = {i: i for i in sets}
-    for _ in sets:
-        for i, a in sets.items():
-            for j, b in sets.items():
-                if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                    label[i] = min(label[i], label[j])
+    links = [(i, j) for i, a in sets.items() for j, b in sets.items() if a and b and 100 * len(a & b) >= 80 * len(a | b)]
+    before = None
+    while label != before:
+        before = dict(label)
+        for i, j in links:
+            label[i] = min(label[i], label[j])
     return sets, label
 
 
@@ -59,6 +61,22 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert got == brute_components(rows)[1]
 
 
+def test_jaccard_of_a_group_without_a_hub(spark, monkeypatch):
+    """A ring of texts: each shares its shingles with its neighbours only, and the whole ring is one component."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+    words = prose(77, 140).split()
+    rows = [(i, " ".join((words + words)[i : i + 60])) for i in range(140)] + [(1000 + i, t) for i, t in near_copies(9, 1, 120, 150)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows)[1] and len(set(got.values())) < 10
+
+
+def test_a_block_gives_a_forest():
+    base = np.arange(100)
+    row = lambda i, query: {"node": i, "n": 100, "level": 1, "pre": base[:30], "all": np.concatenate([base[:99], [1000 + i]]), "comp": i, "query": query}
+    out = jaccard._verify_block(pd.DataFrame([row(i, q) for i in range(40) for q in (False, True)]))
+    assert len(out) == 39 and len({*out["a"], *out["b"]}) == 40
+
+
 def test_jaccard_on_odd_rows(odd, odd_rows, empty):
     out = jaccard.near_duplicate_components(odd).collect()
     sets, label = brute_components([r[:2] for r in odd_rows])
