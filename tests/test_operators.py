@@ -166,7 +166,7 @@ def test_month_windows(spark):
 def test_resolve(spark):
     names = spark.createDataFrame([(1, "PORTO MARINA"), (2, "MARINA GATE 1"), (3, "MARINA GATE 2"), (4, "DEIRA")], "id int, name string")
     q = spark.createDataFrame([("porto marina",), ("marina gate",), ("jvc",)], "query string")
-    assert rows(I.resolve_entity(q, names), "query", "status") == [("porto marina", "resolved"), ("jvc", "no match"), ("marina gate", "ambiguous")]
+    assert rows(I.resolve_entity(q, names), "query", "status") == [("jvc", "no match"), ("marina gate", "ambiguous"), ("porto marina", "resolved")]
 
 
 def test_listing_arguments(spark):
