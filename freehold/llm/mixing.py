@@ -8,8 +8,9 @@ times (complete epochs) and samples only the remaining fraction.
 
 Defined results
 - Null text or no words: size 0, nothing is taken. Null source: a source of its own, ordered last.
-- Null id: keyed as the id "". Repeated rows are taken row by row, in any order among themselves.
-- The document at the budget's edge is taken in part, so a source's words meet its target to a word.
+- Null id: keyed as the id "". Repeated rows (id and size) are taken alike.
+- The document at the budget's edge is taken in part, so a source's words meet its target to a word; repeated
+  rows there share what is left evenly, and leave less than a word each.
 - Empty table: no rows. Extra columns pass through, whatever their names.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: Documents that one sorting group should hold; a source is split into as many key ranges as that needs.
-GROUP_ROWS = 20_000
+#: Steps of a key's natural logarithm by which a source's words are summed; whatever the weights, a step holds at most 1 / (e FINE) of a source's documents of one weight.
+FINE = 4096
 _WORD_RUN = "[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"
 _ODD = "[^0-9#*$%&|<>!=_{}~^]++"
 
@@ -84,39 +85,45 @@ def mix(
 
     mix holds size, source_size, target, epochs, part and taken: the words
     taken of the row are size * epochs, and of the fractional epoch the ``part``
-    that its place in its source's key order leaves. The key order is cut into
-    ranges of about GROUP_ROWS documents; sums of whole ranges are added up
-    first, so that no task sorts a whole source.
+    that its place in its source's key order leaves. Words are summed by small
+    steps of the key first; only the documents of the step in which a source's
+    budget ends are sorted, to find the one at its edge. Every other row is then
+    told by its key alone, so no text is shuffled and no task sorts a source.
     """
+    scratch = Scratch(docs.sparkSession)
     text, ident, source = (docs[c] for c in (text_col, id_col, source_col))
     size, w = n_words(text), quality_weight(text) if quality is None else quality
     key = F.coalesce(-F.log(uniform(ident, seed)) / w, F.lit(0.0))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), source.alias("source"), ident.cast("string").alias("ident"), size.alias("size"), key.alias("key"))
-    slim = Scratch(docs.sparkSession).save(rows.select("source", "size", "key"), "sizes")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), source.alias("source"), F.coalesce(ident.cast("string"), F.lit("")).alias("ident"), size.alias("size"), key.alias("key"))
+    step = F.coalesce(F.floor(F.log("key") * FINE), F.lit(-(1 << 40))).cast("long")
+    slim = scratch.save(rows.select("source", "ident", "size", "key", step.alias("step")), "sizes")
+    steps = scratch.save(slim.groupBy("source", "step").agg(F.sum("size").alias("words")), "steps")
 
-    groups = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(groups.select("source", "source_size"), weights, cap).withColumnRenamed("source", "s")
-    plan = groups.drop("source_size").join(targets, F.col("source").eqNullSafe(F.col("s")))
-    plan = Scratch(docs.sparkSession).save(plan.select("s", "source_size", "target", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("ranges")), "targets")
+    groups = steps.groupBy("source").agg(F.sum("words").alias("source_size"))
+    targets = source_targets(groups, weights, cap)
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
+    budget = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5)).cast("long")
+    targets = scratch.save(targets.withColumn("epochs", epochs).withColumn("budget", budget).withColumnRenamed("source", "s"), "targets")
 
-    # 1 - exp(-key) rises with the key and is near uniform for weights near 1: equal steps of it are the ranges
-    step = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("ranges")), F.col("ranges") - 1).cast("int")
     on_source = F.col("source").eqNullSafe(F.col("s"))
-    sums = slim.join(plan, on_source).groupBy("source", step.alias("range")).agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s0"), F.col("range").alias("r0"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))
-
-    within = Window.partitionBy("source", "range").orderBy("key", "ident", "size").rowsBetween(Window.unboundedPreceding, 0)
-    epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
-    budget = F.floor(F.col("target") - epochs * F.col("source_size") + F.lit(0.5))
-    before = F.col("start") + F.col("run") - F.col("size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), budget - before))
+    upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # sums, not documents
+    reached = steps.withColumn("upto", F.sum("words").over(upto)).join(targets.select("s", "budget"), on_source).where(F.col("upto") >= F.col("budget"))
+    edges = reached.groupBy("s", "budget").agg(F.min(F.struct("step", (F.col("upto") - F.col("words")).alias("start"))).alias("e")).select("s", "budget", F.col("e.step").alias("at"), "e.start")
+    near = slim.join(edges, on_source & (F.col("step") == F.col("at"))).groupBy("s", "budget", "start", "key", "ident", "size").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("s").orderBy("key", "ident", "size").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("upto", F.col("start") + F.sum(F.col("size") * F.col("n")).over(within)).where(F.col("upto") >= F.col("budget"))
+    share = F.floor((F.col("budget") - (F.col("upto") - F.col("size") * F.col("n"))) / F.col("n")).cast("long")
+    edge = near.groupBy("s").agg(F.min(F.struct("key", "ident", "size", share.alias("share"))).alias("e")).select("s", F.struct("e.key", "e.ident", "e.size").alias("edge"), F.col("e.share").alias("share"))
+    plan = targets.join(edge.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1"))).select("s", "source_size", "target", "epochs", "edge", "share")
+    plan = scratch.save(plan, "plan")  # one row a source
+    scratch.drop(slim, steps, targets)
+
+    place = F.struct("key", "ident", "size")
+    part = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.col("share")).otherwise(F.lit(0)).cast("long")
     return (
         rows.join(plan, on_source)
-        .withColumn("range", step)
-        .withColumn("run", F.sum("size").over(within))
-        .join(starts, F.col("source").eqNullSafe(F.col("s0")) & (F.col("range") == F.col("r0")))
-        .select("row", F.struct("size", "source_size", "target", epochs.alias("epochs"), part.alias("part"), (epochs * F.col("size") + part).cast("long").alias("taken")).alias("mix"))
+        .withColumn("part", part)
+        .select("row", F.struct("size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")).alias("mix"))
     )
 
 

@@ -100,3 +100,35 @@ def test_pipeline_keeps_clean_rows(spark, tmp_path):
     assert {r["doc_id"] for r in d.collect()} >= set(range(60)) and d.where("doc_id = 100").count() == 0
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 30
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, odd_rows, empty, tmp_path):
+    """Nulls in any column, blanks, repeats, clashing names and empty tables, stage by stage; near duplicates and the mix against brute force."""
+    import corpus_pipeline
+
+    from .conftest import WORD
+    from .test_text_operators import brute_components
+
+    spark.createDataFrame([(i, int(i not in (12, 13)), 0) for i in range(1, 15)], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    sf = f"file://{tmp_path}"
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+    assert corpus_pipeline.quality(spark, odd, sf).columns == odd.columns
+    kept = corpus_pipeline.near_duplicates(spark, odd, sf)
+    label = brute_components([r[:2] for r in odd_rows])[1]
+    want = [r for r in dict.fromkeys(odd_rows) if r[0] is not None and (label[r[0]] == r[0] or not (r[1] or "").strip())] + [r for r in odd_rows if r[0] is None]
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(str(spark_row) for spark_row in spark.createDataFrame(want, odd.schema).collect())
+    cut = Scratch(spark).save(corpus_pipeline.repeated_passages(spark, kept, sf), "s")
+    assert cut.columns == odd.columns and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut.collect())
+    mixed = Scratch(spark).save(corpus_pipeline.source_mix(spark, cut, sf), "s")
+    words = lambda d: sum(len(WORD.findall(r["text"] or "")) for r in d.collect())
+    assert mixed.columns == odd.columns and abs(words(mixed) - words(cut)) <= 4
+    assert corpus_pipeline.encode(spark, mixed, sf).count() == mixed.count()
+
+
+def test_near_duplicates_keeps_different_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f", "en"), (1, "a b c d e f", "fr"), (1, "u v w x y z", "en"), (2, "a b c d e f", "en")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()
+    assert sorted(map(tuple, got)) == [(1, "a b c d e f", "en"), (1, "u v w x y z", "en")]
