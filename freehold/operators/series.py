@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ANCHOR_MONTHS, DAYS_PER_YEAR, MIN_SAMPLE, MIN_YEARS_FOR_CAGR
 from ..functions.clean import cagr_pct, half_up, pct_change
+from ..sources.work import kept
 
 #: 1970-01-01 as days since the year 1: midpoints are rounded half to even as such ordinals.
 EPOCH_ORDINAL = 719_163
@@ -28,12 +29,8 @@ def mask_min_sample(points: DataFrame, n: int = MIN_SAMPLE) -> DataFrame:
     return out
 
 
-def _ranked(points: DataFrame, key: str, value: str, count: str) -> DataFrame:
-    """Usable points with their place from either end."""
-    tie = [F.col("month"), F.col("usage"), *([F.col("entity_id")] if "entity_id" in points.columns and key != "entity_id" else [])]
-    up, down = Window.partitionBy(key).orderBy(*tie), Window.partitionBy(key).orderBy(*[t.desc() for t in tie])
-    usable = points.where(F.col(value).isNotNull() & (F.col(count) > 0))
-    return usable.withColumn("_a", F.row_number().over(up)).withColumn("_z", F.row_number().over(down))
+def _order(points: DataFrame, key: str) -> list[Column]:
+    return [F.col("month"), F.col("usage"), *([F.col("entity_id")] if "entity_id" in points.columns and key != "entity_id" else [])]
 
 
 def _cents(value: str) -> Column:
@@ -45,46 +42,92 @@ def _mean(value: str, count: str, where: Column) -> Column:
     return F.sum(F.when(where, _cents(value) * F.col(count))) / F.sum(F.when(where, F.col(count))) / 100
 
 
-def anchor_window(points: DataFrame, key: str = "entity_id", months: int = ANCHOR_MONTHS) -> DataFrame:
-    """Both anchors of each key: weighted value, sample, midpoint day and number of points."""
-    r = _ranked(points, key, "sale_median_price_m2", "sale_cnt")
+#: Value and count of each side, and the places from either end that placed() gives its usable points.
+SALE, RENT = ("sale_median_price_m2", "sale_cnt"), ("rent_median_annual_m2", "rent_cnt")
+
+
+def _usable(side: tuple[str, str]) -> Column:
+    return F.col(side[0]).isNotNull() & (F.coalesce(F.col(side[1]), F.lit(0)) > 0)
+
+
+def placed(points: DataFrame, by: list[Column], order: list[Column]) -> DataFrame:
+    """points with the places of usable sale points from the first (_first) and last (_last), and of rent points from the last (_rent_last).
+
+    The three windows and what is grouped by the same key afterwards share one
+    shuffle. Places of points that aren't usable come after all others.
+    """
+    last = [c.desc() for c in order]
+    at = lambda side, o: F.row_number().over(Window.partitionBy(*by).orderBy(_usable(side).desc(), *o))
+    return points.withColumn("_first", at(SALE, order)).withColumn("_last", at(SALE, last)).withColumn("_rent_last", at(RENT, last))
+
+
+#: Parts into which a pooled key's entities are dealt before their first and last points are looked for.
+POOL_PARTS = 64
+
+
+def pooled(points: DataFrame, key: str, months: int = ANCHOR_MONTHS) -> DataFrame:
+    """Of each key the points that can be among the first or last of all its entities: at most 3 * months from each of POOL_PARTS parts."""
+    near = placed(points, [F.col(key), F.pmod(F.xxhash64("entity_id"), F.lit(POOL_PARTS))], _order(points, key))
+    return near.where((F.col("_first") <= months) | (F.col("_last") <= months) | (F.col("_rent_last") <= months)).drop("_first", "_last", "_rent_last")
+
+
+def _anchors(months: int) -> list[Column]:
+    """Aggregates over placed() points: both anchors of the sale side."""
     aggs = []
-    for name, where in (("start", F.col("_a") <= months), ("end", F.col("_z") <= months)):
+    for name, place in (("start", "_first"), ("end", "_last")):
+        where = _usable(SALE) & (F.col(place) <= months)
         n = F.when(where, F.col("sale_cnt"))
         mid = (F.bround(F.sum(F.unix_date("month") * n).cast("double") / F.sum(n) + EPOCH_ORDINAL) - EPOCH_ORDINAL).cast("int")
-        aggs += [_mean("sale_median_price_m2", "sale_cnt", where).alias(f"{name}_value"), F.sum(n).alias(f"{name}_sample_size"), F.date_from_unix_date(mid).alias(f"{name}_midpoint"), F.count_if(where).alias(f"{name}_months")]
-    return r.groupBy(key).agg(*aggs)
+        aggs += [_mean(*SALE, where).alias(f"{name}_value"), F.sum(n).alias(f"{name}_sample_size"), F.date_from_unix_date(mid).alias(f"{name}_midpoint"), F.count_if(where).alias(f"{name}_months")]
+    return aggs
 
 
-def capital_growth(points: DataFrame, key: str = "entity_id") -> DataFrame:
-    """CAGR between the anchors' midpoints, null under a year; anchors exposed."""
+def _legs(months: int) -> list[Column]:
+    """Aggregates over placed() points: the last points of either side."""
+    rent, sale = _usable(RENT) & (F.col("_rent_last") <= months), _usable(SALE) & (F.col("_last") <= months)
+    return [_mean(*RENT, rent).alias("_rent"), F.sum(F.when(rent, F.col("rent_cnt"))).alias("rent_sample_size"), _mean(*SALE, sale).alias("_sale"), F.sum(F.when(sale, F.col("sale_cnt"))).alias("sale_sample_size")]
+
+
+def _growth() -> list[Column]:
     years = F.datediff("end_midpoint", "start_midpoint") / F.lit(DAYS_PER_YEAR)
     g = F.when(years >= MIN_YEARS_FOR_CAGR, cagr_pct(F.col("start_value"), F.col("end_value"), years))
-    a = anchor_window(points, key)
-    return a.select(
-        key, half_up(g).alias("capital_growth_cagr_pct"), half_up(years).alias("years"), half_up(F.col("start_value")).alias("start_value_aed_m2"), half_up(F.col("end_value")).alias("end_value_aed_m2"),
-        "start_sample_size", "end_sample_size", "start_midpoint", "end_midpoint", "start_months", "end_months",
-    )
+    return [
+        half_up(g).alias("capital_growth_cagr_pct"), half_up(years).alias("years"), half_up(F.col("start_value")).alias("start_value_aed_m2"), half_up(F.col("end_value")).alias("end_value_aed_m2"),
+        *[F.col(f"{end}_{c}") for c in ("sample_size", "midpoint") for end in ("start", "end")], *[F.when(F.col("start_sample_size").isNotNull(), F.col(f"{end}_months")).alias(f"{end}_months") for end in ("start", "end")],
+    ]
 
 
-def gross_rental_yield(points: DataFrame, key: str = "entity_id", months: int = ANCHOR_MONTHS) -> DataFrame:
-    """The last usable rent points over the last usable sale points, each weighted by its own counts."""
-    sides = []
-    for value, count, name in (("rent_median_annual_m2", "rent_cnt", "rent"), ("sale_median_price_m2", "sale_cnt", "sale")):
-        last = _ranked(points, key, value, count).where(F.col("_z") <= months)
-        sides.append(last.groupBy(key).agg(_mean(value, count, F.lit(True)).alias(f"_{name}"), F.sum(count).alias(f"{name}_sample_size")))
-    both = points.select(key).distinct().join(sides[0], key, "left").join(sides[1], key, "left")
+def _yields() -> list[Column]:
     known = F.col("_rent").isNotNull() & (F.col("_sale") > 0)
-    return both.select(
-        key, half_up(F.when(known, F.col("_rent") / F.col("_sale") * 100)).alias("gross_rental_yield_pct"), half_up(F.when(known, F.col("_rent"))).alias("median_rent_aed_m2_year"), half_up(F.when(known, F.col("_sale"))).alias("median_sale_aed_m2"),
+    return [
+        half_up(F.when(known, F.col("_rent") / F.col("_sale") * 100)).alias("gross_rental_yield_pct"), half_up(F.when(known, F.col("_rent"))).alias("median_rent_aed_m2_year"), half_up(F.when(known, F.col("_sale"))).alias("median_sale_aed_m2"),
         F.coalesce("rent_sample_size", F.lit(0)).alias("rent_sample_size"), F.coalesce("sale_sample_size", F.lit(0)).alias("sale_sample_size"),
-    )
+    ]
+
+
+def anchor_window(points: DataFrame, key: str = "entity_id", months: int = ANCHOR_MONTHS) -> DataFrame:
+    """Both anchors of each key: weighted value, sample, midpoint day and number of points."""
+    return placed(points, [F.col(key)], _order(points, key)).groupBy(key).agg(*_anchors(months)).where("start_months > 0")
+
+
+def capital_growth(points: DataFrame, key: str = "entity_id") -> DataFrame:
+    """CAGR between the anchors' midpoints, null under a year; anchors exposed."""
+    return anchor_window(points, key).select(key, *_growth())
+
+
+def gross_rental_yield(points: DataFrame, key: str = "entity_id", months: int = ANCHOR_MONTHS) -> DataFrame:
+    """The last usable rent points over the last usable sale points, each weighted by its own counts."""
+    return placed(points, [F.col(key)], _order(points, key)).groupBy(key).agg(*_legs(months)).select(key, *_yields())
+
+
+def summarize(points: DataFrame, key: str = "entity_id", months: int = ANCHOR_MONTHS) -> DataFrame:
+    """Growth, yield and their sum (of rounded halves, null if one is missing), and the months covered: one pass, one shuffle."""
+    span = [F.size(F.collect_set("month")).cast("long").alias("months_covered"), F.min("month").alias("month_from"), F.max("month").alias("month_to")]
+    out = placed(points, [F.col(key)], _order(points, key)).groupBy(key).agg(*span, *_anchors(months), *_legs(months))
+    return _total(out.select(key, "months_covered", "month_from", "month_to", *_growth(), *_yields()))
 
 
-def summarize(points: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Growth, yield and their sum (of rounded halves, null if one is missing), and the months covered."""
-    span = points.groupBy(key).agg(F.count_distinct("month").alias("months_covered"), F.min("month").alias("month_from"), F.max("month").alias("month_to"))
-    out = span.join(capital_growth(points, key), key, "left").join(gross_rental_yield(points, key), key, "left")
+def _total(out: DataFrame) -> DataFrame:
     return out.withColumn("gross_total_return_pct", half_up(F.col("capital_growth_cagr_pct") + F.col("gross_rental_yield_pct")))
 
 
@@ -119,7 +162,7 @@ def ranking(points: DataFrame, names: DataFrame, metric: str, k: int = 10, min_s
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     s = summarize(mask_min_sample(points, min_sample)).withColumn("metric_value", F.col(METRICS[metric]))
-    s = s.join(names.select(F.col("id").alias("entity_id"), "name_en"), "entity_id")
+    s = kept(s.join(names.select(F.col("id").alias("entity_id"), "name_en"), "entity_id"), "ranking")  # one row an entity, read for the counts and for the top
     counts = s.agg(F.count("*").alias("considered"), F.count_if(F.col("metric_value").isNull()).alias("excluded"))
     v = F.col("metric_value")
     top = s.where(v.isNotNull()).orderBy(v.desc() if descending else v.asc(), F.col("name_en").asc_nulls_last(), "entity_id").limit(k)
@@ -158,8 +201,10 @@ def growth_report(points: DataFrame, folded: DataFrame | None = None) -> DataFra
 
 
 def compare_usage(points: DataFrame) -> DataFrame:
-    """All entities' points of a usage pooled and summarised."""
-    return summarize(points, "usage")
+    """All entities' points of a usage pooled and summarised; no task holds all points of a usage."""
+    near = placed(pooled(points, "usage"), [F.col("usage")], _order(points, "usage")).groupBy("usage").agg(*_anchors(ANCHOR_MONTHS), *_legs(ANCHOR_MONTHS))
+    span = points.groupBy("usage").agg(F.size(F.collect_set("month")).cast("long").alias("months_covered"), F.min("month").alias("month_from"), F.max("month").alias("month_to"))
+    return _total(span.join(near, "usage").select("usage", "months_covered", "month_from", "month_to", *_growth(), *_yields()))
 
 
 def compare_entities(specs: DataFrame, areas: DataFrame, projects: DataFrame, buildings: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import kept
+
 SALE_KEY = ("source_id", "txn_number", "txn_date", "actual_area_m2")
 RENT_KEY = ("source_id", "source_ref")
 #: What an update may change, by source; keys and provenance never are. A rent's size is a value, a sale's is key.
@@ -60,11 +62,29 @@ def written_counts(upserted: DataFrame) -> DataFrame:
     return upserted.agg(F.count_if(F.col("action") == "insert").alias("inserted"), F.count_if(F.col("action") == "update").alias("updated"), F.count_if(F.col("action") == "keep").alias("kept"))
 
 
+#: New rows of a table from which numbering deals them over ranges; below, one task orders them.
+NUMBER_ROWS = 100_000
+
+
 def assign_ids(existing: DataFrame, new: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """existing and new rows with ids for the new: the largest id plus their place. Only new dimension rows are ordered."""
+    """existing and new rows with ids for the new: the largest id plus their place.
+
+    The new rows are written once, dealt over ranges of the order; each range's
+    rows are numbered by themselves and raised by the counts of those before.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    new = kept(new.withColumns(dict(zip(names, order, strict=True))), "new")
+    ranges = -(-new.count() // NUMBER_ROWS)
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    place = F.row_number().over(Window.orderBy(*order))
-    numbered = new.withColumn("_n", place).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_n", "_top")  # one row
+    if ranges > 1:
+        dealt = kept(new.repartitionByRange(ranges, *names).withColumn("_part", F.spark_partition_id()), "dealt")
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = dealt.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))  # one row a range
+        new = dealt.join(F.broadcast(starts), "_part")
+        place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*names))
+    else:
+        place = F.row_number().over(Window.orderBy(*names))
+    numbered = new.withColumn("_n", place).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n"))  # one row
     return existing.unionByName(numbered.select(*[F.col(c).cast(existing.schema[c].dataType) if c in numbered.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in existing.columns]))
 
 

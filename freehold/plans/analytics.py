@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import marts as M
 from ..operators import precedence as P
 from ..operators import quality as Q
 from ..operators import series as S
+from ..sources.work import kept
 from . import views as V
 from .registry import query
 from .views import AS_OF, CUTOVER, with_
@@ -35,8 +38,19 @@ def project_mart(spark: S1, sf: str) -> D1:
     return M.project_monthly_mart(kept_sales(spark, sf), kept_rents(spark, sf))
 
 
+_marts: dict[tuple[str, str, str], D1] = {}
+
+
+def stored(spark: S1, sf: str, name: str, build: Callable[[S1, str], D1]) -> D1:
+    """A mart as reads find it: written once a session from the tables of sf, then scanned."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _marts:
+        _marts[key] = kept(build(spark, sf), name)
+    return _marts[key]
+
+
 def points(spark: S1, sf: str) -> D1:
-    return S.entity_series(area_mart(spark, sf), "area_id", AS_OF)
+    return S.entity_series(stored(spark, sf, "area-monthly", area_mart), "area_id", AS_OF)
 
 
 def masked(spark: S1, sf: str) -> D1:
@@ -283,9 +297,9 @@ def _rank_sql(metric: str) -> str:
 
 query("ranking", _rank_sql("gross_total_return_pct"))(lambda s, d: S.ranking(points(s, d), V.area(s, d), "total_return", 10, MIN))
 query("yield_ranking", _rank_sql("gross_rental_yield_pct"))(lambda s, d: S.yield_ranking(points(s, d), V.area(s, d), 10, MIN))
-query("building_best_usage", with_(["sale_kept"], "SELECT building_id, usage, sale_cnt_12m FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY coalesce(sale_cnt_12m, 0) DESC, usage) AS r FROM summary) WHERE r = 1", *_ALL, _SUMMARY))(lambda s, d: S.building_best_usage(summary(s, d)).select("building_id", "usage", "sale_cnt_12m"))
+query("building_best_usage", with_(["sale_kept"], "SELECT building_id, usage, sale_cnt_12m FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY coalesce(sale_cnt_12m, 0) DESC, usage) AS r FROM summary) WHERE r = 1", *_ALL, _SUMMARY))(lambda s, d: S.building_best_usage(stored(s, d, "building-summary", summary)).select("building_id", "usage", "sale_cnt_12m"))
 query("building_ranking", with_(["sale_kept", "building"], "SELECT building_id, name_en, usage, median_price_m2_12m AS metric_value, sample_tier FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY coalesce(sale_cnt_12m, 0) DESC, usage) AS r FROM summary) JOIN building ON id = building_id WHERE r = 1 AND sale_cnt_12m >= 2 ORDER BY metric_value DESC, name_en, building_id LIMIT 10", *_ALL, _SUMMARY))(
-    lambda s, d: S.building_ranking(summary(s, d), V.building(s, d), "sale_price_m2", 10, 2)
+    lambda s, d: S.building_ranking(stored(s, d, "building-summary", summary), V.building(s, d), "sale_price_m2", 10, 2)
 )
 query("growth_report", with_(["area_mart"], "SELECT summ.entity_id, months_covered, capital_growth_cagr_pct, gross_rental_yield_pct, gross_total_return_pct, yoy_run, nullif((SELECT count(*) FROM yoy WHERE yoy.entity_id = summ.entity_id), 0) AS years_present, summ.entity_id IN (SELECT new_area_id FROM single_successor) AS merged_codes FROM summ LEFT JOIN runs USING (entity_id)", *_SER, _YOY, _RUN))(
     lambda s, d: S.growth_report(masked(s, d), A.single_successor(V.evidence(s)).select(F.col("new_area_id").alias("entity_id"))).select("entity_id", "months_covered", "capital_growth_cagr_pct", "gross_rental_yield_pct", "gross_total_return_pct", "yoy_run", "years_present", "merged_codes")
@@ -300,8 +314,8 @@ query("compare_usage", with_(["area_mart"], "SELECT * FROM summ", _PTS, _MASK, *
 def compare_entities(s: S1, d: str) -> D1:
     specs = V.area(s, d).where("id < 5").select(F.concat(F.lit("area:"), F.col("id")).alias("spec")).unionByName(s.createDataFrame([("building:1",), ("area;1",), ("project:999999999",)], "spec string"))
     areas = S.summarize(masked(s, d)).select(F.col("entity_id").alias("id"), "capital_growth_cagr_pct", "gross_rental_yield_pct")
-    projects = S.summarize(S.entity_series(project_mart(s, d), "project_id", AS_OF)).select(F.col("entity_id").alias("id"), "capital_growth_cagr_pct", "gross_rental_yield_pct")
-    buildings = S.building_best_usage(summary(s, d)).select(F.col("building_id").alias("id"), F.col("price_m2_cagr_pct").alias("capital_growth_cagr_pct"), "sample_tier")
+    projects = S.summarize(S.entity_series(stored(s, d, "project-monthly", project_mart), "project_id", AS_OF)).select(F.col("entity_id").alias("id"), "capital_growth_cagr_pct", "gross_rental_yield_pct")
+    buildings = S.building_best_usage(stored(s, d, "building-summary", summary)).select(F.col("building_id").alias("id"), F.col("price_m2_cagr_pct").alias("capital_growth_cagr_pct"), "sample_tier")
     return S.compare_entities(specs, areas, projects, buildings).select("spec", "type", "id", "error", "capital_growth_cagr_pct", "gross_rental_yield_pct", "sample_tier")
 
 
@@ -360,13 +374,13 @@ query("page_with_has_more", with_(["rent"], "SELECT source_ref, start_date, true
 )
 query("count_matching", with_(["sale", "area"], f"SELECT count(*) AS total FROM ({_TX})"))(lambda s, d: H.count_matching(transactions(s, d)))
 query("read_area_monthly", with_(["area_mart", "area"], "SELECT coalesce(s.new_area_id, m.area_id)::INT AS canonical_area_id, a.name_en AS area_name, month, usage, sale_cnt, sale_median_price_m2 FROM area_mart m LEFT JOIN single_successor s ON s.old_area_id = m.area_id LEFT JOIN area a ON a.id = coalesce(s.new_area_id, m.area_id) WHERE m.area_id IN (SELECT area_id FROM exp) AND (coalesce(sale_cnt, 0) >= 3 OR coalesce(rent_cnt, 0) >= 3) AND month >= DATE '1997-01-01'", _EXP.format(ids="3, 5")))(
-    lambda s, d: H.read_area_monthly(area_mart(s, d), V.area(s, d), V.evidence(s), requested(s, d, (3, 5)), 3, month_from="1997-01-01").select("canonical_area_id", "area_name", "month", "usage", "sale_cnt", "sale_median_price_m2")
+    lambda s, d: H.read_area_monthly(stored(s, d, "area-monthly", area_mart), V.area(s, d), V.evidence(s), requested(s, d, (3, 5)), 3, month_from="1997-01-01").select("canonical_area_id", "area_name", "month", "usage", "sale_cnt", "sale_median_price_m2")
 )
 query("read_project_monthly", with_(["project_mart", "project"], "SELECT project_id, name_en AS project_name, month, usage, sale_cnt FROM project_mart LEFT JOIN project ON id = project_id WHERE project_id IN (1, 2, 3) AND usage = 'PROMO'"))(
-    lambda s, d: H.read_project_monthly(project_mart(s, d), V.project(s, d), V.project(s, d).where("id in (1, 2, 3)").select(F.col("id").alias("project_id")), usage="PROMO").select("project_id", "project_name", "month", "usage", "sale_cnt")
+    lambda s, d: H.read_project_monthly(stored(s, d, "project-monthly", project_mart), V.project(s, d), V.project(s, d).where("id in (1, 2, 3)").select(F.col("id").alias("project_id")), usage="PROMO").select("project_id", "project_name", "month", "usage", "sale_cnt")
 )
 query("read_building_summary", with_(["sale_kept", "building"], "SELECT building_id, name_en AS building_name, area_id, usage, sale_cnt_total FROM summary LEFT JOIN building ON id = building_id WHERE sample_tier = 'insufficient' AND sale_cnt_total >= 2", *_ALL, _SUMMARY))(
-    lambda s, d: H.read_building_summary(summary(s, d), V.building(s, d), tier="insufficient", min_sample=2).select("building_id", "building_name", "area_id", "usage", "sale_cnt_total")
+    lambda s, d: H.read_building_summary(stored(s, d, "building-summary", summary), V.building(s, d), tier="insufficient", min_sample=2).select("building_id", "building_name", "area_id", "usage", "sale_cnt_total")
 )
 query("requested_vs_returned", with_(["area_mart", "area"], "SELECT id AS area_id, id IN (SELECT area_id FROM area_mart WHERE usage = 'PROMO') AS has_data FROM area"))(lambda s, d: H.requested_vs_returned(V.area(s, d).select(F.col("id").alias("area_id")), area_mart(s, d).where("usage = 'PROMO'"), "area_id"))
 query("list_projects", with_(["project", "project_reviewed"], "SELECT id, name_en, area_id FROM project WHERE (area_id = 21 OR id IN (SELECT project_id FROM project_reviewed WHERE new_area_id = 21)) AND NOT is_master"))(

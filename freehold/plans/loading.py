@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +17,7 @@ from ..operators.listings import geo_filter, list_areas
 from ..operators.series import split_by_boundary
 from ..sources import landing as L
 from ..sources import sinks as K
+from ..sources.work import work_dir
 from ..streaming import feed as T
 from . import views as V
 from .analytics import area_mart, latest_metrics
@@ -28,12 +27,6 @@ from .views import with_
 S1, D1 = SparkSession, DataFrame
 
 
-def work_dir(spark: S1) -> str:
-    """A fresh folder that driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/landing-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- B scalar functions
 
 _RAW = "concat('  ', p_name, '  ', CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END, ' ')"
@@ -86,7 +79,10 @@ def bulk_sales_csv(s: S1, d: str) -> D1:
     put = {"transaction_id": F.concat(F.lit("1-"), F.col("txn_number"), F.lit("-9")), "instance_date": F.when(F.col("building_id") % 10 == 1, F.date_format("txn_date", "dd-MM-yyyy")).otherwise(F.date_format("txn_date", "yyyy-MM-dd")), "actual_worth": F.col("amount_aed").cast("string"), "trans_group_en": F.col("txn_group"), "reg_type_en": F.when(F.col("area_id") % 2 == 0, "Off-Plan Properties").otherwise("Existing Properties"), "property_usage_en": F.col("usage"), "area_name_en": F.lower("name_en"), "procedure_area": F.col("actual_area_m2").cast("string")}
     out = rows.select(*[put.get(c, F.lit(None).cast("string")).alias(c) for c in L.SALE_COLUMNS])
     root = work_dir(s)
-    out.write.option("header", True).csv(f"{root}/csv")
+    other = [*reversed([c for c in L.SALE_COLUMNS if c != "area_name_ar"]), "remarks"]  # another order, a column less and one more
+    write = lambda df: df.write.mode("append").option("header", True).option("escape", '"').csv(f"{root}/csv")
+    write(out.where("not transaction_id like '%5-9'"))
+    write(out.where("transaction_id like '%5-9'").withColumn("remarks", F.lit("first line\nsecond, with a \"quote\"")).select(*other))
     return L.scan_bulk_csv(s, f"{root}/csv", "part-", L.SALE_COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +23,53 @@ def strings(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def csv_headers(spark: SparkSession, pattern: str, skip: str = "") -> dict[str, tuple[str, ...]]:
+    """path -> column names of each CSV file that matches; one short read a file, through Hadoop's file systems.
+
+    Files whose name begins with skip are left out. A byte order mark, blanks
+    around a name and quotes go; an empty file has no names.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    glob = jvm.org.apache.hadoop.fs.Path(pattern)
+    out = {}
+    for status in glob.getFileSystem(conf).globStatus(glob) or ():
+        path = status.getPath()
+        if skip and path.getName().startswith(skip):
+            continue
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        out[path.toString()] = tuple(n.strip() for n in next(csv.reader([(line or "").removeprefix("\ufeff")]), []))
+    return out
+
+
 def scan_bulk_csv(spark: SparkSession, root: str, dataset: str, columns: Sequence[str]) -> DataFrame:
-    """Every part <dataset>*.csv under root as strings, with file_name and a place that orders rows within a file.
+    """Every part <dataset>*.csv under root as strings, with file_name and seq, which orders rows by file and place.
 
-    Names come from each file's header in Spark's reader; a byte order mark on the first name is dropped there. Files
-    named <dataset>_summary* belong to another dataset.
+    Columns are found by each file's own header: parts may order them
+    differently, a column that a part lacks is null there, and more columns are
+    left out. A part with none of the columns is refused. Quoted values may hold
+    line breaks, so a file is read by one task; exports come in many parts.
+    Files named <dataset>_summary* belong to another dataset.
     """
-    rows = spark.read.schema(strings(columns)).option("header", True).option("enforceSchema", True).option("multiLine", False).csv(f"{root}/{dataset}*.csv")
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file_name"))
-    return rows.where(~F.col("file_name").startswith(f"{dataset}_summary")).withColumn("seq", F.monotonically_increasing_id())
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path, header in csv_headers(spark, f"{root}/{dataset}*.csv", f"{dataset}_summary").items():
+        if header:
+            layouts.setdefault(header, []).append(path)
+    out = None
+    for header, paths in sorted(layouts.items()):
+        if not set(header) & set(columns):
+            raise ValueError(f"no known column in the header of {', '.join(sorted(paths))}")
+        places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])  # names may repeat
+        rows = spark.read.schema(places).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(sorted(paths))
+        at = {n: i for i, n in reversed(list(enumerate(header)))}
+        one = rows.select(*[(F.col(f"c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in columns], F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("place"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], strings(columns).add("file_name", "string").add("place", "long"))
+    return out.withColumn("seq", F.struct("file_name", "place")).drop("place")
 
 
 def scan_gateway_json(pages: DataFrame, column: str = "value") -> DataFrame:

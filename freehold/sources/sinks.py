@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SOURCES = ((1, "bulk export"), (2, "gateway"))
+# Sources by code, with name, address, licence and whether a government publishes them.
+SOURCES = (
+    ("dld_gateway", "Dubai Land Department open data", "https://dubailand.gov.ae/en/open-data/real-estate-data/", "Dubai open data; attribution to Dubai Land Department", True),
+    ("datadubai_transactions", "data.dubai — DLD real estate transactions", "https://data.dubai/en/l/470061", "Dubai open data; attribution to Dubai Land Department", True),
+    ("datadubai_rents", "data.dubai — DLD rent contracts (Ejari)", "https://data.dubai/en/l/468586", "Dubai open data; attribution to Dubai Land Department", True),
+    ("osm", "OpenStreetMap (via Nominatim)", "https://www.openstreetmap.org/copyright", "ODbL — Open Database License; (c) OpenStreetMap contributors", False),
+    ("datadubai_buildings", "data.dubai — DLD building register", "https://data.dubai/en/l/459613", "Dubai open data; attribution to Dubai Land Department", True),
+    ("makani", "Makani — Dubai official addressing (find-place, Google-backed)", "https://www.makani.ae/", "Makani public find-place service; Google Places-derived", False),
+)
 
 
-def source_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SOURCES), "id int, name string")
+def source_table(spark: SparkSession, stored: DataFrame | None = None) -> DataFrame:
+    """(id, code, name, base_url, license, is_government): stored rows as they are, and the known sources that they lack, numbered on."""
+    known = spark.createDataFrame([(i, *s) for i, s in enumerate(SOURCES, 1)], "n int, code string, name string, base_url string, license string, is_government boolean")
+    if stored is None:
+        return known.withColumnRenamed("n", "id")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    new = known.join(stored.select("code"), "code", "left_anti").withColumn("place", F.row_number().over(Window.orderBy("n"))).join(F.broadcast(top))  # six rows and one
+    return stored.unionByName(new.withColumn("id", (F.col("top") + F.col("place")).cast(stored.schema["id"].dataType)).select(stored.columns))
 
 
 def write_facts(facts: DataFrame, path: str, day: str, entity: str = "area_id") -> None:
@@ -20,7 +34,11 @@ def write_facts(facts: DataFrame, path: str, day: str, entity: str = "area_id")
 
 
 def overwrite_mart(mart: DataFrame, path: str) -> None:
-    """The mart written whole beside the old one, then swapped in by renames."""
+    """The mart written whole beside the old one, then swapped in by renames.
+
+    Between the two renames a new reader finds no mart and must try again; one
+    that has listed the old files may fail. A failed write leaves the old mart.
+    """
     spark = mart.sparkSession
     mart.write.mode("overwrite").parquet(f"{path}.new")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -194,3 +194,55 @@ def test_later_steps_may_fail():
     assert T.post_batch_refresh([("a", lambda: None, True), ("b", bad, False)]) == [("a", "ok"), ("b", "failed: KeyError")]
     with pytest.raises(KeyError):
         T.post_batch_refresh([("b", bad, True)])
+
+
+def test_csv_parts_are_read_by_their_headers(spark, tmp_path):
+    from freehold.sources.landing import scan_bulk_csv
+
+    for name, text in {
+        "t_1.csv": "a,b\n1,x\n2,\"two\nlines, and a \"\"quote\"\"\"\n", "t_2.csv": "﻿b, a ,more\ny,3,z\n", "t_3.csv": "b\nw\n", "t_4.csv": "", "t_summary_1.csv": "a,b\n9,9\n", "other.csv": "a,b\n8,8\n",
+    }.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    out = scan_bulk_csv(spark, f"file://{tmp_path}", "t", ("a", "b"))
+    assert [(r["a"], r["b"], r["file_name"]) for r in out.orderBy("seq").collect()] == [("1", "x", "t_1.csv"), ("2", 'two\nlines, and a "quote"', "t_1.csv"), ("3", "y", "t_2.csv"), (None, "w", "t_3.csv")]
+    assert scan_bulk_csv(spark, f"file://{tmp_path}", "none", ("a", "b")).count() == 0
+    with pytest.raises(ValueError):
+        scan_bulk_csv(spark, f"file://{tmp_path}", "other", ("x", "y"))
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_ids_are_numbered_on_in_order(spark, rows, monkeypatch):
+    from freehold.operators import upsert
+
+    monkeypatch.setattr(upsert, "NUMBER_ROWS", rows)
+    have = spark.createDataFrame([(7, "old")], "id bigint, name string")
+    new = spark.createDataFrame([(f"n{i * 37 % 50:02d}",) for i in range(50)], "name string")
+    got = {r["name"]: r["id"] for r in upsert.assign_ids(have, new, [F.col("name")]).collect()}
+    assert got == {"old": 7, **{f"n{i:02d}": 8 + i for i in range(50)}}
+    assert upsert.assign_ids(have, new.limit(0), [F.col("name")]).count() == 1
+
+
+def test_sources_are_added_once(spark):
+    from freehold.sources.sinks import source_table
+
+    first = source_table(spark)
+    assert first.count() == 6 and source_table(spark, first.where("id < 3")).count() == 6 and source_table(spark, first).exceptAll(first).count() == 0
+
+
+def test_summary_scans_its_points_once(spark, tmp_path):
+    from freehold.operators import series
+
+    schema = "entity_id int, month date, usage string, sale_median_price_m2 double, sale_cnt bigint, rent_median_annual_m2 double, rent_cnt bigint"
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/points")
+    plan = series.summarize(spark.read.parquet(f"file://{tmp_path}/points"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pooled_points_hold_all_anchors(spark, monkeypatch):
+    from freehold.operators import series
+
+    monkeypatch.setattr(series, "POOL_PARTS", 5)
+    rows = [(e, m, "U", 100.0 * (e * 31 % 17 + 1) + m, e % 5, 10.0 + e * m % 7, (e + m) % 4) for e in range(40) for m in range(30)]
+    df = spark.createDataFrame(rows, "entity_id int, m int, usage string, sale_median_price_m2 double, sale_cnt bigint, rent_median_annual_m2 double, rent_cnt bigint").withColumn("month", F.expr("add_months(date '2020-01-01', m)")).drop("m")
+    want = series.summarize(df, "usage").first().asDict()
+    assert series.compare_usage(df).first().asDict() == want
