@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 #: Steps of a key's natural logarithm by which a source's words are summed; whatever the weights, a step holds at most 1 / (e FINE) of a source's documents of one weight.
-FINE = 4096
+#: A source has some tens of times FINE steps at most, which one task adds up, and the documents of one step are sorted by one task.
+FINE = 512
 _WORD_RUN = "[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"
 _ODD = "[^0-9#*$%&|<>!=_{}~^]++"
 
