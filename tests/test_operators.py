@@ -246,3 +246,40 @@ def test_pooled_points_hold_all_anchors(spark, monkeypatch):
     df = spark.createDataFrame(rows, "entity_id int, m int, usage string, sale_median_price_m2 double, sale_cnt bigint, rent_median_annual_m2 double, rent_cnt bigint").withColumn("month", F.expr("add_months(date '2020-01-01', m)")).drop("m")
     want = series.summarize(df, "usage").first().asDict()
     assert series.compare_usage(df).first().asDict() == want
+
+
+def test_geometric_median_is_the_least_total_distance(spark):
+    """Against brute force: no step from the median is better, and the spread is the percentile of distances to it."""
+    import math
+    import random
+
+    import numpy as np
+
+    from freehold.operators import places
+
+    r = random.Random(4)
+    groups = {g: [(55 + r.random(), 25 + r.random()) for _ in range(n)] for g, n in ((1, 1), (2, 2), (3, 7), (4, 40))}
+    groups[5] = [(55.0, 25.0)] * 5 + [(55.5, 25.5), (55.1, 25.9)]  # the median is a point
+    df = spark.createDataFrame([(g, *p) for g, ps in groups.items() for p in ps], "g int, lon double, lat double")
+    got = {x["g"]: x for x in places.geometric_median(df, "g").collect()}
+    assert set(got) == set(groups)
+
+    def metres(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(h))
+
+    for g, ps in groups.items():
+        at = (got[g]["lon"], got[g]["lat"])
+        total = lambda c: sum(math.dist(c, p) for p in ps)  # noqa: B023, E731
+        assert all(total(at) <= total((at[0] + dx, at[1] + dy)) + 1e-7 for dx in (-1e-3, 0, 1e-3) for dy in (-1e-3, 0, 1e-3))
+        assert got[g]["n_points"] == len(ps) and got[g]["spread_p90_m"] == pytest.approx(np.percentile([metres(at, p) for p in ps], 90), abs=0.01)
+
+
+def test_projects_take_the_better_point(spark):
+    from freehold.operators import places
+
+    projects = spark.createDataFrame([(1, 55.0, 25.0, "building_point"), (2, 54.0, 24.0, "area_centroid"), (3, None, None, None), (4, None, None, None)], "id int, lon double, lat double, geo_method string")
+    found = spark.createDataFrame([(1, 9.0, 9.0, True), (2, 8.0, 8.0, True), (3, 7.0, 7.0, True), (4, 6.0, 6.0, False)], "id int, lon double, lat double, inside boolean")
+    got = {r["id"]: (r["lon"], r["geo_method"]) for r in places.accept_project_points(projects, found).collect()}
+    assert got == {1: (55.0, "building_point"), 2: (8.0, "validated"), 3: (7.0, "validated"), 4: (None, None)}
