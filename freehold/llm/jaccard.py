@@ -277,10 +277,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     # 1: a list counts as shared when it holds two different nodes, however many copies of one
     signed = scratch.save(signatures(known, True), "signed")
-    posts = signed.where("n > 0").select("doc_id", "node", "n", F.explode("sieve").alias("t"))
+    posts = signed.where("n > 0").select("doc_id", "node", F.explode("sieve").alias("t"))
     lists = scratch.save(posts.groupBy("t").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("t"), "lists")
     need = F.greatest(F.lit(1), F.ceil(_rest(F.col("n")) / F.lit(10.0)))  # the level of the smallest partner
-    hits = posts.join(lists, "t").groupBy("doc_id", "node", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= need)
+    hits = posts.select("doc_id", "t").join(lists, "t").groupBy("doc_id").agg(F.count("*").alias("hits"))  # of all rows of a repeated id: too many at worst, which keeps more
+    hits = hits.join(signed.where("n > 0").select("doc_id", "node", "n"), "doc_id").where(F.col("hits") >= need)
     alive = scratch.save(hits.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")), "alive")
 
     # 2 and 3: a repeated id may count a shingle twice, which changes the order for all nodes alike
