@@ -307,6 +307,17 @@ def test_licences(spark, odd, odd_rows, empty):
     got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licences.scan(df, model).collect()}
     assert all(got[i] == (name, True) for i, name in enumerate(licences.TEMPLATES))
     assert got[50] == (None, False) and got[51][1] is False and got[52] == (None, False)
+    others = [
+        "The following conditions are met", "You may win only provided that the following conditions are met.",
+        "This work is licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the Eclipse Public License, version 2.0.", "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ]
+    wrapped = licences.TEMPLATES["apache-2.0"][1].replace("; you", ";\nyou").replace("except in", "except\nin")
+    told = spark.createDataFrame([*enumerate(others), (20, prose(5, 30) + "\n" + wrapped + "\n" + prose(6, 30)), (21, "Licensed under CC BY-NC 3.0.")], "doc_id bigint, text string")
+    told = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licences.scan(told, model).collect()}
+    assert [told[i] for i in range(len(others)) if told[i] not in ((None, False), ("unknown", False))] == []
+    assert told[20] == ("apache-2.0", True) and told[21] == ("cc-by-nc", True)
     assert licences.scan(odd, model, keep=["doc_id", "row"]).count() == len(odd_rows)
     assert licences.scan(empty, licences.train(empty)).count() == 0
 
