@@ -283,12 +283,14 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     hits = posts.select("doc_id", "t").join(lists, "t").groupBy("doc_id").agg(F.count("*").alias("hits"))  # of all rows of a repeated id: too many at worst, which keeps more
     hits = hits.join(signed.where("n > 0").select("doc_id", "node", "n"), "doc_id").where(F.col("hits") >= need)
     alive = scratch.save(hits.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")), "alive")
+    wide, signed = signed, scratch.save(signed.select("doc_id", "n", "node"), "ids")
+    scratch.drop(wide, lists)  # the sieve's prefixes are the largest table
 
     # 2 and 3: a repeated id may count a shingle twice, which changes the order for all nodes alike
     sets = full_sets(pick_ids(known, alive.select("doc_id"), "doc_id").select("doc_id", "text"))
     counts = scratch.save(sets.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     nodes = scratch.save(with_prefixes(sets.join(counts, "t"), alive.select("node", "n")), "nodes")
-    scratch.drop(lists, counts)
+    scratch.drop(counts)
 
     groups = link_components(nodes, scratch).withColumnRenamed("comp", "label")
 
