@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive, bpe, chaining, divergence, hilbert, jaccard, licences, mixing, subword, urls
+from . import additive, bpe, chaining, chunks, divergence, hilbert, jaccard, licences, mixing, repair, runs, subword, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_hilbert_neighbours": hilbert.op9_hilbert_neighbours,
     "op10_quality_rules": divergence.op10_quality_rules,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_sentencepiece": chunks.op12_sentencepiece,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 ORACLE_SQL = {
     "op1_url_filter": urls.OP1_SQL,
