@@ -27,7 +27,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,7 +224,7 @@ def _judge(column: pa.Array, least: int, times: int) -> tuple[list[list[tuple[in
     return runs, joined.to_pylist()
 
 
-def periodic_runs(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str | Column = "text", least: int = LEAST_WORDS, times: int = LEAST_TIMES, with_text: bool = True) -> DataFrame:
+def periodic_runs(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", least: int = LEAST_WORDS, times: int = LEAST_TIMES, with_text: bool = True) -> DataFrame:
     """(row, runs, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed, collapsed_sha256), a row a document.
 
     runs holds (start, length, period) of every run by start, then period;
@@ -232,7 +232,7 @@ def periodic_runs(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
     first). collapsed is the text without what a run says again, null unless
     with_text.
     """
-    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), (docs[text_col] if isinstance(text_col, str) else text_col).alias("text"))
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
     run_type = "array<struct<start:bigint,length:bigint,period:bigint>>"
     names = ["runs", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed", "collapsed_sha256"]
     kinds = [run_type, *["bigint"] * 5, *["string"] * 3]
@@ -258,18 +258,22 @@ def periodic_runs(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
     return slim.mapInArrow(run, schema)
 
 
-def looped(doc_id: Column, text: Column) -> Column:
-    """text, or, for a tenth of the ids, its words from some word on replaced by a loop of the next few."""
-    h = F.crc32(doc_id.cast("string"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n, g = F.size(words).cast("bigint"), F.floor(h / 10)
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): for a tenth of the ids, words from some word on are replaced by a loop of the next few.
+
+    The words are a column of their own first, so they are split once, and of that tenth only.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("_words"))
+    n, g = F.nullif(F.size("_words").cast("bigint"), F.lit(0)), F.floor(F.col("_h") / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    loop = F.transform(F.sequence(F.lit(0).cast("bigint"), n - a - 1), lambda i: F.get(words, (a + i % p).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), loop), " ")).otherwise(text)
+    once = F.slice("_words", (a + 1).cast("int"), p.cast("int"))
+    loop = F.slice(F.flatten(F.array_repeat(once, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return split.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), a.cast("int")), loop), " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = periodic_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text")), with_text=False)
+    out = periodic_runs(looped(docs), with_text=False)
     return out.select("row.doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
