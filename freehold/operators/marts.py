@@ -40,22 +40,32 @@ def qualifying_rents(rents: DataFrame, as_of: str, cutover: str | None = None) -
     return rents.where(F.col("rent_per_m2_year").between(RENT_M2_MIN, RENT_M2_MAX) & F.col("start_date").isNotNull() & (F.col("start_date") <= horizon) & precedence_condition(F.col("registration_date"), cutover))
 
 
+# Columns of the marts and the percentiles that they are.
+SALE_POINTS = {"sale_median_price_m2": 0.5, "sale_p25_price_m2": 0.25, "sale_p75_price_m2": 0.75}
+RENT_POINTS = {"rent_median_annual_m2": 0.5}
+
+
+def monthly_cells(counted: DataFrame, entity: str, name: str, points: dict[str, float]) -> DataFrame:
+    """Count and exact percentiles of each (entity, month, usage) from counted values (v, n)."""
+    many = F.percentile("v", F.array(*[F.lit(p) for p in points.values()]), F.col("n"))
+    out = counted.groupBy(entity, "month", "usage").agg(F.sum("n").alias(f"{name}_cnt"), many.alias("q"))
+    return out.select(entity, "month", "usage", f"{name}_cnt", *[half_up(F.get("q", F.lit(i))).alias(c) for i, c in enumerate(points)])
+
+
 def _monthly(facts: DataFrame, entity: str, day: str, value: str, name: str, points: dict[str, float]) -> DataFrame:
     keys = [F.col(entity), F.trunc(day, "month").alias("month"), F.coalesce("usage", F.lit("Unknown")).alias("usage")]
     v = F.col(value).cast("double")
     counted = facts.select(*keys, v.alias("v")).groupBy(entity, "month", "usage", "v").agg(F.count("*").alias("n"))
-    many = F.percentile("v", F.array(*[F.lit(p) for p in points.values()]), F.col("n"))
-    out = counted.groupBy(entity, "month", "usage").agg(F.sum("n").alias(f"{name}_cnt"), many.alias("q"))
-    return out.select(entity, "month", "usage", f"{name}_cnt", *[half_up(F.get("q", F.lit(i))).alias(c) for i, c in enumerate(points)])
+    return monthly_cells(counted, entity, name, points)
 
 
 def sale_monthly(sales: DataFrame, entity: str) -> DataFrame:
     """Count, median and quartiles of price per m2 by entity, month and usage of qualifying sales."""
-    return _monthly(sales, entity, "txn_date", "price_per_m2", "sale", {"sale_median_price_m2": 0.5, "sale_p25_price_m2": 0.25, "sale_p75_price_m2": 0.75})
+    return _monthly(sales, entity, "txn_date", "price_per_m2", "sale", SALE_POINTS)
 
 
 def rent_monthly(rents: DataFrame, entity: str) -> DataFrame:
-    return _monthly(rents, entity, "start_date", "rent_per_m2_year", "rent", {"rent_median_annual_m2": 0.5})
+    return _monthly(rents, entity, "start_date", "rent_per_m2_year", "rent", RENT_POINTS)
 
 
 def join_monthly(sales: DataFrame, rents: DataFrame, entity: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators import marts as M
 from ..operators import precedence as P
 from ..operators import quality as Q
 from ..operators import series as S
-from ..sources.work import kept
+from ..sources.snapshots import fresh_snapshot, session_dir
 from . import views as V
 from .registry import query
 from .views import AS_OF, CUTOVER, with_
@@ -38,19 +39,22 @@ def project_mart(spark: S1, sf: str) -> D1:
     return M.project_monthly_mart(kept_sales(spark, sf), kept_rents(spark, sf))
 
 
-_marts: dict[tuple[str, str, str], D1] = {}
+#: What marts are built from.
+MART_TABLES = ("lineitem", "orders", "customer", "part", "supplier")
 
 
 def stored(spark: S1, sf: str, name: str, build: Callable[[S1, str], D1]) -> D1:
-    """A mart as reads find it: written once a session from the tables of sf, then scanned."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _marts:
-        _marts[key] = kept(build(spark, sf), name)
-    return _marts[key]
+    """A mart as reads find it: scanned from its snapshot, which is built anew when the tables of sf have changed."""
+    root = f"{session_dir(spark)}/{hashlib.sha256(sf.encode()).hexdigest()[:16]}/{name}"
+    return fresh_snapshot(spark, root, [f"{sf}/{t}.parquet" for t in MART_TABLES], lambda: build(spark, sf))
+
+
+def stored_areas(spark: S1, sf: str) -> D1:
+    return stored(spark, sf, "area-monthly", area_mart)
 
 
 def points(spark: S1, sf: str) -> D1:
-    return S.entity_series(stored(spark, sf, "area-monthly", area_mart), "area_id", AS_OF)
+    return S.entity_series(stored_areas(spark, sf), "area_id", AS_OF)
 
 
 def masked(spark: S1, sf: str) -> D1:
@@ -165,7 +169,7 @@ def coverage_report(s: S1, d: str) -> D1:
 query(
     "latest_month_top_areas",
     with_(["area_mart", "area"], "SELECT month, area_id, name_en AS area_name, sale_cnt, sale_median_price_m2 FROM area_mart m LEFT JOIN area a ON a.id = m.area_id WHERE usage = 'PROMO' AND sale_cnt >= 3 AND month = (SELECT max(month) FROM area_mart WHERE usage = 'PROMO' AND sale_cnt >= 3) ORDER BY sale_median_price_m2 DESC NULLS LAST, area_id LIMIT 10"),
-)(lambda s, d: M.latest_month_top_areas(area_mart(s, d), V.area(s, d), "PROMO", 3))
+)(lambda s, d: M.latest_month_top_areas(stored_areas(s, d), V.area(s, d), "PROMO", 3))
 
 # ---------------------------------------------------------------- D redirects
 
@@ -247,7 +251,7 @@ query("exclude_ambiguous_old", with_(["sale", "evidence"], "SELECT area_id, coun
     lambda s, d: A.exclude_ambiguous_old(V.sale(s, d), V.evidence(s)).groupBy("area_id").agg(F.count("*").alias("row_count"))
 )
 query("canonical_label_join", with_(["area_mart", "area"], "SELECT coalesce(s.new_area_id, m.area_id)::INT AS canonical_area_id, a.name_en AS area_name, m.month, m.usage, m.sale_cnt FROM area_mart m LEFT JOIN single_successor s ON s.old_area_id = m.area_id LEFT JOIN area a ON a.id = coalesce(s.new_area_id, m.area_id)"))(
-    lambda s, d: A.canonical_label(area_mart(s, d), V.area(s, d), V.evidence(s)).select("canonical_area_id", "area_name", "month", "usage", "sale_cnt")
+    lambda s, d: A.canonical_label(stored_areas(s, d), V.area(s, d), V.evidence(s)).select("canonical_area_id", "area_name", "month", "usage", "sale_cnt")
 )
 
 # ---------------------------------------------------------------- G series
@@ -274,7 +278,7 @@ def _series_sql(key: str, pts: str = "mpts") -> list[str]:
 
 _SER = [_PTS, _MASK, *_series_sql("entity_id")]
 query("entity_series", with_(["area_mart"], "SELECT entity_id, month, usage, v AS sale_median_price_m2, n AS sale_cnt, rv AS rent_median_annual_m2, rn AS rent_cnt FROM pts WHERE usage = 'PROMO' AND month BETWEEN DATE '1997-01-01' AND DATE '1998-12-01'", _PTS))(
-    lambda s, d: S.entity_series(area_mart(s, d), "area_id", AS_OF, "PROMO", "1997-01-01", "1998-12-01")
+    lambda s, d: S.entity_series(stored_areas(s, d), "area_id", AS_OF, "PROMO", "1997-01-01", "1998-12-01")
 )
 query("mask_min_sample", with_(["area_mart"], "SELECT entity_id, month, usage, v AS sale_median_price_m2, n AS sale_cnt, rv AS rent_median_annual_m2, rn AS rent_cnt FROM mpts", _PTS, _MASK))(masked)
 query("anchor_window", with_(["area_mart"], "SELECT entity_id, start_value_aed_m2, start_sample_size, start_midpoint, start_months, end_value_aed_m2, end_sample_size, end_midpoint, end_months FROM growth", *_SER))(
@@ -345,7 +349,7 @@ _LATEST = f"lam AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY are
 def latest_metrics(s: S1, d: str) -> D1:
     from ..operators.places import latest_area_metrics
 
-    return latest_area_metrics(area_mart(s, d), AS_OF, MIN)
+    return latest_area_metrics(stored_areas(s, d), AS_OF, MIN)
 
 
 query("quantile_classes", with_(["area_mart"], "SELECT area_id, sale_median_price_m2, len(list_filter((SELECT quantile_cont(sale_median_price_m2, [0.2, 0.4, 0.6, 0.8]) FROM lam), lambda b: sale_median_price_m2 >= b))::INT AS quantile_class FROM lam", _LATEST))(
@@ -374,7 +378,7 @@ query("page_with_has_more", with_(["rent"], "SELECT source_ref, start_date, true
 )
 query("count_matching", with_(["sale", "area"], f"SELECT count(*) AS total FROM ({_TX})"))(lambda s, d: H.count_matching(transactions(s, d)))
 query("read_area_monthly", with_(["area_mart", "area"], "SELECT coalesce(s.new_area_id, m.area_id)::INT AS canonical_area_id, a.name_en AS area_name, month, usage, sale_cnt, sale_median_price_m2 FROM area_mart m LEFT JOIN single_successor s ON s.old_area_id = m.area_id LEFT JOIN area a ON a.id = coalesce(s.new_area_id, m.area_id) WHERE m.area_id IN (SELECT area_id FROM exp) AND (coalesce(sale_cnt, 0) >= 3 OR coalesce(rent_cnt, 0) >= 3) AND month >= DATE '1997-01-01'", _EXP.format(ids="3, 5")))(
-    lambda s, d: H.read_area_monthly(stored(s, d, "area-monthly", area_mart), V.area(s, d), V.evidence(s), requested(s, d, (3, 5)), 3, month_from="1997-01-01").select("canonical_area_id", "area_name", "month", "usage", "sale_cnt", "sale_median_price_m2")
+    lambda s, d: H.read_area_monthly(stored_areas(s, d), V.area(s, d), V.evidence(s), requested(s, d, (3, 5)), 3, month_from="1997-01-01").select("canonical_area_id", "area_name", "month", "usage", "sale_cnt", "sale_median_price_m2")
 )
 query("read_project_monthly", with_(["project_mart", "project"], "SELECT project_id, name_en AS project_name, month, usage, sale_cnt FROM project_mart LEFT JOIN project ON id = project_id WHERE project_id IN (1, 2, 3) AND usage = 'PROMO'"))(
     lambda s, d: H.read_project_monthly(stored(s, d, "project-monthly", project_mart), V.project(s, d), V.project(s, d).where("id in (1, 2, 3)").select(F.col("id").alias("project_id")), usage="PROMO").select("project_id", "project_name", "month", "usage", "sale_cnt")
@@ -382,7 +386,7 @@ query("read_project_monthly", with_(["project_mart", "project"], "SELECT project
 query("read_building_summary", with_(["sale_kept", "building"], "SELECT building_id, name_en AS building_name, area_id, usage, sale_cnt_total FROM summary LEFT JOIN building ON id = building_id WHERE sample_tier = 'insufficient' AND sale_cnt_total >= 2", *_ALL, _SUMMARY))(
     lambda s, d: H.read_building_summary(stored(s, d, "building-summary", summary), V.building(s, d), tier="insufficient", min_sample=2).select("building_id", "building_name", "area_id", "usage", "sale_cnt_total")
 )
-query("requested_vs_returned", with_(["area_mart", "area"], "SELECT id AS area_id, id IN (SELECT area_id FROM area_mart WHERE usage = 'PROMO') AS has_data FROM area"))(lambda s, d: H.requested_vs_returned(V.area(s, d).select(F.col("id").alias("area_id")), area_mart(s, d).where("usage = 'PROMO'"), "area_id"))
+query("requested_vs_returned", with_(["area_mart", "area"], "SELECT id AS area_id, id IN (SELECT area_id FROM area_mart WHERE usage = 'PROMO') AS has_data FROM area"))(lambda s, d: H.requested_vs_returned(V.area(s, d).select(F.col("id").alias("area_id")), stored_areas(s, d).where("usage = 'PROMO'"), "area_id"))
 query("list_projects", with_(["project", "project_reviewed"], "SELECT id, name_en, area_id FROM project WHERE (area_id = 21 OR id IN (SELECT project_id FROM project_reviewed WHERE new_area_id = 21)) AND NOT is_master"))(
     lambda s, d: H.list_projects(V.project(s, d), A.project_actual_reviewed(V.project_actual(s, d), V.evidence(s)), 21, False).select("id", "name_en", "area_id")
 )
@@ -400,7 +404,7 @@ query("seam_check", with_(["rent"], f"SELECT date_trunc('month', registration_da
     lambda s, d: Q.seam_check(V.rent(s, d), "registration_date", CUTOVER)
 )
 query("mart_reconciliation", with_(["area_mart", "sale_kept"], "SELECT (SELECT count(*) FROM sale_kept) AS raw_total, sum(sale_cnt) FILTER (area_id <> 7)::BIGINT AS canonical_total, coalesce(sum(sale_cnt) FILTER (area_id = 7), 0)::BIGINT AS ambiguous_total, 0::BIGINT AS difference FROM area_mart"))(
-    lambda s, d: Q.mart_reconciliation(kept_sales(s, d), area_mart(s, d), A.ambiguous_areas(V.evidence(s)))
+    lambda s, d: Q.mart_reconciliation(kept_sales(s, d), stored_areas(s, d), A.ambiguous_areas(V.evidence(s)))
 )
 _O = "a AS (SELECT txn_date::DATE AS day, area_id, actual_area_m2::DOUBLE AS size, round(amount_aed, 0)::DOUBLE AS price, txn_number FROM sale), b AS (SELECT CASE WHEN substr(txn_number, 1, 1) = '1' THEN day + 1 ELSE day END AS day, area_id, size, CASE WHEN substr(txn_number, 1, 1) = '2' THEN price + 5 ELSE price END AS price FROM a WHERE substr(txn_number, 1, 1) <> '3')"
 
@@ -431,7 +435,7 @@ query("profile_columns", with_(["rent"], f"SELECT count(*) AS row_count, count(*
 query("counts_by_year", with_(["sale"], "SELECT year(txn_date)::INT AS year, count(*) AS row_count FROM sale GROUP BY 1"))(lambda s, d: Q.counts_by_year(V.sale(s, d), "txn_date"))
 query("constant_within_group", "SELECT count(*) AS groups, count(*) FILTER (a <> b) AS varying FROM (SELECT min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_orderkey)")(lambda s, d: Q.constant_within_group(V.table(s, d, "lineitem"), "l_orderkey", "l_shipdate"))
 query("sample_size_distribution", with_(["area_mart"], "SELECT c.*, e.* FROM (SELECT count(*) AS cells, count(*) FILTER (sale_cnt = 1) AS single, count(*) FILTER (sale_cnt >= 5) AS at_least_5, count(*) FILTER (sale_cnt >= 20) AS at_least_20 FROM area_mart WHERE sale_cnt > 0) c, (SELECT count(*) AS entities, count(*) FILTER (hi >= lo + INTERVAL 24 MONTH) AS two_years FROM (SELECT min(month) AS lo, max(month) AS hi FROM area_mart WHERE sale_cnt > 0 GROUP BY area_id)) e"))(
-    lambda s, d: Q.sample_size_distribution(area_mart(s, d), "area_id")
+    lambda s, d: Q.sample_size_distribution(stored_areas(s, d), "area_id")
 )
 query("name_match_coverage", "WITH a AS (SELECT DISTINCT upper(trim(p_name)) AS n FROM part), b AS (SELECT DISTINCT upper(trim(p_name)) AS n FROM part WHERE p_size > 25) SELECT count(*) AS names, count(b.n) AS found FROM a LEFT JOIN b USING (n)")(
     lambda s, d: Q.name_match_coverage(V.building(s, d), V.table(s, d, "part").where("p_size > 25").select(F.concat(F.lit(" "), F.lower("p_name"), F.lit("  ")).alias("name_en")))

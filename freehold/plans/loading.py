@@ -11,18 +11,22 @@ from ..functions import clean as C
 from ..functions import geometry as G
 from ..functions.text import trigram_similarity
 from ..operators import fuzzy as I
+from ..operators import marts as M
 from ..operators import places as J
+from ..operators import refresh as R
 from ..operators import upsert as U
 from ..operators.listings import geo_filter, list_areas
 from ..operators.series import split_by_boundary
 from ..sources import landing as L
 from ..sources import sinks as K
+from ..sources.layers import Layers
+from ..sources.snapshots import publish_snapshot, read_snapshot
 from ..sources.work import work_dir
 from ..streaming import feed as T
 from . import views as V
 from .analytics import area_mart, latest_metrics
 from .registry import query
-from .views import with_
+from .views import AS_OF, CUTOVER, with_
 
 S1, D1 = SparkSession, DataFrame
 
@@ -159,10 +163,11 @@ def write_facts(s: S1, d: str) -> D1:
 
 @query("overwrite_mart", with_(["area_mart"], "SELECT area_id, month, usage, sale_cnt, rent_cnt FROM area_mart"))
 def overwrite_mart(s: S1, d: str) -> D1:
-    path = f"{work_dir(s)}/mart"
-    K.overwrite_mart(V.area(s, d), path)
-    K.overwrite_mart(area_mart(s, d), path)
-    return s.read.parquet(path).select("area_id", "month", "usage", "sale_cnt", "rent_cnt")
+    """A second version over a first of other columns; the read finds the last one."""
+    root = work_dir(s, "mart")
+    publish_snapshot(V.area(s, d), root)
+    publish_snapshot(area_mart(s, d), root)
+    return read_snapshot(s, root).select("area_id", "month", "usage", "sale_cnt", "rent_cnt")
 
 
 @query("export_snapshot", with_(["sale"], "SELECT txn_number, strftime(txn_date, '%Y-%m-%dT%H:%M:%S') AS txn_date, amount_aed::DOUBLE AS amount_aed FROM sale WHERE area_id = 5"))
@@ -211,6 +216,18 @@ def upserted(s: S1, d: str) -> D1:
 query("guarded_upsert", with_(["sale"], "SELECT source_id, txn_number, txn_date::VARCHAR AS day, actual_area_m2::DOUBLE AS area_m2, amount::DOUBLE AS amount, action FROM up", _LAST, _UP))(
     lambda s, d: upserted(s, d).select("source_id", "txn_number", F.col("txn_date").cast("string").alias("day"), F.col("actual_area_m2").cast("double").alias("area_m2"), F.col("amount_aed").cast("double").alias("amount"), "action")
 )
+
+
+@query("layered_upsert", with_(["sale"], "SELECT source_id, txn_number, txn_date::VARCHAR AS day, actual_area_m2::DOUBLE AS area_m2, amount::DOUBLE AS amount FROM up", _LAST, _UP))
+def layered_upsert(s: S1, d: str) -> D1:
+    """The same batch laid on stored sales by year of their date: only years of the batch are read, only changed rows written."""
+    stored, batch = batches(s, d)
+    sales = Layers(s, work_dir(s, "sales"), stored.schema, U.SALE_KEY, F.year("txn_date"))
+    sales.replace(lambda _: stored, ())
+    sales.upsert(batch, U.UPDATE_COLUMNS["gateway_sale"][:2] + ("usage", "amount_aed"), "load", 1)
+    return sales.read().select("source_id", "txn_number", F.col("txn_date").cast("string").alias("day"), F.col("actual_area_m2").cast("double").alias("area_m2"), F.col("amount_aed").cast("double").alias("amount"))
+
+
 query("upsert_update_cols", with_(["sale"], "SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'keep') AS kept FROM up", _LAST, _UP))(lambda s, d: U.written_counts(upserted(s, d)))
 
 
@@ -483,25 +500,25 @@ def stream_dedupe(s: S1, d: str) -> D1:
     return s.read.parquet(f"{root}/staged").select(F.get_json_object("payload", "$.k").alias("k"))
 
 
+T_FACTS = T.schema_of("event_type string, k string, event_id bigint")
+
+
 @query("stream_upsert", "SELECT event_type, json_extract_string(props, '$.k') AS k, coalesce(max(event_id) FILTER (event_id % 2 = 1), max(event_id)) AS event_id FROM events GROUP BY 1, 2")
 def stream_upsert(s: S1, d: str) -> D1:
     root = work_dir(s)
     landed(s, d, root, "event_id % 2 = 0", "a")
 
+    key = ("event_type", "k")
+    facts = Layers(s, f"{root}/facts", T_FACTS, key, F.pmod(F.xxhash64(*key), F.lit(4)), compact_after=1)
+
     def handle(batch: D1, i: int) -> None:
-        """Facts after batch i: those after the batch before, and this one. A batch run again, or after a restart, writes its own folder anew."""
         rows = batch.select("event_type", F.get_json_object("payload", "$.k").alias("k"), "event_id")
-        spark = batch.sparkSession
-        stored = spark.read.schema(rows.schema).parquet(f"{root}/facts/after={i - 1}") if i else spark.createDataFrame([], rows.schema)
-        out = T.upsert_batch(stored, rows, ("event_type", "k"), ("event_id",), [F.col("event_id")])
-        out.drop("action").write.mode("overwrite").parquet(f"{root}/facts/after={i}")
+        T.upsert_batch(facts, rows, ("event_id",), [F.col("event_id")], "feed", i)
 
     T.run_to_end(feed(s, root), handle, f"{root}/cp")
     landed(s, d, root, "event_id % 2 = 1", "b")
     T.run_to_end(feed(s, root), handle, f"{root}/cp")
-    facts = s.read.parquet(f"{root}/facts")
-    late = facts.join(F.broadcast(facts.agg(F.max("after").alias("after"))), "after", "left_semi")  # one row
-    return late.groupBy("event_type", "k").agg(F.max("event_id").alias("event_id"))
+    return facts.read()
 
 
 query("event_cursor", "SELECT event_type AS endpoint, greatest(max(ts::DATE), CASE WHEN event_type = 'click' THEN DATE '2030-01-01' END) AS \"cursor\" FROM events GROUP BY event_type")(
@@ -513,26 +530,65 @@ query("overlap_window", "SELECT event_type AS endpoint, CASE WHEN event_type = '
 query("month_windows", "WITH r AS (SELECT o_orderkey AS id, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 100)::INT - 10 AS b FROM orders), m AS (SELECT id, a, b, unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH))::DATE AS m FROM r WHERE a <= b) SELECT id, greatest(a, m) AS date_from, least(b, last_day(m)) AS date_to FROM m")(
     lambda s, d: T.month_windows(V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("date_from"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 100 - 10).cast("int")).alias("date_to")))
 )
-query("stream_monthly_counts", "SELECT event_type AS endpoint, date_trunc('month', ts)::DATE AS month, count(*) AS fetched, count(DISTINCT json_extract_string(props, '$.k')) AS staged FROM events GROUP BY 1, 2")(
-    lambda s, d: T.monthly_counts(hashed_events(s, d).select(F.col("event_type").alias("endpoint"), F.col("ts").alias("event_time"), "record_hash"))
-)
+@query("stream_monthly_counts", "SELECT event_type AS endpoint, date_trunc('month', ts + to_months((event_id % 7)::INT))::DATE AS month, count(*) + count(*) FILTER (event_id % 5 = 0) AS fetched, count(DISTINCT json_extract_string(props, '$.k')) AS staged FROM events GROUP BY 1, 2")
+def stream_monthly_counts(s: S1, d: str) -> D1:
+    """Events of seven months, late days landed first, the rest after a restart, and a fifth of them once more; a file a trigger."""
+    root = work_dir(s)
+    counts = T.counts_table(s, f"{root}/counts")
+    for part, where in (("a", "day(ts) > 15"), ("b", "day(ts) <= 15"), ("c", "event_id % 5 = 0")):
+        landed(s, d, root, where, part)
+        events = T.stream_pages(s, f"{root}/pages/*", SCHEMA, files_per_trigger=1)
+        when = F.expr("event_time + make_interval(0, event_id % 7)")
+        content = F.concat_ws("|", F.date_format(when, "yyyy-MM"), F.get_json_object("payload", "$.k"))  # what a month tells
+        T.run_counts(T.monthly_counts(events.select(F.col("event_type").alias("endpoint"), when.alias("event_time"), content.alias("record_hash"))), counts, f"{root}/cp")
+    return counts.read()
+
+
+def lookups(s: S1, d: str, evidence: D1) -> R.Lookups:
+    return R.Lookups(V.project(s, d), evidence, V.project_actual(s, d))
+
+
+@query("incremental_marts", with_(["area_mart"], "SELECT * FROM area_mart"))
+def incremental_marts(s: S1, d: str) -> D1:
+    """Half the facts, many of them wrong, under other redirects; then what makes them right, then the right redirects."""
+    sales, rents = last_sales(s, d).join(V.sale(s, d).select(*U.SALE_KEY, "project_id", "price_per_m2"), list(U.SALE_KEY)), V.rent(s, d)
+    other = V.evidence(s).withColumn("reviewed", (F.col("old_area_id") != 3) | F.col("reviewed").isNull())
+    mart = R.AreaMart(s, work_dir(s, "mart"), R.sale_side(lambda f: M.qualifying_sales(f, CUTOVER)), R.rent_side(lambda f: M.qualifying_rents(f, AS_OF, CUTOVER)))
+    wrong = sales.where("txn_date < timestamp '1997-06-01'").withColumn("price_per_m2", F.when(F.col("area_id") % 3 == 0, F.col("price_per_m2") * 2).otherwise(F.col("price_per_m2")).cast(sales.schema["price_per_m2"].dataType)).withColumn("txn_group", F.when(F.col("area_id") % 5 == 1, "Sales").otherwise(F.col("txn_group")))
+    facts = Layers(s, work_dir(s, "sales"), wrong.schema, U.SALE_KEY, F.year("txn_date"))
+    for batch, rows in enumerate((wrong, sales.where("txn_date >= timestamp '1994-01-01' or area_id % 3 = 0 or area_id % 5 = 1"))):
+        changed = facts.upsert(rows, ("price_per_m2", "txn_group", "project_id"), "load", batch)
+        mart.add("sale", R.signed(changed, mart.sides["sale"]), lookups(s, d, other), "load", batch)
+        part = rents.where(f"month(start_date) % 2 = {batch}")
+        mart.add("rent", R.counted(part, mart.sides["rent"]), lookups(s, d, other), "load", batch)
+    mart.redirect(lookups(s, d, other), lookups(s, d, V.evidence(s)))
+    return mart.read()
 
 
 @query("post_batch_refresh", with_(["area_mart"], "SELECT 'area' AS mart, count(*) AS row_count FROM area_mart"))
 def post_batch_refresh(s: S1, d: str) -> D1:
-    path = f"{work_dir(s)}/mart"
+    root = work_dir(s, "mart")
 
     def splits() -> None:
         raise ValueError("no landed lookups")
 
-    T.post_batch_refresh([("marts", lambda: K.overwrite_mart(area_mart(s, d), path), True), ("splits", splits, False)])
-    return s.read.parquet(path).agg(F.count("*").alias("row_count")).select(F.lit("area").alias("mart"), "row_count")
+    T.post_batch_refresh([("marts", lambda: publish_snapshot(area_mart(s, d), root), True), ("splits", splits, False)])
+    return read_snapshot(s, root).agg(F.count("*").alias("row_count")).select(F.lit("area").alias("mart"), "row_count")
 
 
-@query("stream_run_metrics", "SELECT 'feed' AS kind, count(*) AS row_count FROM events")
+@query("stream_run_metrics", "SELECT event_type, count(*) AS row_count, 1 + count(*) // count(*) AS runs FROM events GROUP BY 1")
 def stream_run_metrics(s: S1, d: str) -> D1:
+    """Rows by type as the running query observes them, batch by batch, over a restart."""
     root = work_dir(s)
-    landed(s, d, root, "true", "a")
-    q = T.run_to_end(feed(s, root), lambda b, i: b.write.mode("overwrite").parquet(f"{root}/out/batch={i}"), f"{root}/cp")
-    return s.createDataFrame([("feed", T.run_metrics(q)["rows"])], "kind string, row_count bigint")
-
+    metrics = T.RunMetrics(s, f"{root}/metrics")
+    kinds = [r[0] for r in V.table(s, d, "events").select("event_type").distinct().collect()]  # a few types, each a metric
+    s.streams.addListener(metrics)
+    try:
+        for part, where in (("a", "event_id % 2 = 0"), ("b", "event_id % 2 = 1")):
+            landed(s, d, root, where, part)
+            seen = feed(s, root).observe("events", *[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
+            metrics.wait(T.run_to_end(seen, lambda b, i: b.write.mode("overwrite").parquet(f"{root}/out/batch={i}"), f"{root}/cp"))
+    finally:
+        s.streams.removeListener(metrics)
+    each = metrics.batches().select("batch", F.explode("observed").alias("name", "n"))
+    return each.groupBy(F.regexp_replace("name", "^events\\.", "").alias("event_type")).agg(F.sum(F.col("n").cast("bigint")).alias("row_count"), F.count_distinct("batch").alias("runs"))

@@ -33,24 +33,6 @@ def write_facts(facts: DataFrame, path: str, day: str, entity: str = "area_id")
     out.repartition("year", F.pmod(F.xxhash64(entity), F.lit(64))).sortWithinPartitions("year", entity, day).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def overwrite_mart(mart: DataFrame, path: str) -> None:
-    """The mart written whole beside the old one, then swapped in by renames.
-
-    Between the two renames a new reader finds no mart and must try again; one
-    that has listed the old files may fail. A failed write leaves the old mart.
-    """
-    spark = mart.sparkSession
-    mart.write.mode("overwrite").parquet(f"{path}.new")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    now, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    fs = now.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
-
-
 def snapshot_row(table: DataFrame) -> DataFrame:
     """A table for export: decimals as doubles, dates and times as ISO text, nested columns as JSON."""
     cols = []
