@@ -7,15 +7,16 @@ boundary, or near its centroid where there is no boundary.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import AREA_ADDRESS_TYPES, CENTROID_RADIUS_M, PLACE_TYPES, PROJECT_ADDRESS_TYPES
 from ..functions.clean import parent_names
 from ..functions.geometry import bbox, haversine_m, point_geojson, point_in_multipolygon, shape_geojson
+from ..sources.work import kept
+from .areas import lookup
 
 PRECISE_METHODS = ("building_point", "building_centroid", "validated")
 
@@ -90,47 +91,94 @@ def accept_points(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, out.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def weiszfeld(lon: np.ndarray, lat: np.ndarray, steps: int = 200, close: float = 1e-10) -> tuple[float, float]:
-    """The planar point of least total distance; an iterate that meets a point is resolved by its pull (Vardi and Zhang)."""
-    p = np.stack([lon, lat], axis=1)
-    if len(p) == 1:
-        return float(lon[0]), float(lat[0])
-    x = p.mean(axis=0)
-    for _ in range(steps):
-        d = np.sqrt(((p - x) ** 2).sum(axis=1))
-        far = d > 1e-12
-        if not far.any():
-            break
-        w = 1 / d[far]
-        t = (p[far] * w[:, None]).sum(axis=0) / w.sum()
-        met = (~far).sum()
-        if met:
-            pull = np.sqrt((((p[far] - x) * w[:, None]).sum(axis=0) ** 2).sum())
-            share = min(1.0, met / pull) if pull else 1.0
-            t = (1 - share) * t + share * x
-        if np.abs(t - x).max() < close:
-            x = t
-            break
-        x = t
-    return float(x[0]), float(x[1])
+#: Rounds of geometric_median() at most, and the gradient of a group's mean distance at which it has its median.
+MEDIAN_ROUNDS, MEDIAN_GRADIENT = 200, 1e-10
+_SAME = 1e-12  # degrees
 
 
-def geometric_median(points: DataFrame, key: str) -> DataFrame:
-    """(key, lon, lat, n_points, spread_p90_m): planar median of each group's points and the 90th percentile of distances to it.
+def _pulls(points: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """For each group: sums over its points at the state's place (x, y) and at its candidate (cx, cy).
 
-    A project's buildings are few, so a group is one small frame.
+    gx, gy: pull of the points towards them; hxx, hxy, hyy: how the pull
+    changes; w: sum of inverse distances; total: sum of distances; here: points
+    at the place itself; near: the point next to it; ux, uy, there: pull and
+    points at the candidate.
     """
+    n, dx, dy, ex, ey = F.col("n"), F.col("lon") - F.col("x"), F.col("lat") - F.col("y"), F.col("lon") - F.col("cx"), F.col("lat") - F.col("cy")
+    d, e = F.sqrt(dx * dx + dy * dy), F.sqrt(ex * ex + ey * ey)
+    over = lambda c: F.nullif(F.col(c), F.lit(0.0))
+    rows = points.join(lookup(state), key).select("*", dx.alias("dx"), dy.alias("dy"), d.alias("d"), ex.alias("ex"), ey.alias("ey"), e.alias("e"))
+    far = lambda c, d: F.when(F.col(d) > _SAME, c)
+    add = lambda c, d="d": F.coalesce(F.sum(far(c, d)), F.lit(0.0))
+    return rows.groupBy(key).agg(
+        add(n * F.col("dx") / over("d")).alias("gx"),
+        add(n * F.col("dy") / over("d")).alias("gy"),
+        add(n * F.col("dy") ** 2 / over("d") ** 3).alias("hxx"),
+        add(-n * F.col("dx") * F.col("dy") / over("d") ** 3).alias("hxy"),
+        add(n * F.col("dx") ** 2 / over("d") ** 3).alias("hyy"),
+        add(n / over("d")).alias("w"),
+        F.sum(n * F.col("d")).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("d") <= _SAME, n)), F.lit(0)).alias("here"),
+        F.min_by(F.struct("lon", "lat"), F.struct("d", "lon", "lat")).alias("near"),
+        add(n * F.col("ex") / over("e"), "e").alias("ux"),
+        add(n * F.col("ey") / over("e"), "e").alias("uy"),
+        F.coalesce(F.sum(F.when(F.col("e") <= _SAME, n)), F.lit(0)).alias("there"),
+    )
+
+
+def _stepped(state: DataFrame, pulls: DataFrame, key: str) -> DataFrame:
+    """The state after a round: places that are medians are done, the others move."""
+    s = state.join(lookup(pulls), key)
+    c = F.col
+    norm = lambda a, b: F.sqrt(c(a) ** 2 + c(b) ** 2)
+    # a point is the median when the others pull at it with no more than its own weight
+    corner = c("cx").isNotNull() & (norm("ux", "uy") <= c("there") * (1 + 1e-12))
+    on_point = (c("here") > 0) & (norm("gx", "gy") <= c("here") * (1 + 1e-12))
+    flat = (c("here") == 0) & (norm("gx", "gy") <= MEDIAN_GRADIENT * c("n_points"))
+    done = corner | on_point | flat
+    worse = c("total") > c("best") * (1 + 1e-15)  # the last step went too far: take the short one from where it began
+    det = F.nullif(c("hxx") * c("hyy") - c("hxy") ** 2, F.lit(0.0))
+    slack = F.when(c("here") > 0, 1 - c("here") / F.nullif(norm("gx", "gy"), F.lit(0.0))).otherwise(1.0)  # a point that is met holds the place back
+    safe = {v: c(v) + slack * c(f"g{v}") / F.nullif(c("w"), F.lit(0.0)) for v in ("x", "y")}
+    newton = {"x": c("x") + (c("hyy") * c("gx") - c("hxy") * c("gy")) / det, "y": c("y") + (c("hxx") * c("gy") - c("hxy") * c("gx")) / det}
+    bold = (c("here") == 0) & F.coalesce(det > 1e-9 * c("hxx") * c("hyy"), F.lit(False))
+    move = lambda v: F.when(corner, c(f"c{v}")).when(done, c(v)).when(worse, c(f"s{v}")).when(bold, newton[v]).otherwise(safe[v])
+    return s.select(
+        key, "n_points", move("x").alias("x"), move("y").alias("y"),
+        *[F.when(worse & ~done, c(f"s{v}")).otherwise(safe[v]).alias(f"s{v}") for v in ("x", "y")],
+        F.least("best", "total").alias("best"), c("near.lon").alias("cx"), c("near.lat").alias("cy"), done.alias("done"),
+    )
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        lon, lat = weiszfeld(group["lon"].to_numpy(), group["lat"].to_numpy())
-        return pd.DataFrame({key: [group[key].iloc[0]], "lon": [lon], "lat": [lat], "n_points": [len(group)]})
 
-    kind = points.schema[key].dataType.simpleString()
-    p = points.where("lon is not null and lat is not null").select(key, "lon", "lat")
-    med = p.groupBy(key).applyInPandas(one, f"{key} {kind}, lon double, lat double, n_points bigint")
-    far = p.join(med.select(key, F.col("lon").alias("_mlon"), F.col("lat").alias("_mlat")), key)
-    spread = far.groupBy(key).agg(F.percentile(haversine_m(F.col("lon"), F.col("lat"), F.col("_mlon"), F.col("_mlat")), F.lit(0.9)).alias("spread_p90_m"))
-    return med.join(spread, key)
+def geometric_median(points: DataFrame, key: str) -> DataFrame:
+    """(key, lon, lat, n_points, spread_p90_m): planar median of each group's points and the 90th percentile of distances to it.
+
+    The point of least total distance is found for all groups at once, in
+    rounds. A round is one aggregation, combined before it is shuffled, so a
+    group may have any number of points: it gives each group's pull, a Newton
+    step from that (the short step of Weiszfeld where the Newton step went too
+    far or can't be told), and tests the point next to the place exactly. Groups
+    that are done leave the next round; each round's state, a row a group, is
+    written, so nothing is done twice. Points on one line may have many medians:
+    one of them is taken. Null keys are a group, points without a place don't count.
+    """
+    known = points.where("lon is not null and lat is not null").select(F.struct(F.col(key)).alias("_g"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    p = kept(known.groupBy("_g", "lon", "lat").agg(F.count("*").alias("n")), "points")
+    none = F.lit(None).cast("double")
+    n = F.col("n")
+    start = p.groupBy("_g").agg(F.sum("n").alias("n_points"), (F.sum(F.col("lon") * n) / F.sum("n")).alias("x"), (F.sum(F.col("lat") * n) / F.sum("n")).alias("y"))
+    state = kept(start.select("*", none.alias("sx"), none.alias("sy"), F.lit(float("inf")).alias("best"), none.alias("cx"), none.alias("cy"), F.lit(False).alias("done")), "median")
+    ready = []
+    for _ in range(MEDIAN_ROUNDS):
+        state = kept(_stepped(state, _pulls(p, state, "_g"), "_g"), "median")
+        ready.append(state.where("done"))
+        state = state.where("not done")
+        if state.isEmpty():
+            break
+    med = reduce(DataFrame.unionByName, [*ready, state]).select("_g", F.col("x").alias("_mlon"), F.col("y").alias("_mlat"), "n_points")
+    far = p.join(lookup(med), "_g")
+    spread = far.groupBy("_g", "_mlon", "_mlat", "n_points").agg(F.percentile(haversine_m(F.col("lon"), F.col("lat"), F.col("_mlon"), F.col("_mlat")), F.lit(0.9), F.col("n")).alias("spread_p90_m"))
+    return spread.select(F.col(f"_g.{key}").alias(key), F.col("_mlon").alias("lon"), F.col("_mlat").alias("lat"), "n_points", "spread_p90_m")
 
 
 def place_projects(projects: DataFrame, buildings: DataFrame, areas: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from ..sources import landing as L
 from ..sources import sinks as K
 from ..sources.layers import Layers
 from ..sources.snapshots import publish_snapshot, read_snapshot
-from ..sources.work import work_dir
+from ..sources.work import kept, work_dir
 from ..streaming import feed as T
 from . import views as V
 from .analytics import area_mart, latest_metrics
@@ -394,16 +394,46 @@ def placed_projects(s: S1, d: str) -> D1:
     return J.place_projects(V.project(s, d).withColumn("area_id", (F.col("id") % 25).cast("int")), placed_buildings(s, d), grid(s, d))
 
 
-query("geometric_median")(lambda s, d: J.geometric_median(placed_buildings(s, d), "project_id"))
-query("spread_p90_m")(lambda s, d: J.geometric_median(placed_buildings(s, d), "project_id").select("project_id", "n_points", F.round("spread_p90_m", 1).alias("spread_p90_m")))
-query("place_projects")(placed_projects)
-query("place_master_projects")(lambda s, d: J.place_master_projects(V.project(s, d), placed_projects(s, d)))
+def _median_sql(name: str, points: str, key: str) -> str:
+    """CTEs {name}: (g, n, lon, lat) of least total distance, the best of 600 short steps from the mean and of the points themselves; {name}_d: each point's metres to it."""
+    dist = lambda x, y: f"sqrt((lon - {x}) ** 2 + (lat - {y}) ** 2)"
+    return f"""{name}_p AS (SELECT {key} AS g, lon, lat FROM {points}),
+ {name}_w AS (SELECT g, 0 AS k, avg(lon) AS x, avg(lat) AS y FROM {name}_p GROUP BY 1 UNION ALL
+  SELECT g, k + 1, sum(lon / d) / sum(1 / d), sum(lat / d) / sum(1 / d) FROM (SELECT w.g, k, lon, lat, greatest({dist('x', 'y')}, 1e-13) AS d FROM {name}_w w JOIN {name}_p p ON p.g = w.g WHERE k < 600) GROUP BY g, k),
+ {name}_c AS (SELECT g, x, y, 0 AS own FROM {name}_w WHERE k = 600 UNION SELECT g, lon, lat, 1 FROM {name}_p),
+ {name}_f AS (SELECT c.g, x, y, own, sum({dist('x', 'y')}) AS f, count(*) AS n FROM {name}_c c JOIN {name}_p p ON p.g = c.g GROUP BY 1, 2, 3, 4),
+ {name} AS (SELECT g, n, x AS lon, y AS lat FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(f, 12), own, x, y) AS r FROM {name}_f) WHERE r = 1),
+ {name}_d AS (SELECT m.g, 2 * 6371008.8 * asin(sqrt(power(sin(radians(m.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(m.lat)) * power(sin(radians(m.lon - p.lon) / 2), 2))) AS metres FROM {name} m JOIN {name}_p p ON p.g = m.g)"""
+
+
+def _rounded(df: D1, *columns: str) -> D1:
+    """Places to five decimals, about a metre, which is where two ways to a median agree."""
+    return df.select(*[F.round(c, 5).alias(c) if c in ("lon", "lat") else c for c in columns])
+
+
+_AT = "round(lon, 5)::DOUBLE AS lon, round(lat, 5)::DOUBLE AS lat"
+_MED = ["WITH RECURSIVE " + _GRID, _PT, _PLACED, "good AS (SELECT * FROM val WHERE status = 'validated' AND project_id IS NOT NULL)", _median_sql("med", "good", "project_id")]
+_P90 = "round(quantile_cont(metres, 0.9), 1)::DOUBLE"
+_PROJECTS = [
+    V.CTES["project"],
+    f"placed AS (SELECT m.g AS project_id, m.lon, m.lat, n AS n_points, (SELECT {_P90} FROM med_d d WHERE d.g = m.g) AS spread_p90_m, CASE WHEN n = 1 THEN 'building_point' ELSE 'building_centroid' END AS geo_method FROM med m JOIN project p ON p.id = m.g JOIN grid g ON g.id = p.id % 25 WHERE NOT is_master AND {_IN})",
+]
+query("geometric_median", ", ".join(_MED) + f" SELECT g AS project_id, {_AT}, n AS n_points FROM med")(lambda s, d: _rounded(J.geometric_median(placed_buildings(s, d), "project_id"), "project_id", "lon", "lat", "n_points"))
+query("spread_p90_m", ", ".join(_MED) + f" SELECT g AS project_id, count(*) AS n_points, {_P90} AS spread_p90_m FROM med_d GROUP BY 1")(lambda s, d: J.geometric_median(placed_buildings(s, d), "project_id").select("project_id", "n_points", F.round("spread_p90_m", 1).alias("spread_p90_m")))
+query("place_projects", ", ".join([*_MED, *_PROJECTS]) + f" SELECT project_id, {_AT}, n_points, spread_p90_m, geo_method FROM placed")(lambda s, d: _rounded(placed_projects(s, d), "project_id", "lon", "lat", "n_points", "spread_p90_m", "geo_method"))
+_KIDS = "kids AS (SELECT master_project_id, lon, lat FROM placed JOIN project p ON p.id = project_id WHERE master_project_id IS NOT NULL)"
+query("place_master_projects", ", ".join([*_MED, *_PROJECTS, _KIDS, _median_sql("top", "kids", "master_project_id")]) + f" SELECT g AS master_project_id, {_AT}, n AS n_points, (SELECT {_P90} FROM top_d d WHERE d.g = top.g) AS spread_p90_m, 'children_centroid' AS geo_method FROM top")(
+    lambda s, d: _rounded(J.place_master_projects(V.project(s, d), placed_projects(s, d)).withColumn("spread_p90_m", F.round("spread_p90_m", 1)), "master_project_id", "lon", "lat", "n_points", "spread_p90_m", "geo_method")
+)
 
 
-@query("accept_project_points")
+@query(
+    "accept_project_points",
+    ", ".join([*_MED, *_PROJECTS]) + " SELECT p.id, round(coalesce(q.lon, v.lon), 5)::DOUBLE AS lon, round(coalesce(q.lat, v.lat), 5)::DOUBLE AS lat, CASE WHEN q.lon IS NOT NULL THEN q.geo_method WHEN v.lon IS NOT NULL THEN 'validated' END AS geo_method FROM project p LEFT JOIN placed q ON q.project_id = p.id LEFT JOIN val v ON v.id = p.id AND v.status = 'validated'",
+)
 def accept_project_points(s: S1, d: str) -> D1:
     projects = V.project(s, d).join(placed_projects(s, d).select(F.col("project_id").alias("id"), "lon", "lat", "geo_method"), "id", "left")
-    return J.accept_project_points(projects, validated(s, d).select("id", "lon", "lat", "inside"))
+    return _rounded(J.accept_project_points(projects, validated(s, d).select("id", "lon", "lat", "inside")), "id", "lon", "lat", "geo_method")
 
 
 def centroid_projects(s: S1, d: str) -> D1:
@@ -496,8 +526,12 @@ def stream_dedupe(s: S1, d: str) -> D1:
     root = work_dir(s)
     landed(s, d, root, "true", "a")
     landed(s, d, root, "event_id % 3 = 0", "b")
-    T.run_to_end(T.stream_dedupe(feed(s, root), overlap="60 days"), T.staging_sink(f"{root}/staged"), f"{root}/cp")
-    return s.read.parquet(f"{root}/staged").select(F.get_json_object("payload", "$.k").alias("k"))
+    events = feed(s, root)
+    staged = T.StagedContents(s, f"{root}/staged", events.schema, buckets=4)
+    T.run_to_end(T.stream_dedupe(events, overlap="60 days"), T.staging_sink(staged), f"{root}/cp")
+    landed(s, d, root, "event_id % 2 = 0", "c")  # long after: only what is staged knows these
+    T.run_to_end(T.stream_dedupe(feed(s, root), overlap="60 days"), T.staging_sink(staged), f"{root}/cp")
+    return staged.read().select(F.get_json_object("payload", "$.k").alias("k"))
 
 
 T_FACTS = T.schema_of("event_type string, k string, event_id bigint")
@@ -551,7 +585,8 @@ def lookups(s: S1, d: str, evidence: D1) -> R.Lookups:
 @query("incremental_marts", with_(["area_mart"], "SELECT * FROM area_mart"))
 def incremental_marts(s: S1, d: str) -> D1:
     """Half the facts, many of them wrong, under other redirects; then what makes them right, then the right redirects."""
-    sales, rents = last_sales(s, d).join(V.sale(s, d).select(*U.SALE_KEY, "project_id", "price_per_m2"), list(U.SALE_KEY)), V.rent(s, d)
+    last = [F.col(c) for c in ("amount_aed", "txn_group", "area_id", "usage")]
+    sales, rents = kept(U.dedupe_natural_key(V.sale(s, d), U.SALE_KEY, last), "sales"), kept(V.rent(s, d), "rents")
     other = V.evidence(s).withColumn("reviewed", (F.col("old_area_id") != 3) | F.col("reviewed").isNull())
     mart = R.AreaMart(s, work_dir(s, "mart"), R.sale_side(lambda f: M.qualifying_sales(f, CUTOVER)), R.rent_side(lambda f: M.qualifying_rents(f, AS_OF, CUTOVER)))
     wrong = sales.where("txn_date < timestamp '1997-06-01'").withColumn("price_per_m2", F.when(F.col("area_id") % 3 == 0, F.col("price_per_m2") * 2).otherwise(F.col("price_per_m2")).cast(sales.schema["price_per_m2"].dataType)).withColumn("txn_group", F.when(F.col("area_id") % 5 == 1, "Sales").otherwise(F.col("txn_group")))
@@ -559,8 +594,7 @@ def incremental_marts(s: S1, d: str) -> D1:
     for batch, rows in enumerate((wrong, sales.where("txn_date >= timestamp '1994-01-01' or area_id % 3 = 0 or area_id % 5 = 1"))):
         changed = facts.upsert(rows, ("price_per_m2", "txn_group", "project_id"), "load", batch)
         mart.add("sale", R.signed(changed, mart.sides["sale"]), lookups(s, d, other), "load", batch)
-        part = rents.where(f"month(start_date) % 2 = {batch}")
-        mart.add("rent", R.counted(part, mart.sides["rent"]), lookups(s, d, other), "load", batch)
+    mart.add("rent", R.counted(rents, mart.sides["rent"]), lookups(s, d, other), "load", 0)
     mart.redirect(lookups(s, d, other), lookups(s, d, V.evidence(s)))
     return mart.read()
 

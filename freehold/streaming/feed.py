@@ -15,6 +15,7 @@ from ..functions.clean import record_hash
 from ..operators.upsert import dedupe_natural_key
 from ..sources.layers import Layers
 from ..sources.snapshots import Files
+from .staged import StagedContents
 
 OVERLAP_DAYS, FIRST_RUN_DAYS = 2, 30
 
@@ -52,19 +53,9 @@ def run_to_end(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return q
 
 
-def staging_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Appends what isn't staged yet. A replayed batch overwrites its own files, so it stages nothing twice."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(["record_hash"])
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            staged = spark.read.schema(rows.schema.add("batch_id", "long")).parquet(path).where(F.col("batch_id") != batch_id)
-            rows = rows.join(staged.select("record_hash"), "record_hash", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return handle
+def staging_sink(contents: StagedContents, stream: str = "stage") -> Callable[[DataFrame, int], None]:
+    """Adds what isn't staged yet; a replayed batch adds nothing."""
+    return lambda batch, batch_id: contents.stage(batch, batch_id, stream) and None
 
 
 def upsert_batch(facts: Layers, batch: DataFrame, update: Sequence[str], order: Sequence, stream: str, batch_id: int) -> DataFrame | None:

@@ -179,12 +179,36 @@ def test_listing_arguments(spark):
 
 
 def test_replayed_batch_stages_nothing_twice(spark, tmp_path):
-    sink = T.staging_sink(f"file://{tmp_path}/staged")
     batch = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "record_hash string, v int")
+    contents = T.StagedContents(spark, f"file://{tmp_path}/staged", batch.schema)
+    sink = T.staging_sink(contents)
     sink(batch, 0)
     sink(batch, 0)
     sink(batch.union(spark.createDataFrame([("c", 3)], batch.schema)), 1)
-    assert [r[0] for r in rows(spark.read.parquet(f"file://{tmp_path}/staged"), "record_hash")] == ["a", "b", "c"]
+    assert [r[0] for r in rows(contents.read(), "record_hash")] == ["a", "b", "c"]
+
+
+def test_staging_equals_a_set_and_reads_candidates_only(spark, tmp_path):
+    """Random batches against a set; a batch of new contents reads no bucket file, one of old contents only theirs."""
+    import random
+
+    r = random.Random(6)
+    schema = T.schema_of("record_hash string, v int")
+    contents = T.StagedContents(spark, f"file://{tmp_path}/staged", schema, buckets=4, bits=1 << 15, merge_after=3)
+    seen: set[str] = set()
+    for batch in range(9):
+        hashes = [f"h{r.randrange(60)}" for _ in range(15)]
+        added = contents.stage(spark.createDataFrame([(h, batch) for h in hashes], schema), batch)
+        assert added == len(set(hashes) - seen)
+        seen |= set(hashes)
+        assert sorted(x[0] for x in contents.read().select("record_hash").collect()) == sorted(seen)
+        assert len(contents.versions.current()[1]["folders"]) <= 4
+    contents.stage(spark.createDataFrame([(f"new{k}", 0) for k in range(50)], schema), 9)
+    assert contents.last_read == []
+    assert contents.stage(spark.createDataFrame([("new7", 0)], schema), 10) == 0 and len(contents.last_read) == 1
+    assert contents.stage(spark.createDataFrame([("other", 0)], schema), 10) == 0  # done before
+    contents.vacuum(grace=-1)
+    assert contents.read().count() == len(seen) + 50
 
 
 def test_later_steps_may_fail():
