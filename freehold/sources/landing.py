@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean as C
+from ..operators.areas import lookup
 
 SALE_COLUMNS = ("transaction_id", "instance_date", "actual_worth", "trans_group_en", "procedure_name_en", "reg_type_en", "property_usage_en", "property_type_en", "property_sub_type_en", "rooms_en", "has_parking", "area_name_en", "area_name_ar", "project_name_en", "project_name_ar", "master_project_en", "building_name_en", "building_name_ar", "procedure_area")
 RENT_COLUMNS = ("contract_id", "line_number", "no_of_prop", "contract_start_date", "contract_end_date", "annual_amount", "contract_amount", "actual_area", "contract_reg_type_en", "is_free_hold", "property_usage_en", "ejari_property_type_en", "ejari_property_sub_type_en", "area_name_en", "area_name_ar", "project_name_en", "project_name_ar", "master_project_en")
@@ -27,7 +31,8 @@ def csv_headers(spark: SparkSession, pattern: str, skip: str = "") -> dict[str,
     """path -> column names of each CSV file that matches; one short read a file, through Hadoop's file systems.
 
     Files whose name begins with skip are left out. A byte order mark, blanks
-    around a name and quotes go; an empty file has no names.
+    around a name and quotes go; a quoted name may hold a line break; an empty
+    file has no names.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     glob = jvm.org.apache.hadoop.fs.Path(pattern)
@@ -38,20 +43,72 @@ def csv_headers(spark: SparkSession, pattern: str, skip: str = "") -> dict[str,
             continue
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
         try:
-            line = reader.readLine()
+            text = reader.readLine() or ""
+            while text.count('"') % 2:  # inside a quoted name
+                more = reader.readLine()
+                if more is None:
+                    break
+                text += "\n" + more
         finally:
             reader.close()
-        out[path.toString()] = tuple(n.strip() for n in next(csv.reader([(line or "").removeprefix("\ufeff")]), []))
+        out[path.toString()] = tuple(n.strip() for n in next(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")), []))
     return out
 
 
+def _counted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the number of lines with an odd count of quotes before each in its block; lines of a block come in order."""
+    block, before = None, 0
+    for batch in batches:
+        names, starts = batch.column("path").to_pylist(), batch.column("block").to_pylist()
+        odd = batch.column("odd").to_numpy(zero_copy_only=False).astype(np.int64)
+        until = np.cumsum(odd) - odd
+        edges = [0, *[k for k in range(1, len(odd)) if (names[k], starts[k]) != (names[k - 1], starts[k - 1])], len(odd)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if (names[a], starts[a]) != block:
+                block, before = (names[a], starts[a]), 0
+            until[a:b] += before - until[a]
+            before = int(until[b - 1] + odd[b - 1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(until)], [*batch.schema.names, "until"])
+
+
+def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, file_name, block, line, record): every record of CSV files as its text, wherever its files were cut.
+
+    A line break is a record's end where the quotes before it are even in
+    number. Blocks of a file are read by tasks of their own. A first pass counts
+    each block's lines of odd quotes, so that a second one knows at a block's
+    start whether it is inside a quoted value. Lines that are a record by
+    themselves stay where they are read; only lines of records with breaks are
+    put together by a shuffle. (block, line) orders records in a file.
+    """
+    lines = (
+        spark.read.option("lineSep", "\n")
+        .text(list(paths))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+        .withColumn("odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
+    )
+    blocks = lines.groupBy("path", "block").agg(F.sum("odd").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    starts = blocks.select("path", "block", before.alias("start"))
+    schema = T.StructType([*lines.schema.fields, T.StructField("until", T.LongType())])
+    told = lines.mapInArrow(_counted_lines, schema).join(lookup(starts), ["path", "block"]).withColumn("until", F.col("until") + F.col("start"))
+    inside, odd = F.col("until") % 2 == 1, F.col("odd") == 1
+    whole = told.where(~inside & ~odd).select("path", "file_name", "block", "line", F.col("value").alias("record"))
+    parts = told.where(inside | odd).groupBy("path", "file_name", F.floor(F.col("until") / 2).alias("_record")).agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"))
+    first = F.col("parts")[0]
+    return whole.unionByName(parts.select("path", "file_name", first["block"].alias("block"), first["line"].alias("line"), F.array_join("parts.value", "\n").alias("record")))
+
+
 def scan_bulk_csv(spark: SparkSession, root: str, dataset: str, columns: Sequence[str]) -> DataFrame:
     """Every part <dataset>*.csv under root as strings, with file_name and seq, which orders rows by file and place.
 
     Columns are found by each file's own header: parts may order them
-    differently, a column that a part lacks is null there, and more columns are
-    left out. A part with none of the columns is refused. Quoted values may hold
-    line breaks, so a file is read by one task; exports come in many parts.
+    differently, a column that a part lacks is null there, more columns are
+    left out, and of columns of one name the last counts. A part with none of
+    the columns is refused. Quoted values may hold line breaks and doubled
+    quotes; a part of any size is read by many tasks. Blank lines are no rows.
     Files named <dataset>_summary* belong to another dataset.
     """
     layouts: dict[tuple[str, ...], list[str]] = {}
@@ -62,16 +119,24 @@ def scan_bulk_csv(spark: SparkSession, root: str, dataset: str, columns: Sequenc
     for header, paths in sorted(layouts.items()):
         if not set(header) & set(columns):
             raise ValueError(f"no known column in the header of {', '.join(sorted(paths))}")
-        places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])  # names may repeat
-        rows = spark.read.schema(places).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(sorted(paths))
-        at = {n: i for i, n in reversed(list(enumerate(header)))}
-        one = rows.select(*[(F.col(f"c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in columns], F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("place"))
+        places = ", ".join(f"c{i} string" for i in range(len(header)))  # names may repeat
+        records = csv_records(spark, sorted(paths)).withColumn("record", F.regexp_replace("record", "\\r$", "")).where(F.trim("record") != "")
+        # a file's first record is its header
+        at = {n: i for i, n in enumerate(header)}
+        parsed = _without_headers(records).withColumn("r", F.from_csv("record", places, {"escape": '"', "maxCharsPerColumn": "-1"}))
+        one = parsed.select(*[(F.col(f"r.c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in columns], "file_name", F.struct("block", "line").alias("place"))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        out = spark.createDataFrame([], strings(columns).add("file_name", "string").add("place", "long"))
+        out = spark.createDataFrame([], T.StructType([*strings((*columns, "file_name")).fields, *T.StructType.fromDDL("place struct<block:bigint,line:bigint>").fields]))
     return out.withColumn("seq", F.struct("file_name", "place")).drop("place")
 
 
+def _without_headers(records: DataFrame) -> DataFrame:
+    """records less each file's first one, which is in its first block."""
+    first = records.where("block = 0").groupBy("path").agg(F.min("line").alias("_first"))  # a row a file
+    return records.join(lookup(first), "path", "left").where((F.col("block") > 0) | (F.col("line") > F.col("_first"))).drop("_first")
+
+
 def scan_gateway_json(pages: DataFrame, column: str = "value") -> DataFrame:
     """Envelope texts, one page a row, to one row (payload JSON) a result; a page with another code than 200 gives none."""
     code = F.get_json_object(column, "$.responseCode").try_cast("int")

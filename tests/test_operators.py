@@ -234,6 +234,37 @@ def test_csv_parts_are_read_by_their_headers(spark, tmp_path):
         scan_bulk_csv(spark, f"file://{tmp_path}", "other", ("x", "y"))
 
 
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    """Cut at every few bytes, with quoted line breaks, doubled quotes and blank lines: the rows that one reader finds."""
+    import csv
+    import io
+    import random
+
+    from freehold.sources.landing import csv_records, scan_bulk_csv
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice(['a', 'b', ' ', ',', '"', "\n", "\n\n", 'é', '""']) for _ in range(r.randint(0, 9)))
+    want = [(str(k), f"x{word()}y", f"z{word()}.") for k in range(300)]
+    text = io.StringIO()
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(("k", "first\nname", "v", "v"))  # a header with a break; of two columns of a name the last counts
+    for k, (a, b, c) in enumerate(want):
+        out.writerow((a, b, "other", c))
+        text.write("\n" * (k % 7 == 0))
+    (tmp_path / "t_1.csv").write_text(text.getvalue(), encoding="utf-8", newline="")
+    (tmp_path / "t_2.csv").write_text("k,v\r\n1,\"a\r\nb\"\r\n", encoding="utf-8", newline="")
+    for conf, value in (("spark.sql.files.maxPartitionBytes", "97"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(conf, value)
+    try:
+        got = scan_bulk_csv(spark, f"file://{tmp_path}", "t", ("k", "first\nname", "v")).orderBy("seq").collect()
+        assert spark.read.text(f"file://{tmp_path}/t_1.csv").rdd.getNumPartitions() > 50
+        assert csv_records(spark, [f"file://{tmp_path}/t_1.csv"]).where("record <> ''").count() == 301
+    finally:
+        for conf in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(conf)
+    assert [tuple(x[:3]) for x in got] == [*want, ("1", None, "a\r\nb")]
+
+
 @pytest.mark.parametrize("rows", [3, 100_000])
 def test_ids_are_numbered_on_in_order(spark, rows, monkeypatch):
     from freehold.operators import upsert
