@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import base64
+import json
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .areas import canonical_label, expand_area_ids
@@ -62,13 +65,78 @@ def page_with_has_more(rows: DataFrame, order: list[Column], limit: int = 100, o
     """One page in a total order; has_more says whether a further row exists. No count is taken."""
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"limit must be from 1 to {MAX_PAGE} and offset not negative")
-    from pyspark.sql import Window
-
     got = rows.orderBy(*order).offset(offset).limit(limit + 1)
     w = Window.orderBy(*order)  # a page's rows
     return got.withColumn("_n", F.row_number().over(w)).withColumn("has_more", F.max("_n").over(Window.partitionBy(F.lit(1))) > limit).where(F.col("_n") <= limit).drop("_n")
 
 
+class Order(NamedTuple):
+    """One column of a total order."""
+
+    column: str
+    descending: bool = False
+    nulls_first: bool = False
+
+    def sort(self) -> Column:
+        c = F.col(self.column)
+        if self.descending:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+    def reversed(self) -> Order:
+        return Order(self.column, not self.descending, not self.nulls_first)
+
+    def after(self, value: Column | None, or_at: bool = False) -> Column:
+        """Rows after a value in this column (or at it); value None is the null."""
+        c = F.col(self.column)
+        if value is None:
+            rest = F.lit(True) if self.nulls_first or or_at else F.lit(False)
+            return rest if or_at and self.nulls_first else (c.isNotNull() if self.nulls_first else (c.isNull() & rest))
+        beyond = (c <= value if or_at else c < value) if self.descending else (c >= value if or_at else c > value)
+        return beyond if self.nulls_first else beyond | c.isNull()
+
+
+def _signature(order: Sequence[Order]) -> str:
+    return ",".join(f"{o.column}{'-' if o.descending else '+'}{'^' if o.nulls_first else '_'}" for o in order)
+
+
+def page_after(rows: DataFrame, order: Sequence[Order], limit: int = 100, cursor: str | None = None) -> DataFrame:
+    """One page in a total order (its columns together are unique), from where a cursor stands; with has_more and ``cursor``.
+
+    Each row's cursor stands right after it; the last one's asks for the next
+    page. Rows before a cursor are filtered away, the first column's bound by
+    the scan itself, and not sorted and skipped: page 10,000 costs what page 1
+    does. A cursor is the row's values of the order as text, for this order only.
+    """
+    if not 1 <= limit <= MAX_PAGE or not order:
+        raise ValueError(f"limit must be from 1 to {MAX_PAGE}, and the order have a column")
+    out = rows
+    if cursor is not None:
+        signature, *texts = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+        if signature != _signature(order) or len(texts) != len(order):
+            raise ValueError("the cursor belongs to another order")
+        values = [None if t is None else F.lit(t).cast(rows.schema[o.column].dataType) for o, t in zip(order, texts, strict=True)]
+        seek, same = F.lit(False), F.lit(True)
+        for o, v in zip(order, values, strict=True):
+            seek = seek | (same & o.after(v))
+            same = same & (F.col(o.column).isNull() if v is None else F.col(o.column) == v)
+        out = rows.where(order[0].after(values[0], or_at=True)).where(seek)
+    keys = [F.col(o.column).cast("string") for o in order]
+    told = F.replace(F.replace(F.base64(F.encode(F.to_json(F.array(F.lit(_signature(order)), *keys)), "UTF-8")), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+    sort = [o.sort() for o in order]
+    got = out.orderBy(*sort).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(*sort))  # a page's rows
+    numbered = got.withColumn("_n", place)
+    more = F.max("_n").over(Window.partitionBy(F.lit(1))) > limit
+    return numbered.withColumn("has_more", more).where(F.col("_n") <= limit).drop("_n").withColumn("cursor", told)
+
+
+def next_cursor(page: DataFrame, order: Sequence[Order]) -> str | None:
+    """The cursor of a page's last row; None of an empty page."""
+    last = page.orderBy(*[o.reversed().sort() for o in order]).first()
+    return None if last is None else last["cursor"]
+
+
 def count_matching(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,14 +61,35 @@ def multiset_equal(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFr
     return both.agg(F.coalesce(F.sum(F.greatest(na - nb, F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(nb - na, F.lit(0))), F.lit(0)).alias("only_right"))
 
 
-def profile_columns(rows: DataFrame, columns: Sequence[str], day: str, as_of: str) -> DataFrame:
-    """One row: nulls, zeros and negatives of each number column, and future-dated rows."""
-    aggs: list[Column] = [F.count("*").alias("row_count"), F.count_if(F.col(day).cast("date") > F.lit(as_of).cast("date")).alias("future_rows")]
+def profile_columns(rows: DataFrame, columns: Sequence[str], day: str, as_of: str, limits: Mapping[str, float] | None = None, earliest: str | None = None) -> DataFrame:
+    """One row: nulls, zeros and negatives of each number column, and future-dated rows.
+
+    With limits: rows above a column's limit, and their share in per cent to
+    three decimals. With earliest: rows dated before it.
+    """
+    d = F.col(day).cast("date")
+    aggs: list[Column] = [F.count("*").alias("row_count"), F.count_if(d > F.lit(as_of).cast("date")).alias("future_rows")]
     for c in columns:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}_null"), F.count_if(F.col(c) == 0).alias(f"{c}_zero"), F.count_if(F.col(c) < 0).alias(f"{c}_negative")]
+    for c, limit in (limits or {}).items():
+        above = F.count_if(F.col(c) > limit)
+        aggs += [above.alias(f"{c}_outliers"), _share(above, F.count("*")).alias(f"{c}_outlier_pct")]
+    if earliest is not None:
+        aggs.append(F.count_if(d < F.lit(earliest).cast("date")).alias("ancient_rows"))
     return rows.agg(*aggs)
 
 
+def _share(part: Column, of: Column) -> Column:
+    """part in per cent of a count, to three decimals; null of nothing."""
+    return F.round((part * 100).cast("decimal(30,10)") / F.nullif(of, F.lit(0)), 3).cast("double")
+
+
+def lines_beyond_count(rows: DataFrame, line: str, count: str) -> DataFrame:
+    """One row: contract lines, those whose number is beyond the contract's count of properties, and their share in per cent."""
+    beyond = F.count_if(F.col(line) > F.col(count))
+    return rows.agg(F.count("*").alias("row_count"), beyond.alias("beyond"), _share(beyond, F.count("*")).alias("beyond_pct"))
+
+
 def counts_by_year(rows: DataFrame, day: str) -> DataFrame:
     return rows.groupBy(F.year(day).alias("year")).agg(F.count("*").alias("row_count"))
 

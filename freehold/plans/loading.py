@@ -154,11 +154,14 @@ query("map_building_register", "SELECT CASE WHEN p_partkey % 50 <> 0 THEN concat
 )
 
 
-@query("write_facts", with_(["sale"], "SELECT year(txn_date)::INT AS year, count(*) AS row_count, sum(amount_aed)::DOUBLE AS total FROM sale WHERE area_id = 5 AND year(txn_date) >= 1998 GROUP BY 1"))
+@query("write_facts", with_(["sale"], "SELECT 'area' AS by, year(txn_date)::INT AS year, count(*) AS row_count, sum(amount_aed)::DOUBLE AS total FROM sale WHERE area_id = 5 AND year(txn_date) >= 1998 GROUP BY 2 UNION ALL SELECT 'project', year(txn_date)::INT, count(*), sum(amount_aed)::DOUBLE FROM sale WHERE project_id = 7 GROUP BY 2"))
 def write_facts(s: S1, d: str) -> D1:
+    """Facts written whole, then read by an area and by a project."""
     path = f"{work_dir(s)}/facts"
     K.write_facts(V.sale(s, d), path, "txn_date")
-    return s.read.parquet(path).where("year >= 1998 and area_id = 5").groupBy("year").agg(F.count("*").alias("row_count"), F.sum("amount_aed").cast("double").alias("total"))
+    facts, sums = s.read.parquet(path), [F.count("*").alias("row_count"), F.sum("amount_aed").cast("double").alias("total")]
+    by = lambda name, rows: rows.groupBy("year").agg(*sums).select(F.lit(name).alias("by"), "year", "row_count", "total")
+    return by("area", facts.where("year >= 1998 and area_id = 5")).unionByName(by("project", facts.where("project_id = 7")))
 
 
 @query("overwrite_mart", with_(["area_mart"], "SELECT area_id, month, usage, sale_cnt, rent_cnt FROM area_mart"))
@@ -170,10 +173,10 @@ def overwrite_mart(s: S1, d: str) -> D1:
     return read_snapshot(s, root).select("area_id", "month", "usage", "sale_cnt", "rent_cnt")
 
 
-@query("export_snapshot", with_(["sale"], "SELECT txn_number, strftime(txn_date, '%Y-%m-%dT%H:%M:%S') AS txn_date, amount_aed::DOUBLE AS amount_aed FROM sale WHERE area_id = 5"))
+@query("export_snapshot", with_(["sale"], "SELECT txn_number, strftime(txn_date, '%Y-%m-%dT%H:%M:%S') AS txn_date, amount_aed::DOUBLE AS amount_aed FROM sale"))
 def export_snapshot(s: S1, d: str) -> D1:
     root = work_dir(s)
-    K.export_snapshot({"sale": V.sale(s, d).where("area_id = 5")}, root)
+    K.export_snapshot({"sale": V.sale(s, d)}, root)
     return s.read.parquet(f"{root}/sale").select("txn_number", "txn_date", "amount_aed")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +29,45 @@ def source_table(spark: SparkSession, stored: DataFrame | None = None) -> DataFr
     return stored.unionByName(new.withColumn("id", (F.col("top") + F.col("place")).cast(stored.schema["id"].dataType)).select(stored.columns))
 
 
-def write_facts(facts: DataFrame, path: str, day: str, entity: str = "area_id") -> None:
-    """Partitioned by year of the axis date, sorted by entity and date inside files, so scans skip row groups."""
-    out = facts.withColumn("year", F.year(day))
-    out.repartition("year", F.pmod(F.xxhash64(entity), F.lit(64))).sortWithinPartitions("year", entity, day).write.mode("overwrite").partitionBy("year").parquet(path)
+#: Bits of each dimension of the order in which facts are laid out, so 2**RANK_BITS ranks each.
+RANK_BITS = 6
+
+
+def morton(ranks: Sequence[Column], bits: int = RANK_BITS) -> Column:
+    """The ranks' bits dealt out in turn, highest first: what is near in all of them is near in this order."""
+    out = F.lit(0).cast("bigint")
+    for b in range(bits):
+        for i, r in enumerate(ranks):
+            bit = F.shiftright(r, b).bitwiseAND(F.lit(1)).cast("bigint")
+            out = out.bitwiseOR(F.shiftleft(bit, b * len(ranks) + len(ranks) - 1 - i))
+    return out
+
+
+def _ranks(rows: DataFrame, columns: dict[str, Column], bits: int) -> list[Column]:
+    """Each value's rank among 2**bits of about as many rows each; nulls are first. Bounds are some dozen numbers a column."""
+    shares = F.array(*[F.lit(k / 2**bits) for k in range(1, 2**bits)])
+    bounds = rows.agg(*[F.percentile_approx(c, shares, F.lit(10_000)).alias(n) for n, c in columns.items()]).first()
+    ranks = []
+    for n, c in columns.items():
+        steps = F.array(*[F.lit(v) for v in sorted(set(bounds[n] or ()))]).cast("array<double>")
+        below = lambda v: v < c  # noqa: B023, E731
+        ranks.append(F.coalesce(F.size(F.filter(steps, below)), F.lit(0)))
+    return ranks
+
+
+def write_facts(facts: DataFrame, path: str, day: str, entities: Sequence[str] = ("area_id", "project_id"), files: int | None = None) -> None:
+    """Facts by year of the axis date, laid out so that filters on any one of the entities, or the date, skip files and row groups.
+
+    Rows follow a Morton order of the ranks of the entities and the date, in
+    ranges of it, so each file has a narrow span of every dimension, and its
+    statistics say so. One sort by (entity, date) would serve one entity only.
+    files: how many in all; by default what Spark's partition sizes make.
+    """
+    columns = {c: F.col(c).cast("double") for c in entities} | {"_day": F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("double")}
+    out = facts.withColumn("year", F.year(day)).withColumn("_z", morton(_ranks(facts, columns, RANK_BITS)))
+    keys = ["year", "_z"]
+    ranged = out.repartitionByRange(files, *keys) if files else out.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys, *entities, day).drop("_z").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def snapshot_row(table: DataFrame) -> DataFrame:
