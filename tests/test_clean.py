@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from freehold.functions import clean as C
 from freehold.functions.geometry import geojson_to_multipolygon, point_in_multipolygon, to_wkt
 from freehold.functions.text import trigram_similarity
-from freehold.operators.places import weiszfeld
 
 
 def value(spark, expr):
@@ -66,11 +65,34 @@ def test_shapes(spark):
     assert value(spark, to_wkt(shape)).startswith("MULTIPOLYGON(((0.0 0.0, 4.0 0.0")
 
 
-def test_geometric_median():
+def test_geometric_median(spark):
+    from freehold.operators.places import geometric_median
+
+    groups = {1: [(1.0, 2.0)], 2: [(0.0, 0.0), (2.0, 0.0), (0.0, 2.0), (2.0, 2.0), (1.0, 1.0)], 3: [(0.0, 0.0)] * 3 + [(9.0, 9.0)], None: [(3.0, 3.0), (5.0, 3.0)]}
+    points = spark.createDataFrame([(g, *p) for g, ps in groups.items() for p in ps] + [(4, None, 1.0)], "g int, lon double, lat double")
+    got = {x["g"]: (x["lon"], x["lat"], x["n_points"]) for x in geometric_median(points, "g").collect()}
+    assert got == {1: (1.0, 2.0, 1), 2: (1.0, 1.0, 5), 3: (0.0, 0.0, 4), None: (4.0, 3.0, 2)}
+
+
+def test_a_group_of_any_size_is_summed_in_parts(spark, monkeypatch):
+    """One group of most points, joined by a shuffle as well as by broadcast: the median that short steps find, and no Python in its tasks."""
     import numpy as np
 
-    assert weiszfeld(np.array([1.0]), np.array([2.0])) == (1.0, 2.0)
-    x, y = weiszfeld(np.array([0.0, 2.0, 0.0, 2.0, 1.0]), np.array([0.0, 0.0, 2.0, 2.0, 1.0]))
-    assert (x, y) == pytest.approx((1.0, 1.0), abs=1e-6)
-    x, y = weiszfeld(np.array([0.0, 0.0, 0.0, 9.0]), np.array([0.0, 0.0, 0.0, 9.0]))
-    assert (x, y) == pytest.approx((0.0, 0.0), abs=1e-6)
+    from freehold.operators import areas
+    from freehold.operators.places import _pulls, geometric_median
+
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(4000, 2)) * (1, 0.1) + (55, 25)
+    points = spark.createDataFrame([(int(k % 50 == 0), float(x), float(y)) for k, (x, y) in enumerate(p)], "g int, lon double, lat double")
+    for most in (200_000, 0):
+        monkeypatch.setattr(areas, "LOOKUP_ROWS", most)
+        for x in geometric_median(points, "g").collect():
+            mine = p[(np.arange(4000) % 50 == 0) == bool(x["g"])]
+            at = mine.mean(axis=0)
+            for _ in range(3000):
+                w = 1 / np.sqrt(((mine - at) ** 2).sum(axis=1))
+                at = (mine * w[:, None]).sum(axis=0) / w.sum()
+            assert (x["lon"], x["lat"]) == pytest.approx(tuple(at), abs=1e-8)
+    state = points.selectExpr("g", "lon as x", "lat as y", "lon as cx", "lat as cy").limit(1)
+    plan = _pulls(points.withColumn("n", points["g"] * 0 + 1), state, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "Python" not in plan
