@@ -537,16 +537,13 @@ def stream_dedupe(s: S1, d: str) -> D1:
     return staged.read().select(F.get_json_object("payload", "$.k").alias("k"))
 
 
-T_FACTS = T.schema_of("event_type string, k string, event_id bigint")
-
-
 @query("stream_upsert", "SELECT event_type, json_extract_string(props, '$.k') AS k, coalesce(max(event_id) FILTER (event_id % 2 = 1), max(event_id)) AS event_id FROM events GROUP BY 1, 2")
 def stream_upsert(s: S1, d: str) -> D1:
     root = work_dir(s)
     landed(s, d, root, "event_id % 2 = 0", "a")
 
     key = ("event_type", "k")
-    facts = Layers(s, f"{root}/facts", T_FACTS, key, F.pmod(F.xxhash64(*key), F.lit(4)), compact_after=1)
+    facts = Layers(s, f"{root}/facts", T.schema_of("event_type string, k string, event_id bigint"), key, F.pmod(F.xxhash64(*key), F.lit(4)), compact_after=1)
 
     def handle(batch: D1, i: int) -> None:
         rows = batch.select("event_type", F.get_json_object("payload", "$.k").alias("k"), "event_id")
