@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by inner product, over shifted space-filling curves.
 
-Vectors are projected on several random planes of a few dimensions; along each
-plane's Hilbert curve they get an order that is cut into key ranges. A query
-looks into its own range and the ranges beside it on the curves that hold most
-of its length, merges what it finds and ranks it by exact inner products.
-Planes and ranges are fitted on a bounded sample, then every vector is indexed.
-
-Where the data has no directions of its own (isotropic noise), neighbours share
-little with a query in any plane, so ranges must be wide: with the defaults a
-query meets about two thirds of such vectors for a recall of about 0.95. Structured
-vectors need fewer curves and finer ranges (the parameters).
+Vectors are projected on a few random planes. In each plane their cells are
+shifted by several random offsets, and each shift gives one Hilbert order. The
+orders are range-partitioned and numbered, so a vector has a place on every
+curve, and the window around a place holds as many vectors wherever it lies.
+A query meets the vectors of its windows on all curves; what the curves find is
+merged, and how often the nearest were met tells how many are still missing:
+when f1 of them were met on one curve and f2 on two, about f1 (f1 - 1) / 2 (f2 + 1)
+(Chao's estimate). A query that misses more than a set share looks on in the
+band around its windows that doubles them, up to whole curves, where nothing is
+missing. So the windows follow the data and not the number of vectors: clustered
+vectors are settled in windows of a fixed size (column ``reach``), and only
+vectors without directions of their own (isotropic noise) need wide ones.
+
+Cells are fitted on a bounded sample, then every vector is placed on every curve.
 
 Defined results
 - Vectors that are null, zero or of another length than most, or hold null or
   non-finite components, and null ids take no part, neither as query nor as candidate.
 - Equal vectors are searched once; of each class the k + 1 smallest ids can be among the k nearest, and are kept.
-- Ties go to the smaller id; a query with fewer than k candidates gets those found. Repeated rows (id and vector) count once.
+- Scores are sums from the first component to the last. Ties go to the smaller id; a query with fewer
+  than k candidates gets those found. Repeated rows (id and vector) count once.
 - Empty table: no rows.
 """
 
@@ -28,15 +33,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import Scratch
+from .shared import Scratch, pick_ids
 
-#: Vectors that planes and ranges are fitted on at most (a hash of the id chooses).
+#: Vectors that the cells are fitted on at most (a hash of the id chooses).
 SAMPLE_ROWS = 10_000
-CURVES, PLANE_DIMS, BITS, RANGES, REACH, PROBES = 24, 4, 6, 32, 1, 14
-#: Vectors that a key range holds at least (fewer vectors, fewer ranges), and that one block of a range holds about.
-RANGE_ROWS, BLOCK_ROWS = 64, 4096
+PLANES, SHIFTS, PLANE_DIMS, BITS = 8, 2, 6, 6
+#: Places that a query's first windows reach to each side, and the estimated share of its nearest that it may miss.
+REACH, MISSED = 64, 0.03
+#: Places of one block of a curve, and of the stretch whose queries meet a block in one group.
+BLOCK, STRETCH = 4096, 16_384
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,30 +68,28 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-class CurveIndex:
-    """Random planes, per-axis cell bounds and key range bounds."""
+class ShiftedCurves:
+    """Random planes, the spread of the sample along their axes, and the shifts of each plane's cells."""
 
-    def __init__(self, sample: np.ndarray, curves: int, dims: int, bits: int, ranges: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, planes: int, shifts: int, dims: int, bits: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        width = sample.shape[1]
-        dims = min(dims, width)
-        self.bits, self.ranges = bits, ranges
-        self.planes = [np.linalg.qr(rng.normal(size=(width, dims)))[0] for _ in range(curves)]
-        levels = np.arange(1, 1 << bits) / (1 << bits)
-        self.cells = [np.quantile(sample @ p, levels, axis=0).T for p in self.planes]
-        steps = np.arange(1, ranges) / ranges
-        self.bounds = [np.quantile(self._keys(sample, c), steps) for c in range(curves)]
-
-    def _keys(self, x: np.ndarray, c: int) -> np.ndarray:
-        at = x @ self.planes[c]
-        cells = np.stack([np.searchsorted(b, at[:, k]) for k, b in enumerate(self.cells[c])], axis=1)
-        return hilbert_keys(cells, self.bits)
-
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key range of each row on each curve, and each row's squared length in each plane: (rows, curves) both."""
-        at = np.stack([np.searchsorted(self.bounds[c], self._keys(x, c), side="right") for c in range(len(self.planes))], axis=1)
-        held = np.stack([((x @ p) ** 2).sum(1) for p in self.planes], axis=1)
-        return at, held
+        dims = min(dims, sample.shape[1])
+        self.bits = bits
+        self.planes = [np.linalg.qr(rng.normal(size=(sample.shape[1], dims)))[0] for _ in range(planes)]
+        self.shifts = rng.random((planes, shifts, dims))
+        self.levels = np.linspace(0, 1, 257)
+        self.marks = [np.quantile(sample @ p, self.levels, axis=0).T for p in self.planes]
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """Key of each row on each curve: (rows, planes * shifts). A shift moves the unit cube within one of twice its side."""
+        found = []
+        for plane, marks, shifts in zip(self.planes, self.marks, self.shifts, strict=True):
+            at = x @ plane
+            unit = np.stack([np.interp(at[:, k], m, self.levels) for k, m in enumerate(marks)], axis=1)
+            for shift in shifts:
+                cells = np.minimum(((unit + shift) * (1 << (self.bits - 1))).astype(np.int64), (1 << self.bits) - 1)
+                found.append(hilbert_keys(cells, self.bits))
+        return np.stack(found, axis=1)
 
 
 def _matrix(column) -> np.ndarray:
@@ -93,8 +97,90 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, probes: int = PROBES, ranges: int = RANGES, reach: int = REACH) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by query_every."""
+def place(classes: DataFrame, index: ShiftedCurves, scratch: Scratch) -> DataFrame:
+    """(curve, at, rep, asked, v): every vector's place (from 0, ties by rep) on every curve.
+
+    The orders are cut into ranges by Spark; a row's place is its place in its
+    range and the rows of the ranges before it, which are counted.
+    """
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                keys = index.keys(_matrix(part.column("v")))
+                n, c = keys.shape
+                take = pa.array(np.repeat(np.arange(n), c))
+                yield pa.record_batch(
+                    [pa.array(np.tile(np.arange(c, dtype=np.int32), n)), pa.array(keys.ravel()), *(part.column(name).take(take) for name in ("rep", "asked", "v"))],
+                    ["curve", "key", "rep", "asked", "v"],
+                )
+
+    laid = classes.select("rep", "asked", "v").mapInArrow(lay, "curve int, key long, rep long, asked boolean, v array<double>")
+    ranges = laid.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
+    ranges = scratch.save(ranges.select("curve", "rep", "asked", "v", F.monotonically_increasing_id().alias("seq")), "ranges")
+    part = F.shiftright("seq", 33)
+    counts = ranges.groupBy("curve", part.alias("part")).agg(F.min("seq").alias("low"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("curve", "part", (before - F.col("low")).alias("add"))  # a row a partition and curve at most
+    return ranges.withColumn("part", part).join(F.broadcast(starts), ["curve", "part"]).select("curve", (F.col("seq") + F.col("add")).alias("at"), "rep", "asked", "v")
+
+
+def _group(curve, block, stretch):
+    """One number of a curve, block and stretch (each below 2**28)."""
+    return (curve.cast("long") * F.lit(1 << 28) + block) * F.lit(1 << 28) + stretch
+
+
+def band(placed: DataFrame, queries: DataFrame, inner: int, outer: int, last: int, keep: int, scratch: Scratch) -> DataFrame:
+    """(q, rep, score, seen): the keep best that each query meets on each curve more than inner and at most outer places away.
+
+    A group holds one block of a curve and the queries of one stretch of it, so its size is bounded however wide the band.
+    """
+    at = F.col("at")
+    blocks = F.sequence(F.floor(F.greatest(at - outer, F.lit(0)) / BLOCK), F.floor(F.least(at + outer, F.lit(last)) / BLOCK))
+    within = lambda b: (b * BLOCK >= at - inner) & (b * BLOCK + (BLOCK - 1) <= at + inner)
+    asks = queries.select("curve", "at", "rep", "v", F.explode(F.filter(blocks, lambda b: ~within(b))).alias("block"))
+    asks = scratch.save(asks.select(_group(F.col("curve"), F.col("block"), F.floor(at / STRETCH)).alias("group"), F.lit(True).alias("query"), "at", "rep", "v"), "asks")
+    start = F.floor(at / BLOCK) * BLOCK
+    stretches = F.sequence(F.floor(F.greatest(start - outer, F.lit(0)) / STRETCH), F.floor(F.least(start + (BLOCK - 1 + outer), F.lit(last)) / STRETCH))
+    rows = placed.select("curve", "at", "rep", "v", F.explode(stretches).alias("stretch"))
+    rows = rows.select(_group(F.col("curve"), F.floor(at / BLOCK), F.col("stretch")).alias("group"), F.lit(False).alias("query"), "at", "rep", "v")
+    met = pick_ids(rows, asks.select("group").distinct(), "group").unionByName(asks)
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        rows, asks = group[~group["query"]], group[group["query"]]
+        found = [pd.DataFrame({"q": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(rows) and len(asks):
+            rows = rows.sort_values("at")
+            x, ids, places = np.stack(rows["v"].to_numpy()), rows["rep"].to_numpy(), rows["at"].to_numpy()
+            for start in range(0, len(asks), 256):
+                part = asks.iloc[start : start + 256]
+                s = np.stack(part["v"].to_numpy()) @ x.T
+                away = np.abs(part["at"].to_numpy()[:, None] - places)
+                s[(away <= inner) | (away > outer) | np.isnan(s)] = -np.inf
+                m = min(keep, len(ids))
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                score = np.take_along_axis(s, top, 1)
+                q, best = np.repeat(part["rep"].to_numpy(), m), score.ravel()
+                good = best > -np.inf
+                found.append(pd.DataFrame({"q": q[good], "rep": ids[top].ravel()[good], "score": best[good]}))
+        return pd.concat(found)
+
+    return met.groupBy("group").applyInPandas(search, "q long, rep long, score double").withColumn("seen", F.lit(1))
+
+
+def nearest(
+    vectors: DataFrame,
+    k: int = 20,
+    query_every: int = 20,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    planes: int = PLANES,
+    shifts: int = SHIFTS,
+    reach: int = REACH,
+    missed: float = MISSED,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score, reach): the k nearest found of every row whose id is divisible by query_every."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
@@ -102,7 +188,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
     v = v.select("id", F.transform("v", lambda x: x + 0.0).alias("v"))  # -0.0 is 0.0
     lengths = v.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = "query_id long, rank int, vec_id long, score double, reach long"
     if not lengths:
         return spark.createDataFrame([], schema)
     v = scratch.save(v.where(F.size("v") == lengths[0]["size"]), "vectors")
@@ -112,62 +198,40 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     classes = scratch.save(firsts.select(F.get("ids", F.lit(0)).alias("rep"), "ids", "v"), "classes")
     queries = v.where(F.pmod("id", F.lit(query_every)) == 0).distinct().join(classes.select("rep", "v"), "v").select(F.col("id").alias("query_id"), "rep")
     queries = scratch.save(queries, "queries")
+    scratch.drop(v)
     asked = queries.select("rep").distinct().withColumn("asked", F.lit(True))
 
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").toArrow()
-    n_classes = classes.count()
-    ranges = min(ranges, max(1, n_classes // RANGE_ROWS))
-    index = CurveIndex(_matrix(sample.column("v")), curves, PLANE_DIMS, BITS, ranges)  # some 100 kB, whatever the rows
-    blocks = max(1, -(-n_classes // (ranges * BLOCK_ROWS)))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                at, held = index.place(_matrix(part.column("v")))
-                reps = part.column("rep").to_numpy()
-                n, c = at.shape
-                row, curve = np.repeat(np.arange(n), c), np.tile(np.arange(c), n)
-                out = [(row, curve, at.ravel(), reps[row] % blocks, np.zeros(n * c, bool))]
-                for q in np.flatnonzero(part.column("asked").fill_null(False).to_numpy(zero_copy_only=False)).tolist():
-                    best = np.argsort(-held[q], kind="stable")[: min(probes, c)]
-                    near = [(b, s) for b in best.tolist() for s in range(max(0, at[q, b] - reach), min(ranges - 1, at[q, b] + reach) + 1)]
-                    got = np.array([(b, s, k_) for b, s in near for k_ in range(blocks)], np.int64)
-                    out.append((np.full(len(got), q), got[:, 0], got[:, 1], got[:, 2], np.ones(len(got), bool)))
-                row, curve, seg, block, query = (np.concatenate(x) for x in zip(*out, strict=True))
-                take = pa.array(row)
-                yield pa.record_batch(
-                    [pa.array(curve.astype(np.int32)), pa.array(seg.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(query), part.column("rep").take(take), part.column("v").take(take)],
-                    ["curve", "seg", "block", "query", "rep", "v"],
-                )
-
-    dealt = classes.join(asked, "rep", "left").select("rep", "v", "asked").mapInArrow(spread, "curve int, seg int, block int, query boolean, rep long, v array<double>")
-
-    def search(block: pd.DataFrame) -> pd.DataFrame:
-        rows, asks = block[~block["query"]], block[block["query"]]
-        if not len(rows) or not len(asks):
-            return pd.DataFrame({"q": [], "rep": [], "score": []}).astype({"q": "int64", "rep": "int64", "score": "float64"})
-        x, ids = np.stack(rows["v"].to_numpy()), rows["rep"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
-        found = []
-        for start in range(0, len(asks), 256):
-            part = asks.iloc[start : start + 256]
-            s = np.stack(part["v"].to_numpy()) @ x.T
-            m = min(k + 1, len(ids))
-            top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-            found.append(pd.DataFrame({"q": np.repeat(part["rep"].to_numpy(), m), "rep": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
-        return pd.concat(found)
-
-    pairs = dealt.groupBy("curve", "seg", "block").applyInPandas(search, "q long, rep long, score double")
-    pairs = pairs.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    best = pairs.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= k + 1).drop("n")
-    members = best.join(classes.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("vec_id"), "score")
+    index = ShiftedCurves(_matrix(sample.column("v")), planes, shifts, PLANE_DIMS, BITS)  # some 100 kB, whatever the rows
+    placed = place(classes.join(asked, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), index, scratch)
+
+    last, keep = classes.count() - 1, 2 * k + 1
+    best_first = Window.partitionBy("q").orderBy(F.col("rep") != F.col("q"), F.desc("score"), "rep")
+    found, still, inner, outer = None, placed.where("asked"), -1, reach
+    while True:
+        now = band(placed, still, inner, outer, last, keep, scratch).withColumn("reach", F.lit(outer).cast("long"))
+        merged = (now if found is None else now.unionByName(found)).groupBy("q", "rep").agg(F.max("score").alias("score"), F.sum("seen").cast("int").alias("seen"), F.max("reach").alias("reach"))
+        merged = merged.withColumn("reach", F.max("reach").over(Window.partitionBy("q"))).withColumn("n", F.row_number().over(best_first))
+        best = scratch.save(merged.where(F.col("n") <= keep), "found")
+        found = best.drop("n")
+        if outer >= last:
+            break
+        once, twice = F.count_if(F.col("seen") == 1), F.count_if(F.col("seen") == 2)
+        short = best.where((F.col("reach") == outer) & F.col("n").between(2, k + 1)).groupBy("q").agg(once.alias("f1"), twice.alias("f2"))
+        short = scratch.save(short.where(F.expr("f1 * (f1 - 1) / (2 * (f2 + 1))") > missed * k).select(F.col("q").alias("rep")), "open")
+        if short.isEmpty():
+            break
+        still, inner, outer = pick_ids(placed.where("asked"), short, "rep"), outer, 2 * outer
+
+    pairs = found.join(classes.select("rep", "ids", F.col("v").alias("b")), "rep").join(classes.select(F.col("rep").alias("q"), F.col("v").alias("a")), "q")
+    exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    members = pairs.select("q", "reach", F.explode("ids").alias("vec_id"), exact.alias("score"))
     by_id = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    members = members.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"))
-    hits = queries.join(members, F.col("rep") == F.col("q")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
-    return hits.select("query_id", F.posexplode("found").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    members = members.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
+    members = members.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"), F.max("reach").alias("reach"))
+    hits = queries.join(members, F.col("rep") == F.col("q")).select("query_id", "reach", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    hits = hits.select("query_id", "reach", F.posexplode("found").alias("at", "hit"))
+    return hits.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"), "reach")
 
 
 def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

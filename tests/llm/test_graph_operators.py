@@ -85,6 +85,35 @@ def test_neighbours(spark):
     assert len(few) == 3 and hilbert.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_clusters_stay_in_first_windows(spark):
+    """The windows follow the clusters, not the number of vectors; recall against brute force."""
+    rng = np.random.default_rng(3)
+    reaches = []
+    for n in (2000, 8000):
+        x = rng.normal(size=(n // 100, 32))[rng.integers(0, n // 100, n)] + 0.2 * rng.normal(size=(n, 32))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        got = hilbert.nearest(df, query_every=50).toPandas()
+        recall = []
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -np.inf
+            recall.append(len(set(g["vec_id"]) & set(np.argsort(-s, kind="stable")[:20])) / 20)
+        assert len(recall) == n // 50 and np.mean(recall) >= 0.9
+        reaches.append(got["reach"].median())
+    assert reaches == [hilbert.REACH] * 2
+
+
+def test_neighbours_of_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.where("embedding is not null").toPandas().drop_duplicates("vec_id").set_index("vec_id")["embedding"]
+    x, ids = np.stack(rows.to_numpy()).astype(float), rows.index.to_numpy()
+    got, recall = hilbert.nearest(df).toPandas(), []
+    for q, g in got.groupby("query_id"):
+        s = np.where(ids == q, -np.inf, x @ np.asarray(rows[q], float))
+        recall.append(len(set(g["vec_id"]) & set(ids[np.lexsort((ids, -s))[:20]])) / 20)
+    assert len(recall) == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
+
+
 def test_pipeline_keeps_clean_rows(spark, tmp_path):
     import corpus_pipeline
 
