@@ -7,8 +7,8 @@ curve, and the window around a place holds as many vectors wherever it lies.
 A query meets the vectors of its windows on all curves; what the curves find is
 merged, and how often the nearest were met tells how many are still missing:
 when f1 of them were met on one curve and f2 on two, about f1 (f1 - 1) / 2 (f2 + 1)
-(Chao's estimate). A query that misses more than a set share looks on in the
-band around its windows that doubles them, up to whole curves, where nothing is
+(Chao's estimate). A query that misses more than a set share looks on in a
+band around its windows, four times as wide, up to whole curves, where nothing is
 missing. So the windows follow the data and not the number of vectors: clustered
 vectors are settled in windows of a fixed size (column ``reach``), and only
 vectors without directions of their own (isotropic noise) need wide ones.
@@ -39,8 +39,9 @@ from .shared import Scratch, pick_ids
 #: Vectors that the cells are fitted on at most (a hash of the id chooses).
 SAMPLE_ROWS = 10_000
 PLANES, SHIFTS, PLANE_DIMS, BITS = 8, 2, 6, 6
-#: Places that a query's first windows reach to each side, and the estimated share of its nearest that it may miss.
-REACH, MISSED = 64, 0.03
+#: Places that a query's first windows reach to each side, what a next round multiplies that by, and the estimated
+#: share of its nearest that a query may miss. Each round reads the placed vectors again, so few wide rounds cost less.
+REACH, GROWTH, MISSED = 64, 4, 0.03
 #: Places of one block of a curve, and of the stretch whose queries meet a block in one group.
 BLOCK, STRETCH = 4096, 16_384
 
@@ -221,7 +222,7 @@ def nearest(
         short = scratch.save(short.where(F.expr("f1 * (f1 - 1) / (2 * (f2 + 1))") > missed * k).select(F.col("q").alias("rep")), "open")
         if short.isEmpty():
             break
-        still, inner, outer = pick_ids(placed.where("asked"), short, "rep"), outer, 2 * outer
+        still, inner, outer = pick_ids(placed.where("asked"), short, "rep"), outer, GROWTH * outer
 
     pairs = found.join(classes.select("rep", "ids", F.col("v").alias("b")), "rep").join(classes.select(F.col("rep").alias("q"), F.col("v").alias("a")), "q")
     exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
