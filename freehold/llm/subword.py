@@ -4,11 +4,14 @@ A text's words (runs of letters, lower-cased) give their character n-grams,
 word ends included; each hashed n-gram has a vector, the text's vector is their
 mean, and a linear softmax reads it. Vectors and softmax are trained together
 in numpy. A misspelling shares most n-grams with the word it comes from, so it
-needs no entry of its own.
+needs no entry of its own. Scores are calibrated: every sampled row is scored
+by a model that has not seen it, and a slope and a bias are fitted to these
+scores at the classes' rates among all labelled rows.
 
 Defined results
 - Null or empty text, or one without letters: the score of an empty bag (the model's bias).
-- Null doc_id: held_out is null; never learnt from. Repeated rows are scored row by row.
+- Null doc_id: held_out is null; never learnt from. Repeated rows are scored row by row; of rows that share an id
+  one is learnt from, that whose n-grams come first.
 - No labelled rows to learn from: every score is 0.5. One class only: its smoothed share.
 - Empty table: no rows. Columns named in ``keep`` pass through.
 """
@@ -31,6 +34,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 2_500
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 BUCKET_BITS, DIMS, EPOCHS, MIN_STEPS, BATCH, RATE = 17, 4, 6, 150, 100, 0.02
+PARTS = 3  # of the sampled rows, each scored by the model of the others
 _GRAMS = (3, 4, 5)
 _SCALE = 50.0  # of a mean vector, so that a rare word in a long text still counts
 _LETTER = np.zeros(128, bool)
@@ -64,7 +68,7 @@ def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.zeros(len(low) + 1, np.int64)
     if not hashes:
         return np.zeros(0, np.int32), cuts
-    of = np.searchsorted(ends, np.concatenate(places), side="left")  # a gram starts at the break before its text at the earliest
+    of = np.searchsorted(ends, np.concatenate(places), side="right")  # a gram starts at the break before its text at the earliest
     keep = of < len(low)
     ids, of = np.concatenate(hashes)[keep], of[keep]
     order = np.argsort(of, kind="stable")
@@ -78,6 +82,10 @@ class SubwordModel:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    def logits(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """Of bags: distinct n-grams and how often each is there."""
+        return np.array([self.bias + self.weights[i] @ c / max(1, c.sum()) for i, c in zip(ids, counts, strict=True)])
+
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         ids, cuts = grams(texts)
         total = np.zeros(len(ids) + 1)
@@ -87,12 +95,10 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(ids: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, prior_shift: float = 0.0, seed: int = 11) -> SubwordModel:
+def fit(ids: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, seed: int = 11) -> SubwordModel:
     """Adam on the softmax loss of vectors and output weights together.
 
     The first dimension starts at each n-gram's log ratio of document rates, the others near zero.
-
-    prior_shift is added to the bias: the log ratio of the sampled classes' rates to the population's.
     """
     size = 1 << BUCKET_BITS
     if len(y) == 0:
@@ -135,7 +141,31 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, prior_sh
                 v += 0.001 * (grad * grad - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
     odds = out[:, 1] - out[:, 0]
-    return SubwordModel((vectors @ odds).astype(np.float64) * _SCALE, float(bias[1] - bias[0]) + prior_shift)
+    return SubwordModel((vectors @ odds).astype(np.float64) * _SCALE, float(bias[1] - bias[0]))
+
+
+def calibrated(ids: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> SubwordModel:
+    """fit() with the slope and bias that suit the logits of rows which the model has not seen, row i counted weight[i] times."""
+    model = fit(ids, counts, y, seed)
+    if min((y == v).sum() for v in (0, 1)) < 2 * PARTS:
+        return model
+    unseen, part = np.zeros(len(y)), np.random.default_rng(seed).permutation(np.arange(len(y)) % PARTS)
+    for k in range(PARTS):
+        rest, mine = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        other = fit([ids[i] for i in rest], [counts[i] for i in rest], y[rest], seed)
+        unseen[mine] = other.logits([ids[i] for i in mine], [counts[i] for i in mine])
+    x, weight = np.stack([unseen, np.ones_like(unseen)], axis=1), weight / weight.mean()
+    start = np.array([1.0, np.log(weight[y == 1][0] / weight[y == 0][0])])
+    line = start.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + 0.01 * (line - start)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope)
+        line -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    a = max(0.1, line[0])
+    return SubwordModel(model.weights * a, float(model.bias * a + line[1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SubwordModel:
@@ -153,16 +183,17 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
                 ids, cuts = grams(part.column("text").to_pylist())
                 bags = [np.unique(ids[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.record_batch(
-                    [part.column("ident"), part.column("label"), pa.array([u.astype(np.uint32).tobytes() for u, _ in bags], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in bags], pa.binary())],
+                    [part.column("ident"), part.column("label"), pa.array([u.astype(np.uint32).tobytes() for u, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary())],
                     ["ident", "label", "ids", "counts"],
                 )
 
     joined = joined.select(F.col("ident").cast("string").alias("ident"), "label", "text")
-    got = joined.mapInArrow(measure, schema).limit(2 * (toxic_rows + clean_rows)).toPandas().sort_values(["ident", "label", "ids"])
+    # one row an id and label, so no more than were chosen
+    bags = joined.mapInArrow(measure, schema).groupBy("ident", "label").agg(F.min(F.struct("ids", "counts")).alias("bag"))
+    got = bags.select("ident", "label", "bag.*").toPandas().sort_values(["ident", "label"])
     y = got["label"].to_numpy(float)
-    sampled = {v: max(1, int((y == v).sum())) for v in (0, 1)}
-    shift = float(np.log(rate.get(1, 1) / sampled[1]) - np.log(rate.get(0, 1) / sampled[0])) if len(np.unique(y)) == 2 else 0.0
-    return fit([np.frombuffer(b, np.uint32).astype(np.int32) for b in got["ids"]], [np.frombuffer(b, np.uint16) for b in got["counts"]], y, shift)
+    weight = np.array([rate.get(int(v), 1) / (y == v).sum() for v in y])
+    return calibrated([np.frombuffer(b, np.uint32).astype(np.int32) for b in got["ids"]], [np.frombuffer(b, np.uint32) for b in got["counts"]], y, weight)
 
 
 def score_toxicity(docs: DataFrame, model: SubwordModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -210,6 +211,41 @@ def test_misspelling_shares_ngrams():
     assert bad > clean
 
 
+def test_toxicity_levels_hold_on_unseen_rows():
+    """Scores of rows that were not learnt from stand for shares, also when the sample's classes are not the population's."""
+    rng = np.random.default_rng(4)
+    y = (rng.uniform(size=900) < 0.5).astype(float)
+    texts = [prose(i, 30) + (" idiot" if rng.uniform() < (0.8 if v else 0.2) else " harbour") for i, v in enumerate(y)]
+    ids, cuts = subword.grams(texts)
+    bags = [np.unique(ids[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    bags, of, seen = [b[0] for b in bags], [b[1] for b in bags], slice(0, 600)
+    plain = subword.fit(bags[seen], of[seen], y[seen]).logits(bags[600:], of[600:])
+    level = subword.calibrated(bags[seen], of[seen], y[seen], np.ones(600))
+    z = level.logits(bags[600:], of[600:])
+    loss = lambda z: float(np.mean(np.log1p(np.exp(-np.where(y[600:] == 1, z, -z)))))
+    assert loss(z) < loss(plain) and loss(z) < 0.62
+    assert np.allclose(level.score(texts[600:]), 1 / (1 + np.exp(-z)))
+    rare = subword.calibrated(bags[seen], of[seen], y[seen], np.where(y[seen] == 1, 1.0, 9.0))
+    assert rare.score(texts[600:]).mean() < 0.5 * level.score(texts[600:]).mean()
+
+
+def test_a_text_has_its_own_ngrams_in_any_batch():
+    texts = ["abc def", "", "xyz", None, "1", "uvw x"]
+    ids, cuts = subword.grams(texts)
+    for i, t in enumerate(texts):
+        alone, ends = subword.grams([t])
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == alone.tolist() and ends[-1] == len(alone)
+
+
+def test_repeated_ids_teach_once(spark):
+    docs, labels = labelled(spark, 120)
+    for module in (additive, subword):
+        once, twice = module.learn(docs, labels), module.learn(docs.unionByName(docs), labels.unionByName(labels))
+        texts = [prose(7, 40), prose(8, 40) + " idiot"]
+        score = (lambda m: m.score(texts)) if module is subword else (lambda m: m.score(additive.text_features(pa.array(texts)).astype(float)))
+        assert np.allclose(score(once), score(twice))
+
+
 def test_classifiers_on_odd_rows(spark, odd, odd_rows, empty):
     docs, labels = labelled(spark, 60)
     for module, learn, score in ((additive, additive.learn, additive.score_quality), (subword, subword.learn, subword.score_toxicity)):
