@@ -8,7 +8,8 @@ additions in the pass that reads the texts; nothing is shuffled.
 
 Defined results
 - Null or empty text: features of an empty text, scored like any other.
-- Null doc_id: held_out is null; never learnt from. Repeated rows are scored row by row.
+- Null doc_id: held_out is null; never learnt from. Repeated rows are scored row by row; of rows that share an id
+  one is learnt from, that whose features come first.
 - No labelled rows to learn from: every score is 0.5. One class only: its smoothed share.
 - Empty table: no rows. Columns named in ``keep`` pass through.
 """
@@ -189,15 +190,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     known = known.where(F.col("ident").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("ident"), FOLDS) != HELD_FOLD))
     known = known.orderBy(F.xxhash64("ident"), "ident", "label").limit(sample_rows)
     joined = docs.select(docs[id_col].alias("ident"), docs[text_col].alias("text")).join(F.broadcast(known), "ident")
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
+    schema = T.StructType([T.StructField("ident", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = text_features(part.column("text"))
-                yield pa.record_batch([part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+                yield pa.record_batch([part.column("ident"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["ident", "label", "x"])
 
-    got = joined.select("label", "text").mapInArrow(measure, schema).limit(2 * sample_rows).toPandas()
+    # one row an id and label, so no more than were chosen
+    measured = joined.select(F.col("ident").cast("string").alias("ident"), "label", "text").mapInArrow(measure, schema)
+    got = measured.groupBy("ident", "label").agg(F.min("x").alias("x")).toPandas()
     x = np.array([np.frombuffer(r, np.float32) for r in got["x"]], np.float32).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["label"].to_numpy()))  # whatever order the rows came in
     return fit(x[order].astype(float), got["label"].to_numpy(float)[order])
