@@ -2,7 +2,9 @@
 
 Each line of a text is a bag of hashed word and word-pair features. A binary
 logistic regression finds the lines that speak of a licence; neighbouring ones
-are one paragraph, so a wrapped notice is judged whole. A softmax over the
+are one paragraph, so a wrapped notice is judged whole; where sentences end within
+it, each run of lines up to such an end is judged too, so that two notices side
+by side are both found. A softmax over the
 families and an unknown class names a paragraph's family; its temperature and
 the least probability that counts come from whole templates held back. A family
 is confirmed when the paragraph holds half of the word pairs of one of its
@@ -16,7 +18,9 @@ column expressions over whole texts, one row a document, without a shuffle.
 
 Defined results
 - Null or empty text: no lines, family null. Repeated rows are scanned row by row. Empty table: no rows.
-- Several licence paragraphs: the confirmed one with the highest probability names the document, then the first.
+- Several licence paragraphs: the confirmed one with the highest probability names the document, then the first;
+  ``families`` lists every confirmed one (empty where none is).
+- A carriage return or a zero character within a line is a blank.
 - Columns named in ``keep`` pass through.
 """
 
@@ -243,7 +247,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_lines: int = SAMPLE_LI
 
 
 def scan(docs: DataFrame, model: LicenceModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """keep's columns with family, confirmed, probability, overlap and n_licence_lines (family null where no line speaks of one)."""
+    """keep's columns with family, families, confirmed, probability, overlap and n_licence_lines (family null where no line speaks of one)."""
     chance = lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     found = _vector(model.found)
     named = F.array(*[_vector(model.named[:, k]) for k in range(len(model.families))])
@@ -279,15 +283,26 @@ def scan(docs: DataFrame, model: LicenceModel, keep: Sequence[str] = ("doc_id",)
     def is_licence(line: Column) -> Column:
         return let(let(_tokens(line), _buckets), lambda x: (F.size(x) > 0) & (chance(_logit(x, found, model.found_bias)) >= MIN_LICENCE))
 
-    found_lines = F.transform(F.split(F.coalesce(docs[text_col], F.lit("")), "\n"), lambda x: F.when(is_licence(x), F.concat(x, F.lit("\r"))).otherwise("\n"))
+    def stretches(paragraph: Column) -> Column:
+        """The paragraph, and where sentences end at line ends within it or a tag line begins, what lies between."""
+        cut = F.regexp_replace(paragraph, "([.:!?][\"')]*[ \t]*)\r", "$1\u0000")
+        cut = F.regexp_replace(cut, "(?i)\r(?=[^\r\u0000]{0,8}spdx-license-identifier:)", "\u0000")
+        cut = F.regexp_replace(cut, "(?i)(spdx-license-identifier:[^\r\u0000]*)\r", "$1\u0000")
+        parts = F.filter(F.split(cut, "\u0000"), lambda x: x != "")
+        return let(parts, lambda a: F.when(F.size(a) > 1, F.concat(F.array(paragraph), a)).otherwise(F.array(paragraph)))
+
+    plain = F.translate(F.coalesce(docs[text_col], F.lit("")), "\r\u0000", "  ")
+    found_lines = F.transform(F.split(plain, "\n"), lambda x: F.when(is_licence(x), F.concat(x, F.lit("\r"))).otherwise("\n"))
     t = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], F.array_join(found_lines, "").alias("found"))
-    t = t.withColumn("judged", F.transform(F.filter(F.split("found", "\n+"), lambda x: x != ""), judge))
+    t = t.withColumn("judged", F.transform(F.flatten(F.transform(F.filter(F.split("found", "\n+"), lambda x: x != ""), stretches)), judge))
     sure = lambda j: (j["overlap"] >= MIN_OVERLAP) & (j["probability"] >= model.least) & (j["name"] != "unknown")
     ranked = F.transform("judged", lambda j, i: F.struct(sure(j).alias("confirmed"), j["probability"].alias("probability"), (-i).alias("at"), j["overlap"].alias("overlap"), F.when(sure(j), j["name"]).otherwise("unknown").alias("family")))
     t = t.withColumn("best", F.array_max(ranked))
+    confirmed = F.transform(F.filter("judged", sure), lambda j: j["name"])
     return t.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         F.col("best.family").alias("family"),
+        F.sort_array(F.array_distinct(confirmed)).alias("families"),
         F.coalesce("best.confirmed", F.lit(False)).alias("confirmed"),
         F.round("best.probability", 6).alias("probability"),
         F.round("best.overlap", 6).alias("overlap"),

@@ -354,6 +354,12 @@ def test_licences(spark, odd, odd_rows, empty):
     told = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licences.scan(told, model).collect()}
     assert [told[i] for i in range(len(others)) if told[i] not in ((None, False), ("unknown", False))] == []
     assert told[20] == ("apache-2.0", True) and told[21] == ("cc-by-nc", True)
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    two = [mit + "\n" + apache, apache + "\n" + mit, mit + "\nLicensed under the Eclipse Public License, version 2.0.", "# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: Apache-2.0"]
+    two += ["This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License.", mit.replace("the MIT", "the\rMIT") + "\r\n" + apache + "\r\n"]
+    both = [(r["families"], r["n_licence_lines"]) for r in licences.scan(spark.createDataFrame([*enumerate(two)], "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    assert [f for f, _ in both] == [["apache-2.0", "mit"]] * 2 + [["mit"], ["apache-2.0", "mit"], ["cc-by-nc"], ["apache-2.0", "mit"]]
+    assert both[5][1] == 2
     assert licences.scan(odd, model, keep=["doc_id", "row"]).count() == len(odd_rows)
     assert licences.scan(empty, licences.train(empty)).count() == 0
 
