@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import norm_name
+from ..sources.work import kept
 
 
 def key_integrity(facts: DataFrame, key: str, by: str = "source_id") -> DataFrame:
@@ -30,22 +32,35 @@ def mart_reconciliation(raw: DataFrame, mart: DataFrame, ambiguous: DataFrame) -
     return out.withColumn("difference", F.col("raw_total") - F.col("canonical_total") - F.col("ambiguous_total"))
 
 
-def _match_rate(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Share of a's rows with a row of b of the same keys; b is reduced to its distinct keys first."""
-    hit = a.join(b.select(*keys).distinct().withColumn("_h", F.lit(True)), list(keys), "left")
-    return hit.agg(F.count("*").alias("row_count"), F.count("_h").alias("matched")).select(F.lit(name).alias("variant"), "row_count", "matched")
-
-
 def source_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """How many of a's rows (day, area_id, size, price) b has, exactly, with one key relaxed, and within a day."""
+    """How many of a's rows (day, area_id, size, price) b has, exactly, with one key relaxed, and within a day.
+
+    Rows of both are dealt twice: by size and price, where all variants but two
+    are told, and by day and area for those two. Variants of one dealing that
+    share an order share its sort. A row with a null among a variant's keys has
+    no match in it.
+    """
     keys = ("day", "area_id", "size", "price")
-    key = lambda df: df.select(F.col("day"), F.col("area_id"), F.round("size", 2).alias("size"), F.round("price", 0).alias("price"))
-    ka, kb = key(a), key(b)
-    out = _match_rate(ka, kb, keys, "all")
-    for k in keys:
-        out = out.unionByName(_match_rate(ka, kb, [x for x in keys if x != k], f"without_{k}"))
-    near = kb.select(F.explode(F.array(*[F.date_add("day", s) for s in (-1, 0, 1)])).alias("day"), "area_id", "size", "price")
-    return out.unionByName(_match_rate(ka, near, keys, "within_a_day"))
+    key = lambda df, n: df.select(F.col("day").cast("date").alias("day"), "area_id", F.round("size", 2).alias("size"), F.round("price", 0).alias("price"), F.lit(n).alias("in_b"))
+    both = key(a, 0).unionByName(key(b, 1))
+    # as text: floating numbers would be normalised by each window, and dealt anew for it
+    both = kept(both.withColumns({f.name: (F.col(f.name) + F.lit(0.0)).cast("string") for f in both.schema.fields if f.dataType.typeName() in ("float", "double")}), "sides")
+    found = lambda *by: F.max("in_b").over(Window.partitionBy(*by))
+    days = Window.partitionBy("size", "price", "area_id").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(-1, 1)
+    dealings = (
+        (("size", "price"), {"all": (found("size", "price", "area_id", "day"), keys), "without_day": (found("size", "price", "area_id"), keys[1:]), "within_a_day": (F.max("in_b").over(days), keys), "without_area_id": (found("size", "price", "day"), ("size", "price", "day"))}),
+        (("day", "area_id"), {"without_size": (found("day", "area_id", "price"), ("day", "area_id", "price")), "without_price": (found("day", "area_id", "size"), ("day", "area_id", "size"))}),
+    )
+    out = None
+    for by, variants in dealings:
+        told = both.repartition(*by)
+        for name, (hit, _) in variants.items():
+            told = told.withColumn(f"_{name}", hit)
+        has = lambda name, on: reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in on], F.col(f"_{name}") == 1)
+        counts = told.where("in_b = 0").agg(F.count("*").alias("row_count"), *[F.count_if(has(n, on)).alias(n) for n, (_, on) in variants.items()])
+        rows = counts.select("row_count", F.explode(F.create_map(*[x for n in variants for x in (F.lit(n), F.col(n))])).alias("variant", "matched")).select("variant", "row_count", "matched")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def skip_matched_import(b: DataFrame, a: DataFrame, keys: Sequence[str]) -> DataFrame:

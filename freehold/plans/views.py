@@ -20,12 +20,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def sale(spark: SparkSession, sf: str) -> DataFrame:
     """Registered sales: one row a line item."""
     t = lambda n: table(spark, sf, n)
-    rows = (
-        t("lineitem")
-        .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    )
+    # the area of an order first, so that line items are shuffled once for it
+    placed = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    rows = t("lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     area, amount = F.col("l_quantity").cast("decimal(12,2)"), F.col("l_extendedprice").cast("decimal(14,2)")
     return rows.select(
         F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("source_id"),

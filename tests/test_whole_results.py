@@ -37,3 +37,22 @@ def same_as_sql(spark, tables, name):
 def test_sales_of_one_natural_key_all_count(spark, tables):
     got = same_as_sql(spark, tables, "incremental_marts")
     assert sum(r[3] or 0 for r in got) == 120
+
+
+def test_overlap_deals_its_rows_twice(spark, monkeypatch):
+    """Every variant against pairs of rows, with nulls, copies and both zeros; no variant has a shuffle of its own."""
+    from freehold.operators import quality
+
+    days = [None, "2020-01-01", "2020-01-02", "2020-01-03", "2020-01-05"]
+    rows = lambda n, step: [(days[i * step % 5], [None, 1, 2][i % 3], [0.0, -0.0, 1.001, 1.004, None][i // 2 % 5], [100.4, 99.6, None, 7.0][i // 3 % 4]) for i in range(n)]
+    kind = "d string, area_id int, size double, price double"
+    a, b = (spark.createDataFrame(rows(n, k), kind).selectExpr("to_date(d) AS day", "area_id", "size", "price") for n, k in ((70, 1), (23, 3)))
+    key = lambda r: (r["day"], r["area_id"], None if r["size"] is None else round(r["size"], 2), None if r["price"] is None else round(r["price"]))
+    ka, kb = [key(r) for r in a.collect()], [key(r) for r in b.collect()]
+    same = lambda x, y, drop=(): all(x[i] is not None and x[i] == y[i] for i in range(4) if i not in drop)
+    fits = {"all": same, "within_a_day": lambda x, y: same(x, y, (0,)) and None not in (x[0], y[0]) and abs((x[0] - y[0]).days) <= 1}
+    fits |= {f"without_{n}": lambda x, y, i=i: same(x, y, (i,)) for i, n in enumerate(("day", "area_id", "size", "price"))}
+    out = quality.source_overlap(a, b)
+    got = {r["variant"]: (r["row_count"], r["matched"]) for r in out.collect()}
+    assert got == {n: (70, sum(any(f(x, y) for y in kb) for x in ka)) for n, f in fits.items()}
+    assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 4  # a dealing each, and at most one total
