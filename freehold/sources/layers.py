@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .snapshots import GRACE_SECONDS, Versions
+from .work import kept
 
 #: Deltas of a bucket from which it is written anew.
 COMPACT_AFTER = 8
@@ -110,8 +111,8 @@ class Layers:
             self.compact(b)
         return sorted(got)
 
-    def upsert(self, incoming: DataFrame, update: Sequence[str], stream: str | None = None, batch: int | None = None) -> DataFrame | None:
-        """Lays on top what a guarded upsert inserts or updates (one incoming row a key).
+    def upsert(self, rows: DataFrame, update: Sequence[str], stream: str | None = None, batch: int | None = None) -> DataFrame | None:
+        """Lays on top what a guarded upsert inserts or updates (one row a key).
 
         Gives the changed rows with ``action`` and ``was``, the row before as a
         struct (null for an insert). The last batch of a stream gives the same
@@ -122,6 +123,7 @@ class Layers:
         made: list[str] = []
 
         def make(now: dict) -> DataFrame:
+            incoming = kept(rows, "incoming")  # read three times, and made once
             stored = self.read(self.buckets_of(incoming), now)
             same = stored.join(incoming.select(self.key), null_safe(stored, incoming, self.key), "left_semi")
             out = guarded_upsert(same, incoming, self.key, update).where("action <> 'keep'")

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -56,3 +57,22 @@ def test_overlap_deals_its_rows_twice(spark, monkeypatch):
     got = {r["variant"]: (r["row_count"], r["matched"]) for r in out.collect()}
     assert got == {n: (70, sum(any(f(x, y) for y in kb) for x in ka)) for n, f in fits.items()}
     assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 4  # a dealing each, and at most one total
+
+
+def test_an_upsert_makes_its_rows_once(spark, tmp_path):
+    """A batch's rows are made once, however often the upsert reads them: a stream's stateful steps don't run anew."""
+    from pyspark.sql import types as T
+
+    from freehold.sources.layers import Layers
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = Layers(spark, f"file://{tmp_path}/t", T.StructType.fromDDL("k bigint, v bigint"), ("k",), F.expr("pmod(k, 3)"))
+    rows = spark.range(0, 40, 1, 2).selectExpr("id AS k", "id * 2 AS v").mapInArrow(seen, "k bigint, v bigint")
+    changed = table.upsert(rows, ("v",), "load", 0)
+    assert changed.count() == 40 == table.read().count() and made.value == 40
