@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean as C
-from ..operators.areas import lookup
+from ..operators.areas import LOOKUP_ROWS
+from .work import kept
 
 SALE_COLUMNS = ("transaction_id", "instance_date", "actual_worth", "trans_group_en", "procedure_name_en", "reg_type_en", "property_usage_en", "property_type_en", "property_sub_type_en", "rooms_en", "has_parking", "area_name_en", "area_name_ar", "project_name_en", "project_name_ar", "master_project_en", "building_name_en", "building_name_ar", "procedure_area")
 RENT_COLUMNS = ("contract_id", "line_number", "no_of_prop", "contract_start_date", "contract_end_date", "annual_amount", "contract_amount", "actual_area", "contract_reg_type_en", "is_free_hold", "property_usage_en", "ejari_property_type_en", "ejari_property_sub_type_en", "area_name_en", "area_name_ar", "project_name_en", "project_name_ar", "master_project_en")
@@ -55,22 +57,62 @@ def csv_headers(spark: SparkSession, pattern: str, skip: str = "") -> dict[str,
     return out
 
 
-def _counted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with the number of lines with an odd count of quotes before each in its block; lines of a block come in order."""
-    block, before = None, 0
-    for batch in batches:
-        names, starts = batch.column("path").to_pylist(), batch.column("block").to_pylist()
-        odd = batch.column("odd").to_numpy(zero_copy_only=False).astype(np.int64)
-        until = np.cumsum(odd) - odd
-        edges = [0, *[k for k in range(1, len(odd)) if (names[k], starts[k]) != (names[k - 1], starts[k - 1])], len(odd)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
+def _record_lines(edges: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines (path, file_name, block, line, value, odd, start), a block's in order, to the records that lie whole in a block; or, with edges, to the lines of all others.
+
+    start is the number of lines of an odd count of quotes before the block.
+    until is null for a whole record; for a line of another one, those before the line.
+    """
+    names = ["path", "file_name", "block", "line", "record", "until"]
+
+    def told(rows: pa.Table, until: np.ndarray | None) -> pa.RecordBatch:
+        columns = [rows.column(c).combine_chunks() for c in ("path", "file_name", "block", "line", "value")]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64()) if until is None else pa.array(until)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, at = None, 0, None  # lines of a record that isn't at its end, odd lines up to here, and the block
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if edges and held is not None and len(held):
+                odd = held.column("odd").to_numpy()
+                yield told(held, count - int(odd.sum()) + np.cumsum(odd) - odd)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
                 continue
-            if (names[a], starts[a]) != block:
-                block, before = (names[a], starts[a]), 0
-            until[a:b] += before - until[a]
-            before = int(until[b - 1] + odd[b - 1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(until)], [*batch.schema.names, "until"])
+            file, block = table.column("path").combine_chunks().dictionary_encode(), table.column("block").to_numpy()
+            of = file.indices.to_numpy()
+            turns = np.flatnonzero((of[1:] != of[:-1]) | (block[1:] != block[:-1])) + 1
+            for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), len(table)], strict=True):
+                here, rows = (file.dictionary[of[lo]].as_py(), int(block[lo])), table.slice(lo, hi - lo)
+                if here != at:
+                    yield from rest()
+                    held, count, at = None, int(rows.column("start")[0].as_py()), here
+                if held is not None:
+                    count -= int(held.column("odd").to_numpy().sum())
+                    rows = pa.concat_tables([held, rows])
+                odd = rows.column("odd").to_numpy()
+                until = count + np.cumsum(odd) - odd
+                count = int(until[-1] + odd[-1])
+                begins = np.flatnonzero(until % 2 == 0)
+                first = int(begins[0]) if len(begins) else len(rows)
+                if edges and first:
+                    yield told(rows.slice(0, first), until[:first])
+                last = int(begins[-1]) if len(begins) and count % 2 else len(rows)
+                held = rows.slice(last) if last < len(rows) else None
+                begins = begins[begins < last]
+                if not edges and len(begins):
+                    out = rows
+                    if len(begins) < last - first:
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, last), pa.int32()), rows.column("value").combine_chunks())
+                        out = rows.take(pa.array(begins)).drop_columns("value").append_column("value", pc.binary_join(lists, "\n"))
+                    else:
+                        out = rows.slice(first, last - first)
+                    yield told(out, None)
+        yield from rest()
+
+    return run
 
 
 def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -79,26 +121,33 @@ def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     A line break is a record's end where the quotes before it are even in
     number. Blocks of a file are read by tasks of their own. A first pass counts
     each block's lines of odd quotes, so that a second one knows at a block's
-    start whether it is inside a quoted value. Lines that are a record by
-    themselves stay where they are read; only lines of records with breaks are
-    put together by a shuffle. (block, line) orders records in a file.
+    start whether it is inside a quoted value. Where no file has such a line,
+    every line is a record. Else records that lie in one block are
+    put together where they are read, and only lines of those that blocks cut
+    are brought together by a shuffle. (block, line) orders records in a file.
     """
-    lines = (
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    blocks = kept(_lines(spark, paths).withColumn("odd", F.when(F.contains("value", F.lit('"')), quotes % 2).otherwise(0)).groupBy("path", "block").agg(F.sum("odd").alias("n")), "blocks")
+    if blocks.where("n > 0").isEmpty():
+        return _lines(spark, paths).withColumnRenamed("value", "record")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    starts = F.broadcast(blocks.select("path", "block", before.alias("start")))
+    unknown = F.raise_error(F.lit("a file was cut at other places than before")).cast("bigint")
+    lines = _lines(spark, paths).withColumn("odd", (quotes % 2).cast("bigint")).join(starts, ["path", "block"], "left")
+    lines = lines.select("path", "file_name", "block", "line", "value", "odd", F.coalesce("start", unknown).alias("start"))
+    schema = "path string, file_name string, block bigint, line bigint, record string, until bigint"
+    whole = lines.mapInArrow(_record_lines(False), schema).drop("until")
+    parts = lines.mapInArrow(_record_lines(True), schema).groupBy("path", "file_name", F.floor(F.col("until") / 2).alias("_record")).agg(F.array_sort(F.collect_list(F.struct("block", "line", "record"))).alias("parts"))
+    first = F.col("parts")[0]
+    return whole.unionByName(parts.select("path", "file_name", first["block"].alias("block"), first["line"].alias("line"), F.array_join("parts.record", "\n").alias("record")))
+
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return (
         spark.read.option("lineSep", "\n")
         .text(list(paths))
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
-        .withColumn("odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
     )
-    blocks = lines.groupBy("path", "block").agg(F.sum("odd").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
-    starts = blocks.select("path", "block", before.alias("start"))
-    schema = T.StructType([*lines.schema.fields, T.StructField("until", T.LongType())])
-    told = lines.mapInArrow(_counted_lines, schema).join(lookup(starts), ["path", "block"]).withColumn("until", F.col("until") + F.col("start"))
-    inside, odd = F.col("until") % 2 == 1, F.col("odd") == 1
-    whole = told.where(~inside & ~odd).select("path", "file_name", "block", "line", F.col("value").alias("record"))
-    parts = told.where(inside | odd).groupBy("path", "file_name", F.floor(F.col("until") / 2).alias("_record")).agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"))
-    first = F.col("parts")[0]
-    return whole.unionByName(parts.select("path", "file_name", first["block"].alias("block"), first["line"].alias("line"), F.array_join("parts.value", "\n").alias("record")))
 
 
 def scan_bulk_csv(spark: SparkSession, root: str, dataset: str, columns: Sequence[str]) -> DataFrame:
@@ -123,7 +172,7 @@ def scan_bulk_csv(spark: SparkSession, root: str, dataset: str, columns: Sequenc
         records = csv_records(spark, sorted(paths)).withColumn("record", F.regexp_replace("record", "\\r$", "")).where(F.trim("record") != "")
         # a file's first record is its header
         at = {n: i for i, n in enumerate(header)}
-        parsed = _without_headers(records).withColumn("r", F.from_csv("record", places, {"escape": '"', "maxCharsPerColumn": "-1"}))
+        parsed = _without_headers(records, sorted(paths)).withColumn("r", F.from_csv("record", places, {"escape": '"', "maxCharsPerColumn": "-1"}))
         one = parsed.select(*[(F.col(f"r.c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in columns], "file_name", F.struct("block", "line").alias("place"))
         out = one if out is None else out.unionByName(one)
     if out is None:
@@ -131,10 +180,12 @@ def scan_bulk_csv(spark: SparkSession, root: str, dataset: str, columns: Sequenc
     return out.withColumn("seq", F.struct("file_name", "place")).drop("place")
 
 
-def _without_headers(records: DataFrame) -> DataFrame:
-    """records less each file's first one, which is in its first block."""
-    first = records.where("block = 0").groupBy("path").agg(F.min("line").alias("_first"))  # a row a file
-    return records.join(lookup(first), "path", "left").where((F.col("block") > 0) | (F.col("line") > F.col("_first"))).drop("_first")
+def _without_headers(records: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """records of these files less each file's first one, which begins at the first line of its first block that isn't blank."""
+    lines = _lines(records.sparkSession, paths).where("block = 0").where(F.trim(F.regexp_replace("value", "\\r$", "")) != "")
+    first = lines.groupBy("path").agg(F.min("line").alias("_first"))  # a row a file
+    first = F.broadcast(first) if len(paths) <= LOOKUP_ROWS else first
+    return records.join(first, "path", "left").where((F.col("block") > 0) | (F.col("line") > F.col("_first"))).drop("_first")
 
 
 def scan_gateway_json(pages: DataFrame, column: str = "value") -> DataFrame:
