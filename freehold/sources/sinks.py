@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .work import kept
+
 # Sources by code, with name, address, licence and whether a government publishes them.
 SOURCES = (
     ("dld_gateway", "Dubai Land Department open data", "https://dubailand.gov.ae/en/open-data/real-estate-data/", "Dubai open data; attribution to Dubai Land Department", True),
@@ -47,12 +49,15 @@ def _ranks(rows: DataFrame, columns: dict[str, Column], bits: int) -> list[Colum
     """Each value's rank among 2**bits of about as many rows each; nulls are first. Bounds are some dozen numbers a column."""
     shares = F.array(*[F.lit(k / 2**bits) for k in range(1, 2**bits)])
     bounds = rows.agg(*[F.percentile_approx(c, shares, F.lit(10_000)).alias(n) for n, c in columns.items()]).first()
-    ranks = []
-    for n, c in columns.items():
-        steps = F.array(*[F.lit(v) for v in sorted(set(bounds[n] or ()))]).cast("array<double>")
-        below = lambda v: v < c  # noqa: B023, E731
-        ranks.append(F.coalesce(F.size(F.filter(steps, below)), F.lit(0)))
-    return ranks
+    return [_rank(c, sorted(set(bounds[n] or ()))) for n, c in columns.items()]
+
+
+def _rank(c: Column, steps: Sequence[float], least: int = 0) -> Column:
+    """least and the number of rising steps below c, by halving; a null is below all."""
+    if not steps:
+        return F.lit(least)
+    half = len(steps) // 2
+    return F.when(c > F.lit(steps[half]), _rank(c, steps[half + 1 :], least + half + 1)).otherwise(_rank(c, steps[:half], least))
 
 
 def write_facts(facts: DataFrame, path: str, day: str, entities: Sequence[str] = ("area_id", "project_id"), files: int | None = None) -> None:
@@ -64,6 +69,7 @@ def write_facts(facts: DataFrame, path: str, day: str, entities: Sequence[str] =
     files: how many in all; by default what Spark's partition sizes make.
     """
     columns = {c: F.col(c).cast("double") for c in entities} | {"_day": F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("double")}
+    facts = kept(facts, "facts")  # read for bounds, for ranges, and to be laid out
     out = facts.withColumn("year", F.year(day)).withColumn("_z", morton(_ranks(facts, columns, RANK_BITS)))
     keys = ["year", "_z"]
     ranged = out.repartitionByRange(files, *keys) if files else out.repartitionByRange(*keys)

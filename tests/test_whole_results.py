@@ -98,3 +98,23 @@ def test_lines_without_breaks_are_records_as_they_are(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [tuple(r) for r in scan_bulk_csv(spark, f"file://{tmp_path}", "a", ("k", "v")).select("k", "v").collect()] == [("1", 'x, "y"'), ("2", "z")]
+
+
+def test_facts_are_made_once_to_be_laid_out(spark, tmp_path):
+    """Facts are made once, however often they are read for their order; ranks are the number of bounds below a value."""
+    from freehold.sources import sinks
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    facts = spark.range(0, 300, 1, 2).selectExpr("id", "cast(id % 7 as int) AS area_id", "nullif(id % 11, 0) AS project_id", "date_add(date '2020-01-01', cast(id as int)) AS day").mapInArrow(seen, "id bigint, area_id int, project_id bigint, day date")
+    sinks.write_facts(facts, f"file://{tmp_path}/facts", "day", files=4)
+    assert made.value == 300 == spark.read.parquet(f"file://{tmp_path}/facts").select("id").distinct().count()
+    steps = [-1.5, 0.0, 2.0, 2.5, 9.0]
+    values = [None, float("nan"), float("-inf"), -1.5, -1.4, -0.0, 2.0, 2.1, 9.0, 9.1]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sinks._rank(F.col("v"), steps).alias("r")).collect()
+    assert [r["r"] for r in got] == [0, 5, 0, 0, 1, 1, 2, 3, 4, 5]
