@@ -20,11 +20,22 @@
    a run with a seed that no other document has stands nowhere else and is left
    out. A run within a passage that step 4 found in a lesser document can be the
    first of its kind, but needs no partner itself.
+6. The rest. Crowded places that no passage found so far covers (those of lesser
+   documents count) are matched with all places of all lesser documents, not with
+   heads. A chain has two seeds within reach of each other at least, so documents
+   meet by pairs of seeds; those that share a pair are chained by all their shared
+   seeds and aligned as in steps 3 and 4. Pairs of seeds that many uncovered
+   documents have, as in a line that all of them quote, are compared by the words
+   on both sides first (in blocks, which is quadratic in such documents): pairs
+   that can't agree in enough words go no further. A seed that documents have
+   twice would give as many lines as places, so those documents meet as they are.
 
 Defined results
 - Null or empty text, null ids, texts shorter than a seed: no passages; dedup keeps such rows as they are.
 - Ids are integers. Repeats inside one document are not passages; repeated rows of one id are one document.
 - A passage is reported once for each head it was matched with; an exact run that no lesser document's passage covers, with the first document that has it.
+- Every passage of two shared seeds or more that a lesser document has is covered, whatever the number of documents that have its seeds.
+- A copy of a lesser document's beginning, whole, is matched with others by that document.
 - A long run whose words different first documents have is reported in pieces that overlap.
 - Empty table: no rows. Extra columns pass through drop_repeated_passages(), whatever their names.
 """
@@ -48,6 +59,12 @@ HOT_SEED = 20_000
 #: Words a passage must have, and the least share of its words that stand in both texts.
 MIN_WORDS, MIN_SIMILARITY = 50, 0.8
 GAP_COST, MAX_GAP = 0.1, 60
+#: Uncovered documents of one pair of seeds beyond which its documents are compared in blocks, rows of a block, and words compared on each side.
+MANY, BLOCK, SIDE = 50, 4000, 128
+#: Places of one task's batch of seed pairs, and pairs of documents in a batch that is put out.
+_PLACES, _PAIRS = 1 << 15, 1 << 18
+#: A text's places are told apart from the next text's in one rising column.
+_FAR = 1 << 40
 #: Words around a chain that alignment may extend into, and the step to which slices are rounded.
 _MARGIN, _STEP = 64, 32
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -487,33 +504,8 @@ def exact_passages(runs: DataFrame, found: DataFrame, min_words: int) -> DataFra
     return both.repartition("doc").sortWithinPartitions("doc", "head").mapInArrow(run, found.schema)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(doc, head, doc_from, doc_to, head_from, head_to, similarity): passages of doc, by word places, that stand in head too."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).where("doc is not null and text is not null")
-    found = seeds(docs)
-    several = scratch.save(found.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("seed", F.ceil(F.col("n") / HOT_SEED).cast("int").alias("salts")), "several")
-    hot = several.where("salts > 1")
-    n_hot = hot.count()
-    every = lambda t: t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    if n_hot:
-        found = found.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    else:
-        found = found.withColumn("salt", F.lit(0))
-    places = scratch.save(found.join(every(several), ["seed", "salt"]), "places")
-    lane = F.pmod(F.xxhash64("doc"), F.lit(LANES))
-    heads = places.groupBy("seed", lane.alias("lane")).agg(F.min(F.struct("doc", "pos")).alias("h"), F.max("doc").alias("last"), F.count("*").alias("n"), F.max("salts").alias("salts"))
-    heads = scratch.save(heads.select("seed", F.col("h.doc").alias("head"), F.col("h.pos").alias("y"), "last", "n", "salts"), "heads")
-    pair = (F.count("*") == 1) & (F.max("n") == 2) & F.max(F.col("head") < F.col("last"))
-    crowded = heads.groupBy("seed").agg(((F.sum("n") > F.count("*")) & ~pair).alias("crowded"), F.max("salts").alias("salts")).where("crowded")
-    marked = places.select("seed", "salt", "doc", "pos").join(every(crowded).select("seed", "salt", "crowded"), ["seed", "salt"], "left")
-    marked = marked.groupBy("doc").agg(F.collect_list(F.when(F.col("crowded"), F.col("pos"))).alias("at"), F.collect_list("pos").alias("shared")).where(F.size("at") > 0)
-    marked = scratch.save(marked, "marked")
-    matches = places.select("seed", "salt", "doc", "pos").join(every(heads.select("seed", "head", "y", "salts")), ["seed", "salt"]).where("doc <> head").select("doc", "head", F.col("pos").alias("x"), "y")
-    runs_table = runs = scratch.save(chains(matches), "chains")
-    scratch.drop(several, places, heads)
-
+def aligned(runs: DataFrame, docs: DataFrame, scratch: Scratch, min_words: int, min_similarity: float) -> DataFrame:
+    """The passages of chains, (doc, head, doc_from, doc_to, head_from, head_to, similarity), and whether one is all of doc and word by word the beginning of head."""
     down = lambda c: (F.floor(F.greatest(F.lit(0), F.col(c) - _MARGIN) / _STEP) * _STEP).cast("int")
     up = lambda c: (F.ceil((F.col(c) + _MARGIN) / _STEP) * _STEP).cast("int")
     runs = runs.select("*", down("x0").alias("xlo"), up("x1").alias("xhi"), down("y0").alias("ylo"), up("y1").alias("yhi"))
@@ -524,34 +516,342 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = runs.join(side("doc", "x", "xs"), ["doc", "xlo", "xhi"]).join(side("head", "y", "ys"), ["head", "ylo", "yhi"])
     kind = docs.schema["doc"].dataType
     names = ("doc_from", "doc_to", "head_from", "head_to")
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind), *[T.StructField(n, T.IntegerType()) for n in names], T.StructField("similarity", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind), *[T.StructField(n, T.IntegerType()) for n in names], T.StructField("similarity", T.DoubleType()), T.StructField("whole", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("x1", "y1", "xlo", "ylo")]
+            cols = [batch.column(c).to_numpy() for c in ("x1", "y1", "xlo", "xhi", "ylo")]
             parts = [batch.column(c) for c in ("xs", "ys", "sx", "sy")]
             rows = []
-            for i, (x1, y1, xlo, ylo) in enumerate(zip(*(c.tolist() for c in cols), strict=True)):
+            for i, (x1, y1, xlo, xhi, ylo) in enumerate(zip(*(c.tolist() for c in cols), strict=True)):
                 x, y = (np.frombuffer(v[i].as_buffer(), np.uint32) for v in parts[:2])
                 sx, sy = (np.frombuffer(v[i].as_buffer(), np.int32) for v in parts[2:])
                 if len(x) < x1 - xlo or len(y) < y1 - ylo:
                     continue  # places of another row with the same id
                 for a, b, c, d, similarity in passages(*align(x, y, sx - xlo, sy - ylo), min_words, min_similarity):
-                    rows.append((i, a + xlo, b + xlo, c + ylo, d + ylo, similarity))
+                    whole = similarity == 1.0 and a + xlo == 0 and c + ylo == 0 and b == len(x) < xhi - xlo
+                    rows.append((i, a + xlo, b + xlo, c + ylo, d + ylo, similarity, whole))
             if rows:
                 at = pa.array([r[0] for r in rows])
                 yield pa.record_batch(
-                    [batch.column("doc").take(at), batch.column("head").take(at), *[pa.array([r[k] for r in rows], pa.int32()) for k in range(1, 5)], pa.array([r[5] for r in rows])],
-                    ["doc", "head", *names, "similarity"],
+                    [batch.column("doc").take(at), batch.column("head").take(at), *[pa.array([r[k] for r in rows], pa.int32()) for k in range(1, 5)], pa.array([r[5] for r in rows]), pa.array([r[6] for r in rows])],
+                    ["doc", "head", *names, "similarity", "whole"],
                 )
 
-    found = both.select("doc", "head", "x1", "y1", "xlo", "ylo", "xs", "ys", "sx", "sy").mapInArrow(run, schema)
-    found = scratch.save(found, "found")
-    known = found.where("head < doc").groupBy("doc").agg(F.collect_set(F.struct(F.col("doc_from").alias("lo"), F.col("doc_to").alias("hi"))).alias("spans"))
+    found = scratch.save(both.select("doc", "head", "x1", "y1", "xlo", "xhi", "ylo", "xs", "ys", "sx", "sy").mapInArrow(run, schema), "found")
+    scratch.drop(cut)
+    return found
+
+
+def _reach(at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) with at[i] < at[j] <= at[i] + reach, of rising places."""
+    lo = np.searchsorted(at, at, side="right")
+    n = np.searchsorted(at, at + reach, side="right") - lo
+    i = np.repeat(np.arange(len(at)), n)
+    return i, np.arange(len(i)) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
+def _ends_of_runs(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Rows that stand for stretches in which one seed overlaps itself: ends and every eighth place between; mine is set for those it holds of."""
+    order = np.lexsort((pos, seed, row))
+    r, s, p = row[order], seed[order], pos[order]
+    first = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (p[1:] - p[:-1] >= K)])
+    begin = np.flatnonzero(first)
+    kept = (np.arange(len(p)) - np.repeat(begin, np.diff([*begin, len(p)]))) % 8 == 0
+    at = np.flatnonzero(kept)
+    mine[order[at]] = np.logical_or.reduceat(mine[order], at)
+    kept[np.flatnonzero(np.concatenate([first[1:], [True]]))] = True
+    return np.sort(order[kept])
+
+
+def _uncovered(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of places, which have one of their K words outside all ranges."""
+    if not len(lo):
+        return np.ones(len(at), bool)
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    lo, hi = lo[first], hi[np.concatenate([first[1:] - 1, [len(hi) - 1]])]  # ranges that touch are one
+    within = np.searchsorted(lo, at, side="right") - 1
+    return (within < 0) | (hi[within] < at + K)
+
+
+def _marked_places(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A slice of rows (doc, places, spans, ..), and of its places in rising order: row, seed, place, whether it is crowded and whether it is crowded and uncovered."""
+    sizes = np.cumsum(batch.column("places").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) // _PLACES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = batch.slice(a, b - a)
+        row, place = _lists(part.column("places"))
+        if not len(row):
+            continue
+        seed, pos, crowded = (place.field(c).to_numpy(zero_copy_only=False) for c in ("seed", "pos", "crowded"))
+        order = np.lexsort((seed, pos, row))
+        row, seed, pos, crowded = row[order], seed[order], pos[order].astype(np.int64), crowded[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1]) | (seed[1:] != seed[:-1])])
+        row, seed, pos, crowded = row[new], seed[new], pos[new], crowded[new]
+        of, span = _lists(part.column("spans"))
+        mine = crowded & _uncovered(row * _FAR + pos, of * _FAR + span.field("lo").to_numpy(), of * _FAR + span.field("hi").to_numpy())
+        kept = _ends_of_runs(row, seed, pos, mine)
+        yield part, row[kept], seed[kept], pos[kept], crowded[kept], mine[kept]
+
+
+def _keyed(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, crowded: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places (i, j) within reach of which one is crowded, a hash of their seeds (odd where it is one seed twice), and whether one is mine."""
+    i, j = _reach(row * _FAR + pos, MAX_GAP + K)
+    some = np.flatnonzero(crowded[i] | crowded[j])
+    i, j = i[some], j[some]
+    s = seed.view(np.uint64)
+    key = mix64(s[i] * _ODD[0] + s[j] * _ODD[1]) & ~np.uint64(1) | (s[i] == s[j]).astype(np.uint64)
+    return i, j, key.view(np.int64), mine[i] | mine[j]
+
+
+def seed_pairs(marked: DataFrame) -> DataFrame:
+    """(key, doc, mine) of each pair of seeds that a document of (doc, places, spans, whole) has; whole ones have none."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, *places in _marked_places(batch):
+                i, _, key, mine = _keyed(row, *places)
+                of = row[i]
+                order = np.lexsort((~mine, key, of))
+                of, key, mine = of[order], key[order], mine[order]
+                new = np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])])[: len(of)]
+                yield pa.record_batch([pa.array(key[new]), part.column("doc").take(pa.array(of[new])), pa.array(mine[new])], ["key", "doc", "mine"])
+
+    return marked.where("not whole").select("doc", "places", "spans").mapInArrow(run, schema)
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """(doc, head): each document of (key, doc, mine) that is mine with each lesser one of its key."""
+    kind = keys.schema["doc"].dataType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            last = int(np.searchsorted(held.column("key").to_numpy(), batch.column("key")[-1].as_py())) if batch.num_rows else 0
+            if last:
+                yield from emit(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from emit(held)
+
+    def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, mine = part.column("key").to_numpy(), part.column("mine").to_numpy()
+        doc = part.column("doc").combine_chunks()
+        doc = doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc
+        start = np.searchsorted(key, key)  # the least document of a row's key
+        at = np.flatnonzero(mine & (start < np.arange(len(key))))
+        n = at - start[at]
+        group = np.cumsum(n) // _PAIRS
+        for t in np.split(np.arange(len(at)), np.flatnonzero(np.diff(group)) + 1):
+            if len(t):
+                m = n[t]
+                heads = np.arange(m.sum()) + np.repeat(start[at[t]] - np.cumsum(m) + m, m)
+                yield pa.record_batch([doc.take(pa.array(np.repeat(at[t], m))), doc.take(pa.array(heads))], ["doc", "head"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, schema)
+
+
+def quoted_lines(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, doc, mine, middle, before, after, seeds, offsets) of each place of a pair of seeds that (doc, places, spans, keys) names.
+
+    middle is the words from the first seed's to the second's last; before (from the
+    nearest on) and after are 16-bit hashes of SIDE words on either side, 0 beyond a
+    text's ends; seeds within reach of the pair have offsets from its nearer seed.
+    """
+    binary = ("before", "after", "seeds", "offsets")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType()), T.StructField("middle", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in binary]])
+    reach = MAX_GAP + K
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, seed, pos, crowded, own in _marked_places(batch):
+                data, offsets = flat(part.column("text"))
+                starts, ends, cut = word_spans(data, offsets)
+                words = np.maximum(2, word_hashes(data, starts, ends) >> np.uint64(48)).astype(np.uint16)
+                i, j, key, mine = _keyed(row, seed, pos, crowded, own)
+                of, wanted = _lists(part.column("keys"))
+                named = np.zeros(len(key), bool)
+                wanted = wanted.to_numpy()
+                stop = np.searchsorted(row[i], np.arange(part.num_rows + 1))
+                for r, (a, b) in enumerate(zip(np.searchsorted(of, np.arange(part.num_rows)), np.searchsorted(of, np.arange(part.num_rows), side="right"), strict=True)):
+                    named[stop[r] : stop[r + 1]] = np.isin(key[stop[r] : stop[r + 1]], wanted[a:b])
+                at = row * _FAR + pos
+                rows = []
+                for t in np.flatnonzero(named).tolist():
+                    r, x, z = int(row[i[t]]), int(pos[i[t]]), int(pos[j[t]]) + K
+                    mine_words = words[cut[r] : cut[r + 1]]
+                    if len(mine_words) < z:
+                        continue  # places of another row with the same id
+                    before, after = np.zeros(SIDE, np.uint16), np.zeros(SIDE, np.uint16)
+                    got = mine_words[max(0, x - SIDE) : x][::-1]
+                    before[: len(got)] = got
+                    got = mine_words[z : z + SIDE]
+                    after[: len(got)] = got
+                    a, b = (slice(*np.searchsorted(at, [r * _FAR + lo, r * _FAR + hi])) for lo, hi in ((x - reach, x), (z - K + 1, z - K + reach + 1)))
+                    near = np.concatenate([seed[a], seed[b]])
+                    off = np.concatenate([pos[a] - x, pos[b] - (z - K)]).astype(np.int32)
+                    rows.append((t, r, z - x, before.tobytes(), after.tobytes(), near.tobytes(), off.tobytes()))
+                if rows:
+                    t = np.array([g[0] for g in rows])
+                    out = [pa.array(key[t]), part.column("doc").take(pa.array([g[1] for g in rows])), pa.array(mine[t]), pa.array([g[2] for g in rows], pa.int32())]
+                    yield pa.record_batch([*out, *[pa.array([g[k] for g in rows], pa.binary()) for k in range(3, 7)]], schema.fieldNames())
+
+    return texts.join(marked, "doc").select("doc", "text", "places", "spans", "keys").mapInArrow(run, schema)
+
+
+def _may_agree(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Of words x and each column of ys: those that agree, with all before the last five in a row, beyond which no seed is shared on this diagonal."""
+    same = ys == x[:, None]
+    run = same[: 1 - K].copy()
+    for k in range(1, K):
+        run &= same[k : len(x) - K + 1 + k]
+    nth = np.arange(len(x), dtype=np.uint8)[:, None]
+    end = np.where(run, nth[: len(run)] + np.uint8(K), np.uint8(0)).max(axis=0)
+    return end.astype(np.int64) + (same & (nth >= end)).sum(axis=0, dtype=np.uint8)
+
+
+def _agreeing(a: pa.Table, b: pa.Table, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of a, of b) of quoted lines that may agree in ``need`` words, or share a third seed at another offset."""
+    stack = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, SIDE)
+    before, after = (np.ascontiguousarray(np.where(m == 0, np.uint16(1), m).T) for m in (stack(b, c) for c in ("before", "after")))
+    xs, zs = stack(a, "before"), stack(a, "after")
+    middle, other = a.column("middle").to_numpy(), b.column("middle").to_numpy()
+    may = np.zeros((a.num_rows, b.num_rows), bool)
+    for i in range(a.num_rows):
+        may[i] = _may_agree(xs[i], before) + _may_agree(zs[i], after) + np.minimum(middle[i], other) >= need
+    near = []
+    for t in (a, b):
+        seeds, offs = t.column("seeds").to_pylist(), t.column("offsets").to_pylist()
+        near.append((np.frombuffer(b"".join(seeds), np.int64), np.frombuffer(b"".join(offs), np.int32), np.repeat(np.arange(t.num_rows), [len(s) // 8 for s in seeds])))
+    (s, o, r), (u, p, q) = ([v[np.argsort(n[0], kind="stable")] for v in n] for n in near)
+    for c in np.intersect1d(s, u).tolist():
+        i, j = (slice(np.searchsorted(v, c), np.searchsorted(v, c, side="right")) for v in (s, u))
+        if o[i].min() != o[i].max() or p[j].min() != p[j].max() or o[i][0] != p[j][0]:
+            for d in np.unique(o[i]).tolist():
+                may[np.ix_(r[i][o[i] == d], q[j][p[j] != d])] = True
+    return np.nonzero(may)
+
+
+def _met_in_blocks(lines: DataFrame, need: float) -> DataFrame:
+    """(doc, head): quoted lines that are mine with those of lesser documents and the same pair of seeds that may agree in ``need`` words."""
+    kind = lines.schema["doc"].dataType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind)])
+    blocks = lines.groupBy("key").agg(F.ceil(F.count_if("mine") / BLOCK).cast("int").alias("na"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("na > 0")
+    lines = lines.join(blocks, "key").withColumn("h", F.xxhash64("doc"))
+    each = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    a = lines.where("mine").select("*", F.pmod("h", "na").cast("int").alias("ka"), each("kb", "nb"))
+    b = lines.select(*[F.col(c).alias(c) for c in lines.columns]).select("*", F.pmod("h", "nb").cast("int").alias("kb"), each("ka", "na"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa_schema.empty_table()
+        docs, heads = (t.column("doc").to_numpy() for t in (a, b))
+        i, j = _agreeing(a, b, need)
+        some = heads[j] < docs[i]
+        return pa.table({"doc": docs[i[some]], "head": heads[j[some]]}, pa_schema)
+
+    pa_kind = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+    pa_schema = pa.schema([("doc", pa_kind), ("head", pa_kind)])
+    keys = ("key", "ka", "kb")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def chains_of_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows like those of chains() for pairs (doc, head), by all seeds that both have."""
+    kind = pairs.schema["doc"].dataType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind)] + [T.StructField(c, T.IntegerType()) for c in ("x0", "x1", "y0", "y1")] + [T.StructField(c, T.BinaryType()) for c in ("sx", "sy")])
+    slim = T.StructType([T.StructField("doc", kind), T.StructField("seeds", T.BinaryType()), T.StructField("at", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, seed, pos, *_ in _marked_places(batch):
+                order = np.lexsort((pos, seed, row))
+                seed, pos, cut = seed[order], pos[order].astype(np.int32), np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                cols = [pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (seed, pos)]
+                yield pa.record_batch([part.column("doc"), *cols], ["doc", "seeds", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.column(c) for c in ("xseeds", "xat", "yseeds", "yat")]
+            got = []
+            for i in range(batch.num_rows):
+                s, u = (np.frombuffer(parts[k][i].as_buffer(), np.int64) for k in (0, 2))
+                p, q = (np.frombuffer(parts[k][i].as_buffer(), np.int32) for k in (1, 3))
+                lo = np.searchsorted(u, s)
+                n = np.searchsorted(u, s, side="right") - lo
+                if n.sum() > 1:
+                    y = q[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+                    got += [(i, *c[:4], *(np.array(v, np.int32).tobytes() for v in c[5:])) for c in chain(np.repeat(p, n), y) if len(c[5]) > 1]
+            if got:
+                at = pa.array([g[0] for g in got])
+                ids = [batch.column(c).take(at) for c in ("doc", "head")]
+                yield pa.record_batch([*ids, *[pa.array([g[k] for g in got], pa.int32()) for k in range(1, 5)], *[pa.array([g[k] for g in got], pa.binary()) for k in (5, 6)]], schema.fieldNames())
+
+    packed = marked.select("doc", "places", "spans").mapInArrow(pack, slim)
+    side = lambda d, s: packed.select(F.col("doc").alias(d), F.col("seeds").alias(f"{s}seeds"), F.col("at").alias(f"{s}at"))
+    return pairs.join(side("doc", "x"), "doc").join(side("head", "y"), "head").select("doc", "head", "xseeds", "xat", "yseeds", "yat").mapInArrow(run, schema)
+
+
+def rest_of_passages(marked: DataFrame, docs: DataFrame, scratch: Scratch, min_words: int, min_similarity: float) -> DataFrame:
+    """Passages at the crowded places of (doc, places, spans, whole) that no span covers, with every lesser document that has them."""
+    keys = scratch.save(seed_pairs(marked), "keys")
+    often = scratch.save(keys.where(F.expr("mine and key & 1 = 0")).groupBy("key").count().where(F.col("count") > MANY).select("key"), "often")
+    pairs = scratch.save(_met(pick_ids(keys, often, "key", "left_anti")).distinct(), "pairs")
+    if not often.isEmpty():
+        named = pick_ids(keys, often, "key").groupBy("doc").agg(F.collect_list("key").alias("keys"))
+        named = scratch.save(marked.select("doc", "places", "spans").join(named, "doc"), "named")
+        texts = pick_ids(docs, named.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
+        lines = scratch.save(quoted_lines(named, texts), "lines")
+        pairs = scratch.save(pairs.unionByName(_met_in_blocks(lines, min_words * min_similarity)).distinct(), "pairs")
+    runs = scratch.save(chains_of_pairs(pairs, marked), "chains")
+    return aligned(runs, docs, scratch, min_words, min_similarity).drop("whole")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(doc, head, doc_from, doc_to, head_from, head_to, similarity): passages of doc, by word places, that stand in head too."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).where("doc is not null and text is not null")
+    found = seeds(docs)
+    several = scratch.save(found.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("seed", F.ceil(F.col("n") / HOT_SEED).cast("int").alias("salts")), "several")
+    hot = several.where("salts > 1")
+    n_hot = hot.count()
+    every = lambda t: t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    if n_hot:
+        found = found.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    else:
+        found = found.withColumn("salt", F.lit(0))
+    places = scratch.save(found.join(every(several), ["seed", "salt"]), "places")
+    lane = F.pmod(F.xxhash64("doc"), F.lit(LANES))
+    heads = places.groupBy("seed", lane.alias("lane")).agg(F.min(F.struct("doc", "pos")).alias("h"), F.max("doc").alias("last"), F.count("*").alias("n"), F.max("salts").alias("salts"))
+    heads = scratch.save(heads.select("seed", F.col("h.doc").alias("head"), F.col("h.pos").alias("y"), "last", "n", "salts"), "heads")
+    pair = (F.count("*") == 1) & (F.max("n") == 2) & F.max(F.col("head") < F.col("last"))
+    crowded = heads.groupBy("seed").agg(((F.sum("n") > F.count("*")) & ~pair).alias("crowded"), F.max("salts").alias("salts")).where("crowded")
+    marked = places.select("seed", "salt", "doc", "pos").join(every(crowded).select("seed", "salt", "crowded"), ["seed", "salt"], "left")
+    marked = marked.groupBy("doc").agg(F.collect_list(F.struct("seed", "pos", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("places"), F.max("crowded").alias("some")).where("some").drop("some")
+    marked = scratch.save(marked, "marked")
+    matches = places.select("seed", "salt", "doc", "pos").join(every(heads.select("seed", "head", "y", "salts")), ["seed", "salt"]).where("doc <> head").select("doc", "head", F.col("pos").alias("x"), "y")
+    runs_table = scratch.save(chains(matches), "chains")
+    scratch.drop(several, places, heads)
+    found = aligned(runs_table, docs, scratch, min_words, min_similarity)
+    spans_of = lambda t: t.where("head < doc").groupBy("doc").agg(F.collect_set(F.struct(F.col("doc_from").alias("lo"), F.col("doc_to").alias("hi"))).alias("spans"), F.max("whole").alias("whole"))
+    known = spans_of(found)
     again = pick_ids(docs, marked.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
-    exact = exact_passages(scratch.save(crowded_runs(marked.join(known, "doc", "left"), again, min_words), "runs"), found, min_words)
-    scratch.drop(runs_table, cut, marked)
-    return found.unionByName(exact)
+    split = marked.select("doc", F.expr("transform(filter(places, p -> p.crowded), p -> p.pos)").alias("at"), F.col("places.pos").alias("shared"))
+    runs = scratch.save(crowded_runs(split.join(known.drop("whole"), "doc", "left"), again, min_words), "runs")
+    plain = found.drop("whole")
+    exact = scratch.save(exact_passages(runs, plain, min_words), "exact")
+    scratch.drop(runs_table, runs)
+    known = spans_of(found.unionByName(exact.withColumn("whole", F.lit(False))))
+    marked = scratch.save(marked.join(known, "doc", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "covered")
+    rest = rest_of_passages(marked, docs, scratch, min_words, min_similarity)
+    return plain.unionByName(exact).unionByName(rest.join(plain, ["doc", "head", *plain.columns[2:6]], "left_anti"))
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

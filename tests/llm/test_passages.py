@@ -148,3 +148,49 @@ def test_a_word_said_over_and_over_is_one_run_a_document(spark):
     marked = spark.createDataFrame([(i, [30, 31], list(range(30, 86 + 10 * i)), []) for i in range(12)], "doc bigint, at array<int>, shared array<int>, spans array<struct<lo:int,hi:int>>")
     runs = chaining.crowded_runs(marked, docs.withColumnRenamed("doc_id", "doc"), 50)
     assert runs.count() == runs.select("run", "doc").distinct().count()
+
+
+def changed(text, every, tag):
+    return " ".join(f"{tag}{k}" if k % every == every // 2 else w for k, w in enumerate(text.split()))
+
+
+@pytest.mark.parametrize("every", [20, 30])
+@pytest.mark.parametrize("many", [1, 50])
+def test_fuzzy_passage_of_which_lesser_documents_have_pieces(spark, monkeypatch, every, many):
+    monkeypatch.setattr(chaining, "MANY", many)
+    monkeypatch.setattr(chaining, "BLOCK", 7)
+    passage = prose(900, 120)
+    words = passage.split()
+    texts = {i: f"{prose(1000 + i, 40)} {' '.join(words[5 * i % 109 : 5 * i % 109 + 12])} {prose(2000 + i, 40)}" for i in range(1, 191)}
+    texts |= {500: f"{prose(901, 40)} {passage}", 600: f"{prose(902, 40)} {changed(passage, every, 'other')} {prose(903, 40)}"}
+    got = found(spark, {k: v for k, v in texts.items() if k <= 600})
+    assert any(lo <= 42 and hi >= 158 for lo, hi in got)
+
+
+@pytest.mark.parametrize(("seed", "many"), [(1, 50), (2, 50), (3, 1)])
+def test_passages_are_those_of_heads_without_number(spark, monkeypatch, seed, many):
+    """What lesser documents cover where every document is a head of its seeds is covered with four heads too, but for ends of passages."""
+    r = np.random.default_rng(seed)
+    lines = [prose(f"quoted{seed}-{k}", 14) for k in range(8)]
+    passages = [" ".join([prose(f"mine{seed}-{k}", 15), lines[k], prose(f"and{seed}-{k}", 10), lines[k + 1], prose(f"last{seed}-{k}", 15)]) for k in range(6)]
+    rows = []
+    for i in range(150):
+        parts = [prose(f"{seed}-{i}-{j}", int(r.integers(5, 40))) for j in range(4)] + [lines[k] for k in r.integers(0, 8, 3)]
+        if r.random() < 0.4:
+            parts.append(changed(passages[r.integers(0, 6)], int(r.choice([8, 12, 20])), f"c{i}x"))
+        rows.append((i, " ".join(parts[k] for k in r.permutation(len(parts)))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def covered():
+        out = set()
+        for x in chaining.repeated_passages(docs).where("head < doc").collect():
+            out |= {(x["doc"], k) for k in range(x["doc_from"], x["doc_to"])}
+        return out
+
+    monkeypatch.setattr(chaining, "MANY", many)
+    monkeypatch.setattr(chaining, "BLOCK", 20)
+    got = covered()
+    monkeypatch.setattr(chaining, "LANES", 1 << 20)
+    want = covered()
+    beyond = [w for w in want - got if not any((w[0], w[1] + k) in got for k in range(-chaining.WINDOW - chaining.K + 1, chaining.WINDOW + chaining.K))]
+    assert len(want) > 1000 and not beyond and len(want - got) < 0.01 * len(want)  # another document may agree in a few words more at an end
