@@ -763,18 +763,18 @@ def _met_in_blocks(lines: DataFrame, need: float) -> DataFrame:
 
 
 def chains_of_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows like those of chains() for pairs (doc, head), by all seeds that both have."""
+    """Rows like those of chains() for pairs (doc, head), by all seeds that both have; chains that hold no uncovered crowded place are left out."""
     kind = pairs.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind)] + [T.StructField(c, T.IntegerType()) for c in ("x0", "x1", "y0", "y1")] + [T.StructField(c, T.BinaryType()) for c in ("sx", "sy")])
-    slim = T.StructType([T.StructField("doc", kind), T.StructField("seeds", T.BinaryType()), T.StructField("at", T.BinaryType())])
+    slim = T.StructType([T.StructField("doc", kind), *[T.StructField(c, T.BinaryType()) for c in ("seeds", "at", "mine")]])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, row, seed, pos, *_ in _marked_places(batch):
+            for part, row, seed, pos, _, mine in _marked_places(batch):
                 order = np.lexsort((pos, seed, row))
                 seed, pos, cut = seed[order], pos[order].astype(np.int32), np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                cols = [pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (seed, pos)]
-                yield pa.record_batch([part.column("doc"), *cols], ["doc", "seeds", "at"])
+                cols = [pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (seed, pos, mine[order])]
+                yield pa.record_batch([part.column("doc"), *cols], ["doc", "seeds", "at", "mine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -787,15 +787,16 @@ def chains_of_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
                 n = np.searchsorted(u, s, side="right") - lo
                 if n.sum() > 1:
                     y = q[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
-                    got += [(i, *c[:4], *(np.array(v, np.int32).tobytes() for v in c[5:])) for c in chain(np.repeat(p, n), y) if len(c[5]) > 1]
+                    mine = set(p[np.frombuffer(batch.column("mine")[i].as_buffer(), bool)].tolist())
+                    got += [(i, *c[:4], *(np.array(v, np.int32).tobytes() for v in c[5:])) for c in chain(np.repeat(p, n), y) if len(c[5]) > 1 and not mine.isdisjoint(c[5])]
             if got:
                 at = pa.array([g[0] for g in got])
                 ids = [batch.column(c).take(at) for c in ("doc", "head")]
                 yield pa.record_batch([*ids, *[pa.array([g[k] for g in got], pa.int32()) for k in range(1, 5)], *[pa.array([g[k] for g in got], pa.binary()) for k in (5, 6)]], schema.fieldNames())
 
     packed = marked.select("doc", "places", "spans").mapInArrow(pack, slim)
-    side = lambda d, s: packed.select(F.col("doc").alias(d), F.col("seeds").alias(f"{s}seeds"), F.col("at").alias(f"{s}at"))
-    return pairs.join(side("doc", "x"), "doc").join(side("head", "y"), "head").select("doc", "head", "xseeds", "xat", "yseeds", "yat").mapInArrow(run, schema)
+    side = lambda d, s, *more: packed.select(F.col("doc").alias(d), F.col("seeds").alias(f"{s}seeds"), F.col("at").alias(f"{s}at"), *more)
+    return pairs.join(side("doc", "x", F.col("mine")), "doc").join(side("head", "y"), "head").select("doc", "head", "xseeds", "xat", "mine", "yseeds", "yat").mapInArrow(run, schema)
 
 
 def rest_of_passages(marked: DataFrame, docs: DataFrame, scratch: Scratch, min_words: int, min_similarity: float) -> DataFrame:
