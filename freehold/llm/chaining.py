@@ -21,14 +21,17 @@
    out. A run within a passage that step 4 found in a lesser document can be the
    first of its kind, but needs no partner itself.
 6. The rest. Crowded places that no passage found so far covers (those of lesser
-   documents count) are matched with all places of all lesser documents, not with
-   heads. A chain has two seeds within reach of each other at least, so documents
-   meet by pairs of seeds; those that share a pair are chained by all their shared
-   seeds and aligned as in steps 3 and 4. Pairs of seeds that many uncovered
-   documents have, as in a line that all of them quote, are compared by the words
-   on both sides first (in blocks, which is quadratic in such documents): pairs
-   that can't agree in enough words go no further. A seed that documents have
-   twice would give as many lines as places, so those documents meet as they are.
+   documents count) are matched with lesser documents by pairs of seeds, as a
+   chain has two seeds within reach of each other at least. Seeds of which no
+   document that is uncovered there has a lesser one have no pairs. Documents of
+   a pair of seeds that few have meet each other; of one that many have, such as a
+   quoted line's, each meets the least document, and where it is uncovered still,
+   those that agree with it in three words at one distance from the seeds: an
+   alignment that goes on beyond a line has more words that agree than twice those
+   that don't, so it has such a run. Runs that many have are the line itself if all
+   runs nearer to the seeds are such too, and give the least document only; others
+   give all. Those that meet are chained by all their shared seeds and aligned as in
+   steps 3 and 4.
 
 Defined results
 - Null or empty text, null ids, texts shorter than a seed: no passages; dedup keeps such rows as they are.
@@ -46,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +62,8 @@ HOT_SEED = 20_000
 #: Words a passage must have, and the least share of its words that stand in both texts.
 MIN_WORDS, MIN_SIMILARITY = 50, 0.8
 GAP_COST, MAX_GAP = 0.1, 60
-#: Uncovered documents of one pair of seeds beyond which its documents are compared in blocks, rows of a block, and words compared on each side.
-MANY, BLOCK, SIDE = 50, 4000, 128
+#: Documents of one pair of seeds that meet each other, of more only those that agree in words around it; words on each side that alignment may extend into, and lines whose words are put out at once.
+MANY, SIDE, BLOCK = 16, 96, 4000
 #: Places of one task's batch of seed pairs, and pairs of documents in a batch that is put out.
 _PLACES, _PAIRS = 1 << 15, 1 << 18
 #: A text's places are told apart from the next text's in one rising column.
@@ -606,27 +609,65 @@ def _keyed(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, crowded: np.ndarr
     return i, j, key.view(np.int64), mine[i] | mine[j]
 
 
+def open_seeds(marked: DataFrame) -> DataFrame:
+    """(doc, up, down): seeds at which a document of (doc, places, spans, whole) is mine and has a lesser one, and at which a greater one is mine; documents without either are left out."""
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, seed, _, _, mine in _marked_places(batch):
+                order = np.lexsort((~mine, seed, row))
+                row, seed, mine = row[order], seed[order], mine[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (seed[1:] != seed[:-1])])
+                yield pa.record_batch([pa.array(seed[new]), part.column("doc").take(pa.array(row[new])), pa.array(mine[new])], ["seed", "doc", "mine"])
+
+    places = marked.where("not whole").select("doc", "places", "spans").mapInArrow(run, schema)
+    ends = places.groupBy("seed").agg(F.min("doc").alias("lo"), F.max(F.when(F.col("mine"), F.col("doc"))).alias("hi")).where("lo < hi")
+    flags = places.join(ends, "seed").select("doc", F.expr("if(mine and doc > lo, seed, null)").alias("up"), F.expr("if(doc < hi, seed, null)").alias("down")).where("up is not null or down is not null")
+    return flags.groupBy("doc").agg(F.collect_list("up").alias("up"), F.collect_list("down").alias("down"))
+
+
+def _held(row: np.ndarray, seed: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which of the seeds are in the list of their row."""
+    of, held = _lists(lists)
+    return np.isin(seed ^ mix64(row.astype(np.uint64)).view(np.int64), held.to_numpy() ^ mix64(of.astype(np.uint64)).view(np.int64))
+
+
 def seed_pairs(marked: DataFrame) -> DataFrame:
-    """(key, doc, mine) of each pair of seeds that a document of (doc, places, spans, whole) has; whole ones have none."""
+    """(key, doc, mine) of each pair of seeds that a document of (doc, places, spans, up, down) has, if it can meet another by it."""
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, row, *places in _marked_places(batch):
-                i, _, key, mine = _keyed(row, *places)
-                of = row[i]
+            for part, row, seed, pos, crowded, mine in _marked_places(batch):
+                up, down = (_held(row, seed, part.column(c)) for c in ("up", "down"))
+                i, j, key, mine = _keyed(row, seed, pos, crowded, mine & up)
+                some = mine | down[i] | down[j]
+                of, key, mine = row[i][some], key[some], mine[some]
                 order = np.lexsort((~mine, key, of))
                 of, key, mine = of[order], key[order], mine[order]
                 new = np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])])[: len(of)]
                 yield pa.record_batch([pa.array(key[new]), part.column("doc").take(pa.array(of[new])), pa.array(mine[new])], ["key", "doc", "mine"])
 
-    return marked.where("not whole").select("doc", "places", "spans").mapInArrow(run, schema)
+    return marked.select("doc", "places", "spans", "up", "down").mapInArrow(run, schema)
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """(doc, head): each document of (key, doc, mine) that is mine with each lesser one of its key."""
+def meeting(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, doc, mine, n): rows of the keys by which a document that is mine meets a lesser one, and how many documents have the key."""
+    ends = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max(F.when(F.col("mine"), F.col("doc"))).alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    ends = scratch.save(ends.select("key", "hi", "n"), "groups")
+    few = ends.count() <= BROADCAST_IDS
+    return keys.join(F.broadcast(ends) if few else ends, "key").where("mine or doc < hi").select("key", "doc", "mine", "n")
+
+
+def _met(keys: DataFrame, many: int | None, marks: bool = False) -> DataFrame:
+    """(doc, head): each document of (key, doc, mine, ..) that is mine with each lesser one of its key; of keys of over ``many`` documents, with the least.
+
+    With marks, (doc, head, mine, key, line, k), and also the rows of such keys as they are, without head.
+    """
     kind = keys.schema["doc"].dataType
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind)])
+    more = ["mine", "key", "line", "k"] if marks else []
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind), *[keys.schema[c] for c in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -641,125 +682,89 @@ def _met(keys: DataFrame) -> DataFrame:
             yield from emit(held)
 
     def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, mine = part.column("key").to_numpy(), part.column("mine").to_numpy()
-        doc = part.column("doc").combine_chunks()
-        doc = doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc
+        key, doc, mine = (part.column(c).to_numpy() for c in ("key", "doc", "mine"))
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))  # a document of a key once
+        row_of = np.repeat(np.arange(len(new)), np.diff([*new, len(key)]))
+        mine = np.logical_or.reduceat(mine, new)
+        key, doc = key[new], doc[new]
         start = np.searchsorted(key, key)  # the least document of a row's key
-        at = np.flatnonzero(mine & (start < np.arange(len(key))))
+        stop = np.searchsorted(key, key, side="right")
+        open_ = np.concatenate([[0], np.cumsum(mine & (start < np.arange(len(key))))])
+        crowd = np.zeros(len(key), bool) if many is None else (stop - start > many) & (open_[stop] > open_[start])
+        at = np.flatnonzero(mine & ~crowd & (start < np.arange(len(key))))
         n = at - start[at]
         group = np.cumsum(n) // _PAIRS
         for t in np.split(np.arange(len(at)), np.flatnonzero(np.diff(group)) + 1):
             if len(t):
                 m = n[t]
-                heads = np.arange(m.sum()) + np.repeat(start[at[t]] - np.cumsum(m) + m, m)
-                yield pa.record_batch([doc.take(pa.array(np.repeat(at[t], m))), doc.take(pa.array(heads))], ["doc", "head"])
+                yield out(np.repeat(doc[at[t]], m), doc[np.arange(m.sum()) + np.repeat(start[at[t]] - np.cumsum(m) + m, m)])
+        at = np.flatnonzero(mine & crowd & (start < np.arange(len(key))))
+        yield out(doc[at], doc[start[at]])
+        if marks and (rows := np.flatnonzero(crowd[row_of])).size:
+            got = part.take(pa.array(rows)).combine_chunks()
+            cols = [got.column(c).combine_chunks() for c in ("doc", *more)]
+            yield pa.record_batch([cols[0], pa.nulls(len(rows), cols[0].type), *cols[1:]], ["doc", "head", *more])
+
+    def out(doc: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int32())[: len(more)]
+        return pa.record_batch([pa.array(doc), pa.array(head), *[pa.nulls(len(doc), t) for t in types]], ["doc", "head", *more])
 
     return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, schema)
 
 
-def quoted_lines(marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, doc, mine, middle, before, after, seeds, offsets) of each place of a pair of seeds that (doc, places, spans, keys) names.
+def words_around(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, doc, mine, line, k): the runs of three words around each pair of seeds that (doc, places, spans, keys) names, as keys of their own.
 
-    middle is the words from the first seed's to the second's last; before (from the
-    nearest on) and after are 16-bit hashes of SIDE words on either side, 0 beyond a
-    text's ends; seeds within reach of the pair have offsets from its nearer seed.
+    There is a key for each pair of seeds, side (before the first, after the last,
+    after the first up to the last), distance k in words and run of words, and one
+    for the pair and its length. A line is one side of one place of a pair.
     """
-    binary = ("before", "after", "seeds", "offsets")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType()), T.StructField("middle", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in binary]])
-    reach = MAX_GAP + K
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType()), T.StructField("line", T.LongType()), T.StructField("k", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, row, seed, pos, crowded, own in _marked_places(batch):
+            for part, row, *places in _marked_places(batch):
                 data, offsets = flat(part.column("text"))
                 starts, ends, cut = word_spans(data, offsets)
-                words = np.maximum(2, word_hashes(data, starts, ends) >> np.uint64(48)).astype(np.uint16)
-                i, j, key, mine = _keyed(row, seed, pos, crowded, own)
-                of, wanted = _lists(part.column("keys"))
-                named = np.zeros(len(key), bool)
-                wanted = wanted.to_numpy()
-                stop = np.searchsorted(row[i], np.arange(part.num_rows + 1))
-                for r, (a, b) in enumerate(zip(np.searchsorted(of, np.arange(part.num_rows)), np.searchsorted(of, np.arange(part.num_rows), side="right"), strict=True)):
-                    named[stop[r] : stop[r + 1]] = np.isin(key[stop[r] : stop[r + 1]], wanted[a:b])
-                at = row * _FAR + pos
-                rows = []
-                for t in np.flatnonzero(named).tolist():
-                    r, x, z = int(row[i[t]]), int(pos[i[t]]), int(pos[j[t]]) + K
-                    mine_words = words[cut[r] : cut[r + 1]]
-                    if len(mine_words) < z:
-                        continue  # places of another row with the same id
-                    before, after = np.zeros(SIDE, np.uint16), np.zeros(SIDE, np.uint16)
-                    got = mine_words[max(0, x - SIDE) : x][::-1]
-                    before[: len(got)] = got
-                    got = mine_words[z : z + SIDE]
-                    after[: len(got)] = got
-                    a, b = (slice(*np.searchsorted(at, [r * _FAR + lo, r * _FAR + hi])) for lo, hi in ((x - reach, x), (z - K + 1, z - K + reach + 1)))
-                    near = np.concatenate([seed[a], seed[b]])
-                    off = np.concatenate([pos[a] - x, pos[b] - (z - K)]).astype(np.int32)
-                    rows.append((t, r, z - x, before.tobytes(), after.tobytes(), near.tobytes(), off.tobytes()))
-                if rows:
-                    t = np.array([g[0] for g in rows])
-                    out = [pa.array(key[t]), part.column("doc").take(pa.array([g[1] for g in rows])), pa.array(mine[t]), pa.array([g[2] for g in rows], pa.int32())]
-                    yield pa.record_batch([*out, *[pa.array([g[k] for g in rows], pa.binary()) for k in range(3, 7)]], schema.fieldNames())
+                grams, sizes = _run_hashes(word_hashes(data, starts, ends), 3), np.diff(cut)
+                doc, pos = part.column("doc").to_numpy(), places[1]
+                i, j, key, mine = _keyed(row, *places)
+                named = _held(row[i], key, part.column("keys")) & (pos[j] + K <= sizes[row[i]])  # not the places of another row with the same id
+                i, j, key, mine = i[named], j[named], key[named], mine[named]
+                inner = np.maximum(0, pos[j] - pos[i] - K)
+                far = np.stack([np.minimum(pos[i], SIDE), np.minimum(sizes[row[i]] - K - pos[j], SIDE), inner, np.ones_like(inner)])
+                at = np.stack([pos[i] - 1, pos[j] + K - 2, pos[i] + K - 2, pos[j] - pos[i]])  # of the nearest run, but the length in the last
+                for side in range(4):
+                    lines = np.stack([row[i], key, at[side], far[side], mine])
+                    order = np.lexsort(lines)
+                    lines = lines[:, order]
+                    new = np.flatnonzero(np.concatenate([[True], (lines[:4, 1:] != lines[:4, :-1]).any(axis=0)]) if lines.shape[1] else np.zeros(0, bool))
+                    if not len(new):
+                        continue
+                    own = np.logical_or.reduceat(lines[4].astype(bool), new)
+                    lines = lines[:4, new]
+                    for a in range(0, len(new), BLOCK):
+                        r, of, near, n = lines[:, a : a + BLOCK]
+                        which = np.repeat(np.arange(len(r)), n)
+                        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + 1
+                        line = mix64(mix64(of.view(np.uint64) + np.uint64(side)) * _ODD[0] + doc[r].astype(np.uint64) * _ODD[1] + near.astype(np.uint64))
+                        said = near[which].astype(np.uint64) if side == 3 else grams[cut[r[which]] + near[which] + (1 - k if side == 0 else k - 1)]
+                        got = mix64(mix64(said) * _ODD[0] + mix64(of[which].view(np.uint64) + np.uint64(side)) * _ODD[1] + k.astype(np.uint64))
+                        yield pa.record_batch([pa.array(got.view(np.int64)), pa.array(doc[r[which]]), pa.array(own[a : a + BLOCK][which]), pa.array(line.view(np.int64)[which]), pa.array(k.astype(np.int32))], schema.fieldNames())
 
     return texts.join(marked, "doc").select("doc", "text", "places", "spans", "keys").mapInArrow(run, schema)
 
 
-def _may_agree(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Of words x and each column of ys: those that agree, with all before the last five in a row, beyond which no seed is shared on this diagonal."""
-    same = ys == x[:, None]
-    run = same[: 1 - K].copy()
-    for k in range(1, K):
-        run &= same[k : len(x) - K + 1 + k]
-    nth = np.arange(len(x), dtype=np.uint8)[:, None]
-    end = np.where(run, nth[: len(run)] + np.uint8(K), np.uint8(0)).max(axis=0)
-    return end.astype(np.int64) + (same & (nth >= end)).sum(axis=0, dtype=np.uint8)
-
-
-def _agreeing(a: pa.Table, b: pa.Table, need: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (of a, of b) of quoted lines that may agree in ``need`` words, or share a third seed at another offset."""
-    stack = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, SIDE)
-    before, after = (np.ascontiguousarray(np.where(m == 0, np.uint16(1), m).T) for m in (stack(b, c) for c in ("before", "after")))
-    xs, zs = stack(a, "before"), stack(a, "after")
-    middle, other = a.column("middle").to_numpy(), b.column("middle").to_numpy()
-    may = np.zeros((a.num_rows, b.num_rows), bool)
-    for i in range(a.num_rows):
-        may[i] = _may_agree(xs[i], before) + _may_agree(zs[i], after) + np.minimum(middle[i], other) >= need
-    near = []
-    for t in (a, b):
-        seeds, offs = t.column("seeds").to_pylist(), t.column("offsets").to_pylist()
-        near.append((np.frombuffer(b"".join(seeds), np.int64), np.frombuffer(b"".join(offs), np.int32), np.repeat(np.arange(t.num_rows), [len(s) // 8 for s in seeds])))
-    (s, o, r), (u, p, q) = ([v[np.argsort(n[0], kind="stable")] for v in n] for n in near)
-    for c in np.intersect1d(s, u).tolist():
-        i, j = (slice(np.searchsorted(v, c), np.searchsorted(v, c, side="right")) for v in (s, u))
-        if o[i].min() != o[i].max() or p[j].min() != p[j].max() or o[i][0] != p[j][0]:
-            for d in np.unique(o[i]).tolist():
-                may[np.ix_(r[i][o[i] == d], q[j][p[j] != d])] = True
-    return np.nonzero(may)
-
-
-def _met_in_blocks(lines: DataFrame, need: float) -> DataFrame:
-    """(doc, head): quoted lines that are mine with those of lesser documents and the same pair of seeds that may agree in ``need`` words."""
-    kind = lines.schema["doc"].dataType
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind)])
-    blocks = lines.groupBy("key").agg(F.ceil(F.count_if("mine") / BLOCK).cast("int").alias("na"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("na > 0")
-    lines = lines.join(blocks, "key").withColumn("h", F.xxhash64("doc"))
-    each = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
-    a = lines.where("mine").select("*", F.pmod("h", "na").cast("int").alias("ka"), each("kb", "nb"))
-    b = lines.select(*[F.col(c).alias(c) for c in lines.columns]).select("*", F.pmod("h", "nb").cast("int").alias("kb"), each("ka", "na"))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa_schema.empty_table()
-        docs, heads = (t.column("doc").to_numpy() for t in (a, b))
-        i, j = _agreeing(a, b, need)
-        some = heads[j] < docs[i]
-        return pa.table({"doc": docs[i[some]], "head": heads[j[some]]}, pa_schema)
-
-    pa_kind = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
-    pa_schema = pa.schema([("doc", pa_kind), ("head", pa_kind)])
-    keys = ("key", "ka", "kb")
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+def _met_by_words(around: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, head) of (key, doc, mine, line, k): documents that agree in a run of words around a pair of seeds.
+
+    Runs of words of many documents next to a line's seeds, with nothing between
+    that fewer have, are the quoted line itself: there the least document is
+    met. Other runs of many are met by all that have them.
+    """
+    met = scratch.save(_met(around, MANY, marks=True), "met")
+    beyond = met.where("head is null").withColumn("nth", F.row_number().over(Window.partitionBy("line").orderBy("k"))).where("nth < k")
+    return met.where("head is not null").select("doc", "head").unionByName(_met(beyond.select("key", "doc", "mine"), None)).distinct()
 
 
 def chains_of_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -799,19 +804,35 @@ def chains_of_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     return pairs.join(side("doc", "x", F.col("mine")), "doc").join(side("head", "y"), "head").select("doc", "head", "xseeds", "xat", "mine", "yseeds", "yat").mapInArrow(run, schema)
 
 
+def spans_of(found: DataFrame) -> DataFrame:
+    """(doc, spans) of the passages that lesser documents have."""
+    return found.where("head < doc").groupBy("doc").agg(F.collect_set(F.struct(F.col("doc_from").alias("lo"), F.col("doc_to").alias("hi"))).alias("spans"))
+
+
 def rest_of_passages(marked: DataFrame, docs: DataFrame, scratch: Scratch, min_words: int, min_similarity: float) -> DataFrame:
-    """Passages at the crowded places of (doc, places, spans, whole) that no span covers, with every lesser document that has them."""
+    """Passages at the crowded places of (doc, places, spans, whole) that no span covers, with lesser documents that have them."""
+    marked = scratch.save(marked.where("not whole").select("doc", "places", "spans").join(open_seeds(marked), "doc"), "open")
     keys = scratch.save(seed_pairs(marked), "keys")
-    often = scratch.save(keys.where(F.expr("mine and key & 1 = 0")).groupBy("key").count().where(F.col("count") > MANY).select("key"), "often")
-    pairs = scratch.save(_met(pick_ids(keys, often, "key", "left_anti")).distinct(), "pairs")
-    if not often.isEmpty():
-        named = pick_ids(keys, often, "key").groupBy("doc").agg(F.collect_list("key").alias("keys"))
-        named = scratch.save(marked.select("doc", "places", "spans").join(named, "doc"), "named")
-        texts = pick_ids(docs, named.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
-        lines = scratch.save(quoted_lines(named, texts), "lines")
-        pairs = scratch.save(pairs.unionByName(_met_in_blocks(lines, min_words * min_similarity)).distinct(), "pairs")
-    runs = scratch.save(chains_of_pairs(pairs, marked), "chains")
-    return aligned(runs, docs, scratch, min_words, min_similarity).drop("whole")
+    meet = scratch.save(meeting(keys, scratch), "meeting")
+    scratch.drop(keys)
+
+    def aligned_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+        ids = pairs.select("doc").unionByName(pairs.select(F.col("head").alias("doc"))).distinct()
+        runs = scratch.save(chains_of_pairs(pairs, pick_ids(marked, ids, "doc")), "chains")
+        found = aligned(runs, docs, scratch, min_words, min_similarity).drop("whole")
+        scratch.drop(runs)
+        return found
+
+    pairs = scratch.save(_met(meet.select("key", "doc", "mine"), MANY).distinct(), "pairs")
+    found = aligned_pairs(pairs, marked)
+    often = meet.where(F.col("n") > MANY).groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    more = spans_of(found).withColumnRenamed("spans", "more")
+    named = marked.join(often, "doc").join(more, "doc", "left").select("doc", "places", F.when(F.col("more").isNull(), F.col("spans")).when(F.col("spans").isNull(), F.col("more")).otherwise(F.concat("spans", "more")).alias("spans"), "keys")
+    named = scratch.save(named, "named")
+    texts = pick_ids(docs, named.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    again = _met_by_words(words_around(named, texts), scratch)
+    again = scratch.save(again.join(pairs, ["doc", "head"], "left_anti"), "again")
+    return found.unionByName(aligned_pairs(again, named))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -841,17 +862,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs_table = scratch.save(chains(matches), "chains")
     scratch.drop(several, places, heads)
     found = aligned(runs_table, docs, scratch, min_words, min_similarity)
-    spans_of = lambda t: t.where("head < doc").groupBy("doc").agg(F.collect_set(F.struct(F.col("doc_from").alias("lo"), F.col("doc_to").alias("hi"))).alias("spans"), F.max("whole").alias("whole"))
-    known = spans_of(found)
     again = pick_ids(docs, marked.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
     split = marked.select("doc", F.expr("transform(filter(places, p -> p.crowded), p -> p.pos)").alias("at"), F.col("places.pos").alias("shared"))
-    runs = scratch.save(crowded_runs(split.join(known.drop("whole"), "doc", "left"), again, min_words), "runs")
+    runs = scratch.save(crowded_runs(split.join(spans_of(found), "doc", "left"), again, min_words), "runs")
     plain = found.drop("whole")
     exact = scratch.save(exact_passages(runs, plain, min_words), "exact")
     scratch.drop(runs_table, runs)
-    known = spans_of(found.unionByName(exact.withColumn("whole", F.lit(False))))
-    marked = scratch.save(marked.join(known, "doc", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "covered")
-    rest = rest_of_passages(marked, docs, scratch, min_words, min_similarity)
+    whole = found.where("head < doc and whole").select("doc", "whole").distinct()
+    covered = scratch.save(marked.join(spans_of(plain.unionByName(exact)), "doc", "left").join(whole, "doc", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "covered")
+    scratch.drop(marked)
+    rest = rest_of_passages(covered, docs, scratch, min_words, min_similarity)
     return plain.unionByName(exact).unionByName(rest.join(plain, ["doc", "head", *plain.columns[2:6]], "left_anti"))
 
 
