@@ -49,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,12 +57,12 @@ from .shared import BROADCAST_IDS, Scratch, pick_ids
 from .wordnum import flat, mix64, slices, windows, word_hashes, word_spans
 
 K, WINDOW, LANES = 5, 8, 4
-#: Places of one seed that one task joins; seeds of more are dealt over several (at most places / HOT_SEED seeds are).
-HOT_SEED = 20_000
+#: Places of one seed that one task groups, and the share of documents (one in so many) that seeds of more are told by.
+HOT_SEED, SHARE = 20_000, 16
 #: Words a passage must have, and the least share of its words that stand in both texts.
 MIN_WORDS, MIN_SIMILARITY = 50, 0.8
 GAP_COST, MAX_GAP = 0.1, 60
-#: Documents of one pair of seeds that meet each other, of more only those that agree in words around it; words on each side that alignment may extend into, and lines whose words are put out at once.
+#: Documents of one pair of seeds that meet each other, of more only those that agree in words around it; words on each side that alignment may extend into, and lines whose words are compared at once.
 MANY, SIDE, BLOCK = 16, 96, 4000
 #: Places of one task's batch of seed pairs, and pairs of documents in a batch that is put out.
 _PLACES, _PAIRS = 1 << 15, 1 << 18
@@ -104,6 +104,81 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def met_at_seeds(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(seed, doc, pos, crowded, heads) of each place of a seed that several documents hold; heads has (head, y) of the least document of each lane but doc itself.
+
+    Seeds are dealt once, and all that is asked of a seed is told where its places
+    lie side by side. Seeds of more than HOT_SEED places, by the count in one
+    document of SHARE, aren't dealt: their heads are aggregated and sent to the places.
+    """
+    found = seeds(docs)
+    hot = seeds(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SHARE)) == 0)).groupBy("seed").count().where(F.col("count") * SHARE > HOT_SEED).select("seed")
+    hot = scratch.save(hot, "hot")  # at most places / HOT_SEED or so
+    n_hot = hot.count()
+    few = lambda t: F.broadcast(t) if n_hot <= BROADCAST_IDS else t
+    lane = F.pmod(F.xxhash64("doc"), F.lit(LANES))
+    kind = docs.schema["doc"].dataType
+    heads = T.ArrayType(T.StructType([T.StructField("head", kind), T.StructField("y", T.IntegerType())]))
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc", kind), T.StructField("pos", T.IntegerType()), T.StructField("crowded", T.BooleanType()), T.StructField("heads", heads)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            seed = batch.column("seed").to_numpy()
+            last = int(np.searchsorted(seed, seed[-1])) if len(seed) else 0
+            if last or held and len(seed) and held[-1].column("seed")[-1].as_py() != seed[0]:
+                yield from emit([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        yield from emit(held)
+
+    def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(parts) if parts else None
+        if not part or not part.num_rows:
+            return
+        seed, doc, pos, lane = (part.column(c).to_numpy() for c in ("seed", "doc", "pos", "lane"))
+        start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        n = np.diff([*start, len(seed)])
+        several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+        if not several.any():
+            return
+        kept = np.repeat(several, n)
+        seed, doc, pos, lane, n = seed[kept], doc[kept], pos[kept], lane[kept], n[several]
+        of = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((pos, doc, of))
+        doc, pos, lane = doc[order], pos[order], lane[order]
+        order = np.lexsort((lane, of))  # stable: documents rise within a lane
+        first = np.flatnonzero(np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (lane[order][1:] != lane[order][:-1])]))
+        size = np.diff([*first, len(order)])
+        head, y, last, group = doc[order[first]], pos[order[first]], doc[order[first + size - 1]], of[order[first]]
+        lanes = np.bincount(group, minlength=len(n))
+        pair = np.zeros(len(n), bool)
+        pair[group] = (size == 2) & (head < last)
+        crowded = (n > lanes) & ~(pair & (lanes == 1))
+        begin = np.cumsum(lanes) - lanes  # of a seed's heads
+        for a in range(0, len(of), 1 << 16):
+            g = of[a : a + (1 << 16)]
+            m = lanes[g]
+            row = np.repeat(np.arange(len(g)), m)
+            at = np.arange(len(row)) + np.repeat(begin[g] - np.cumsum(m) + m, m)
+            other = head[at] != doc[a : a + len(g)][row]
+            at, m = at[other], np.bincount(row[other], minlength=len(g))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(head[at]), pa.array(y[at])], ["head", "y"]))
+            yield pa.record_batch([pa.array(seed[a : a + len(g)]), pa.array(doc[a : a + len(g)]), pa.array(pos[a : a + len(g)]), pa.array(crowded[g]), lists], schema.fieldNames())
+
+    if not n_hot:
+        return found.repartition("seed").sortWithinPartitions("seed").withColumn("lane", lane).mapInArrow(run, schema)
+    found = scratch.save(found, "seeds")
+    rare = found.join(few(hot), "seed", "left_anti")
+    rare = rare.repartition("seed").sortWithinPartitions("seed").withColumn("lane", lane).mapInArrow(run, schema)
+    often = found.join(few(hot), "seed", "left_semi")
+    least = often.groupBy("seed", lane.alias("lane")).agg(F.min(F.struct("doc", "pos")).alias("h"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    pair = (F.count("*") == 1) & (F.max("n") == 2) & F.max(F.col("h.doc") < F.col("last"))
+    per = least.groupBy("seed").agg(F.collect_list(F.struct(F.col("h.doc").alias("head"), F.col("h.pos").alias("y"))).alias("all"), ((F.sum("n") > F.count("*")) & ~pair).alias("crowded"), F.min("h.doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
+    often = often.join(few(scratch.save(per.select("seed", "all", "crowded"), "heads")), "seed").select("seed", "doc", "pos", "crowded", F.filter("all", lambda h: h["head"] != F.col("doc")).alias("heads"))
+    return rare.unionByName(often)
+
+
 class _Fenwick:
     """Greatest entry among the first ranks, as entries come; each entry is (value, match)."""
 
@@ -135,19 +210,34 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple[int, int, int,
     match of the greatest f + cost * (x + y) among all that come before on both
     sides, which is the best in reach if it is in reach. Where a long chain that
     ended out of reach comes out instead, the matches in reach are looked
-    through. The tree begins anew where all it holds is out of reach in x. A
+    through. Matches of one diagonal need none of this. The tree begins anew where all it holds is out of reach in x. A
     match that overlaps its predecessor adds only the words it adds.
     """
     order = np.lexsort((-y, x))
     x, y = x[order], y[order]
     score, back, used = [0.0] * len(x), [-1] * len(x), [False] * len(x)
     xs, ys = x.tolist(), y.tolist()
-    place = {v: n for n, v in enumerate(sorted(set(ys)))}
-    rank = [place[v] for v in ys]
+    straight = (np.diff(x) > 0).all() and (np.diff(y - x) == 0).all()
+    if straight:  # the match before is the best predecessor of all, as every match on the way adds more than its place costs
+        gained = score[0] = float(k)
+        for m, d in enumerate(np.diff(x).tolist(), 1):
+            gained = gained + min(k, d) - GAP_COST * (2 * max(0, d - k)) if d <= MAX_GAP + k else 0.0
+            if gained > k:
+                back[m] = m - 1
+            else:
+                gained = float(k)
+            score[m] = gained
+        if back.count(-1) == 1 and score[-1] > max(score[:-1], default=0.0):
+            return [(xs[0], xs[-1] + k, ys[0], ys[-1] + k, score[-1], xs, ys)]
+    dense = not straight and len(xs) >= 24 * len(set(xs))
+    if dense:
+        _dense(x.astype(np.int64), y.astype(np.int64), k, score, back)
+    place = {} if straight or dense else {v: n for n, v in enumerate(sorted(set(ys)))}
+    rank = [] if straight or dense else [place[v] for v in ys]
     reach = MAX_GAP + k
     tree = _Fenwick(len(place))
     i = old = 0
-    while i < len(xs):
+    while i < len(xs) and not straight and not dense:
         if i and xs[i - 1] < xs[i] - reach:
             tree = _Fenwick(len(place))
         while xs[old] < xs[i] - reach:
@@ -182,13 +272,54 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple[int, int, int,
     return out
 
 
+def _dense(xs: np.ndarray, ys: np.ndarray, k: int, score: list[float], back: list[int]) -> None:
+    """Scores and best predecessors of chain(), a column of one x at a time, for matches that are many to an x."""
+    _, rank = np.unique(ys, return_inverse=True)
+    n, reach = len(xs), MAX_GAP + k
+    begin = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]])).tolist()
+    value, match = np.full(int(rank.max()) + 1, -1e18), np.full(int(rank.max()) + 1, -1)  # of each y, the greatest and the latest of equals
+    f, prev, old = np.zeros(n), np.full(n, -1), 0
+    for i, j in zip(begin, [*begin[1:], n], strict=True):
+        x, y, r = int(xs[i]), ys[i:j], rank[i:j]
+        if i and xs[i - 1] < x - reach:
+            value[:], match[:] = -1e18, -1
+        while xs[old] < x - reach:
+            old += 1
+        best = np.maximum.accumulate(value)
+        new = np.cumsum(np.concatenate([[False], best[1:] > best[:-1]]))
+        latest = np.maximum.accumulate(new * n + np.where(value == best, match, 0)) % n
+        m = np.where((r > 0) & (best[r - 1] > -1e17), latest[r - 1], -1)
+        for t in np.flatnonzero((m >= 0) & ((m < old) | (ys[m] < y - reach))).tolist():
+            near = old + np.flatnonzero((ys[old:i] >= y[t] - reach) & (ys[old:i] < y[t]))
+            total = f[near] + GAP_COST * (xs[near] + ys[near])
+            m[t] = near[len(near) - 1 - int(np.argmax(total[::-1]))] if len(near) else -1
+        dx, dy = x - xs[m], y - ys[m]
+        gain = f[m] + np.minimum(k, np.minimum(dx, dy)) - GAP_COST * (np.maximum(0, dx - k) + np.maximum(0, dy - k))
+        good = (m >= 0) & (gain > k)
+        f[i:j], prev[i:j] = np.where(good, gain, float(k)), np.where(good, m, -1)
+        total = f[i:j] + GAP_COST * (x + y)
+        for t in range(j - i) if (r[1:] == r[:-1]).any() else ():  # a match that is there twice
+            if total[t] >= value[r[t]]:
+                value[r[t]], match[r[t]] = total[t], i + t
+        more = total >= value[r]
+        value[r[more]], match[r[more]] = total[more], np.arange(i, j)[more]
+    score[:], back[:] = f.tolist(), prev.tolist()
+
+
 def _chains_of(doc: np.ndarray, head: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
     """Chains of one or more whole groups (doc, head): (row of the group, x from, x to, y from, y to, bytes of the matches' x, and y, as int32)."""
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])]))
     stop = np.concatenate([new[1:], [len(doc)]])
+    step = np.diff(x, prepend=x[:1])
+    good = (step > 0) & (GAP_COST * 2 * (step - K) < K) & (np.diff(y, prepend=y[:1]) == step)
+    good[new] = True
+    plain = np.logical_and.reduceat(good, new)  # on one diagonal, and so near that each match adds to the chain
+    x4, y4 = x.astype(np.int32), y.astype(np.int32)
     out = []
-    for a, b in zip(new.tolist(), stop.tolist(), strict=True):
-        if b - a > 1:
+    for a, b, one in zip(new.tolist(), stop.tolist(), plain.tolist(), strict=True):
+        if b - a > 1 and one:
+            out.append((a, int(x[a]), int(x[b - 1]) + K, int(y[a]), int(y[b - 1]) + K, x4[a:b].tobytes(), y4[a:b].tobytes()))
+        elif b - a > 1:
             out += [(a, *c[:4], *(np.array(v, np.int32).tobytes() for v in c[5:])) for c in chain(x[a:b], y[a:b]) if len(c[5]) > 1]
     return out
 
@@ -328,6 +459,45 @@ def align(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, k: int =
     return np.concatenate(px), np.concatenate(py)
 
 
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of bytes, and where each row's begin (one more than rows)."""
+    column = column.cast(pa.large_binary())
+    cut = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.dtype(kind).itemsize
+    if column.buffers()[2] is None or cut[0] == cut[-1]:
+        return np.zeros(1, kind), (cut - cut[0]) // width
+    return np.frombuffer(column.buffers()[2], np.uint8)[cut[0] : cut[-1]].view(kind), (cut - cut[0]) // width
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """_extend() for many pairs of runs at once: how far those at x[i], y[j], of n words each, go on agreeing forwards or backwards."""
+    out = np.zeros(len(n), np.int64)
+    for a in range(0, len(n), 2048):
+        m = n[a : a + 2048]
+        if not (width := int(m.max())):
+            continue
+        k = np.arange(width)
+        inside = k < m[:, None]
+        at = np.where(inside, k * step, 0)
+        near = [np.minimum(v[a : a + 2048], len(w) - 1)[:, None] + at for v, w in ((i, x), (j, y))]  # runs of no words may begin beyond the end
+        total = np.cumsum(np.where(inside, np.where(x[near[0]] == y[near[1]], 1, -2), -width), axis=1)
+        best = np.argmax(total, axis=1)
+        out[a : a + 2048] = np.where(np.take_along_axis(total, best[:, None], 1)[:, 0] > 0, best + 1, 0)
+    return out
+
+
+def _too_short(x: pa.Array, y: pa.Array, sx: pa.Array, sy: pa.Array, xlo: np.ndarray, ylo: np.ndarray, min_words: int, k: int = K) -> np.ndarray:
+    """Of chains, which align fewer than min_words words: align() goes from the left extension to the right one at most."""
+    (wx, xcut), (wy, ycut), (px, cut), (py, _) = _values(x, np.uint32), _values(y, np.uint32), _values(sx, np.int32), _values(sy, np.int32)
+    i, j, iend, jend = px[cut[:-1]] - xlo, py[cut[:-1]] - ylo, px[cut[1:] - 1] - xlo + k, py[cut[1:] - 1] - ylo + k
+    at = np.flatnonzero((iend <= np.diff(xcut)) & (jend <= np.diff(ycut)))
+    left = _agreeing(wx, wy, (xcut[:-1] + i - 1)[at], (ycut[:-1] + j - 1)[at], np.minimum(i, j)[at], -1)
+    right = _agreeing(wx, wy, (xcut[:-1] + iend)[at], (ycut[:-1] + jend)[at], np.minimum(np.diff(xcut) - iend, np.diff(ycut) - jend)[at], 1)
+    out = np.zeros(len(i), bool)
+    out[at] = left + np.minimum(iend - i, jend - j)[at] + right < min_words
+    return out
+
+
 def passages(px: np.ndarray, py: np.ndarray, min_words: int, min_similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(x from, x to, y from, y to, similarity): the whole alignment if it is long and similar enough, else the parts that are.
 
@@ -523,6 +693,10 @@ def aligned(runs: DataFrame, docs: DataFrame, scratch: Scratch, min_words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            short = _too_short(*(batch.column(c) for c in ("xs", "ys", "sx", "sy")), *(batch.column(c).to_numpy() for c in ("xlo", "ylo")), min_words)
+            batch = batch.filter(pa.array(~short))
             cols = [batch.column(c).to_numpy() for c in ("x1", "y1", "xlo", "xhi", "ylo")]
             parts = [batch.column(c) for c in ("xs", "ys", "sx", "sy")]
             rows = []
@@ -660,111 +834,178 @@ def meeting(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return keys.join(F.broadcast(ends) if few else ends, "key").where("mine or doc < hi").select("key", "doc", "mine", "n")
 
 
-def _met(keys: DataFrame, many: int | None, marks: bool = False) -> DataFrame:
-    """(doc, head): each document of (key, doc, mine, ..) that is mine with each lesser one of its key; of keys of over ``many`` documents, with the least.
-
-    With marks, (doc, head, mine, key, line, k), and also the rows of such keys as they are, without head.
-    """
-    kind = keys.schema["doc"].dataType
-    more = ["mine", "key", "line", "k"] if marks else []
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("head", kind), *[keys.schema[c] for c in more]])
+def _by_key(keys: DataFrame, schema: T.StructType, emit) -> DataFrame:
+    """emit() of one or more whole keys of the rows at a time, each sorted by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            last = int(np.searchsorted(held.column("key").to_numpy(), batch.column("key")[-1].as_py())) if batch.num_rows else 0
-            if last:
-                yield from emit(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from emit(held)
+            key = batch.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last or held and len(key) and held[-1].column("key")[-1].as_py() != key[0]:
+                yield from emit(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+                held = []
+            if len(key):
+                held.append(batch.slice(last))
+        if held:
+            yield from emit(pa.Table.from_batches(held).combine_chunks())
+
+    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, schema)
+
+
+def _pairs(key: np.ndarray, doc: np.ndarray, mine: np.ndarray, many: int | None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(doc, head), in parts: each document that is mine with each lesser one of its key; of keys of over ``many`` documents, with the least. And which rows have such a key.
+
+    Rows are sorted by key and document.
+    """
+    if not len(key):
+        return [], np.zeros(0, bool)
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))  # a document of a key once
+    row_of = np.repeat(np.arange(len(new)), np.diff([*new, len(key)]))
+    mine = np.logical_or.reduceat(mine, new)
+    key, doc = key[new], doc[new]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff([*begin, len(key)])
+    start = np.repeat(begin, sizes)  # the least document of a row's key
+    lesser = mine & (start < np.arange(len(key)))
+    crowd = np.zeros(len(key), bool) if many is None else np.repeat((sizes > many) & np.logical_or.reduceat(lesser, begin), sizes)
+    out = []
+    at = np.flatnonzero(lesser & ~crowd)
+    n = at - start[at]
+    for t in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // _PAIRS)) + 1):
+        if len(t):
+            m = n[t]
+            out.append((np.repeat(doc[at[t]], m), doc[np.arange(m.sum()) + np.repeat(start[at[t]] - np.cumsum(m) + m, m)]))
+    at = np.flatnonzero(lesser & crowd)
+    return [*out, (doc[at], doc[start[at]])], crowd[row_of]
+
+
+def _pair_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("doc", kind), T.StructField("head", kind)])
+
+
+def _met(keys: DataFrame, many: int) -> DataFrame:
+    """(doc, head) of _pairs() of (key, doc, mine)."""
 
     def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, doc, mine = (part.column(c).to_numpy() for c in ("key", "doc", "mine"))
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))  # a document of a key once
-        row_of = np.repeat(np.arange(len(new)), np.diff([*new, len(key)]))
-        mine = np.logical_or.reduceat(mine, new)
-        key, doc = key[new], doc[new]
-        start = np.searchsorted(key, key)  # the least document of a row's key
-        stop = np.searchsorted(key, key, side="right")
-        open_ = np.concatenate([[0], np.cumsum(mine & (start < np.arange(len(key))))])
-        crowd = np.zeros(len(key), bool) if many is None else (stop - start > many) & (open_[stop] > open_[start])
-        at = np.flatnonzero(mine & ~crowd & (start < np.arange(len(key))))
-        n = at - start[at]
-        group = np.cumsum(n) // _PAIRS
-        for t in np.split(np.arange(len(at)), np.flatnonzero(np.diff(group)) + 1):
-            if len(t):
-                m = n[t]
-                yield out(np.repeat(doc[at[t]], m), doc[np.arange(m.sum()) + np.repeat(start[at[t]] - np.cumsum(m) + m, m)])
-        at = np.flatnonzero(mine & crowd & (start < np.arange(len(key))))
-        yield out(doc[at], doc[start[at]])
-        if marks and (rows := np.flatnonzero(crowd[row_of])).size:
-            got = part.take(pa.array(rows)).combine_chunks()
-            cols = [got.column(c).combine_chunks() for c in ("doc", *more)]
-            yield pa.record_batch([cols[0], pa.nulls(len(rows), cols[0].type), *cols[1:]], ["doc", "head", *more])
-
-    def out(doc: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
-        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int32())[: len(more)]
-        return pa.record_batch([pa.array(doc), pa.array(head), *[pa.nulls(len(doc), t) for t in types]], ["doc", "head", *more])
+        for doc, head in _pairs(*(part.column(c).to_numpy() for c in ("key", "doc", "mine")), many)[0]:
+            yield pa.record_batch([pa.array(doc), pa.array(head)], ["doc", "head"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, schema)
+    return _by_key(keys, _pair_schema(keys.schema["doc"].dataType), emit)
 
 
 def words_around(marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, doc, mine, line, k): the runs of three words around each pair of seeds that (doc, places, spans, keys) names, as keys of their own.
+    """(key, doc, size, lo, words, at, to, mine): for each pair of seeds that (doc, places, spans, keys) names, the words around its places.
 
-    There is a key for each pair of seeds, side (before the first, after the last,
-    after the first up to the last), distance k in words and run of words, and one
-    for the pair and its length. A line is one side of one place of a pair.
+    size is the number of the document's words, words has those from lo on
+    (uint32), and at, to and mine tell of the pair's places in that stretch. Places
+    far apart are rows of their own.
     """
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", marked.schema["doc"].dataType), T.StructField("mine", T.BooleanType()), T.StructField("line", T.LongType()), T.StructField("k", T.IntegerType())])
+    kind = marked.schema["doc"].dataType
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", kind), T.StructField("size", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("at", ints), T.StructField("to", ints), T.StructField("mine", T.ArrayType(T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, row, *places in _marked_places(batch):
                 data, offsets = flat(part.column("text"))
                 starts, ends, cut = word_spans(data, offsets)
-                grams, sizes = _run_hashes(word_hashes(data, starts, ends), 3), np.diff(cut)
-                doc, pos = part.column("doc").to_numpy(), places[1]
+                h, sizes, pos = (word_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32), np.diff(cut), places[1]
                 i, j, key, mine = _keyed(row, *places)
-                named = _held(row[i], key, part.column("keys")) & (pos[j] + K <= sizes[row[i]])  # not the places of another row with the same id
-                i, j, key, mine = i[named], j[named], key[named], mine[named]
-                inner = np.maximum(0, pos[j] - pos[i] - K)
-                far = np.stack([np.minimum(pos[i], SIDE), np.minimum(sizes[row[i]] - K - pos[j], SIDE), inner, np.ones_like(inner)])
-                at = np.stack([pos[i] - 1, pos[j] + K - 2, pos[i] + K - 2, pos[j] - pos[i]])  # of the nearest run, but the length in the last
-                for side in range(4):
-                    lines = np.stack([row[i], key, at[side], far[side], mine])
-                    order = np.lexsort(lines)
-                    lines = lines[:, order]
-                    new = np.flatnonzero(np.concatenate([[True], (lines[:4, 1:] != lines[:4, :-1]).any(axis=0)]) if lines.shape[1] else np.zeros(0, bool))
-                    if not len(new):
-                        continue
-                    own = np.logical_or.reduceat(lines[4].astype(bool), new)
-                    lines = lines[:4, new]
-                    for a in range(0, len(new), BLOCK):
-                        r, of, near, n = lines[:, a : a + BLOCK]
-                        which = np.repeat(np.arange(len(r)), n)
-                        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + 1
-                        line = mix64(mix64(of.view(np.uint64) + np.uint64(side)) * _ODD[0] + doc[r].astype(np.uint64) * _ODD[1] + near.astype(np.uint64))
-                        said = near[which].astype(np.uint64) if side == 3 else grams[cut[r[which]] + near[which] + (1 - k if side == 0 else k - 1)]
-                        got = mix64(mix64(said) * _ODD[0] + mix64(of[which].view(np.uint64) + np.uint64(side)) * _ODD[1] + k.astype(np.uint64))
-                        yield pa.record_batch([pa.array(got.view(np.int64)), pa.array(doc[r[which]]), pa.array(own[a : a + BLOCK][which]), pa.array(line.view(np.int64)[which]), pa.array(k.astype(np.int32))], schema.fieldNames())
+                named = np.flatnonzero(_held(row[i], key, part.column("keys")) & (pos[j] + K <= sizes[row[i]]))  # not the places of another row with the same id
+                named = named[np.lexsort((pos[j[named]], pos[i[named]], key[named], row[i[named]]))]
+                if not len(named):
+                    continue
+                r, key, at, to, mine = row[i[named]], key[named], pos[i[named]], pos[j[named]], mine[named]
+                far = np.concatenate([[True], (r[1:] != r[:-1]) | (key[1:] != key[:-1]) | (np.diff(at) > MAX_GAP + 2 * (K + SIDE))])
+                new = np.flatnonzero(far)
+                lists = np.concatenate([new, [len(r)]]).astype(np.int32)
+                lo = np.maximum(0, at[new] - SIDE)
+                hi = np.minimum(sizes[r[new]], np.maximum.reduceat(to, new) + K + SIDE)
+                words = [h[a:b].tobytes() for a, b in zip((cut[r[new]] + lo).tolist(), (cut[r[new]] + hi).tolist(), strict=True)]
+                cols = [pa.array(key[new]), part.column("doc").take(pa.array(r[new])), pa.array(sizes[r[new]].astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(words, pa.binary())]
+                yield pa.record_batch([*cols, *[pa.ListArray.from_arrays(pa.array(lists), pa.array(v)) for v in (at.astype(np.int32), to.astype(np.int32), mine)]], schema.fieldNames())
 
     return texts.join(marked, "doc").select("doc", "text", "places", "spans", "keys").mapInArrow(run, schema)
 
 
-def _met_by_words(around: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, head) of (key, doc, mine, line, k): documents that agree in a run of words around a pair of seeds.
+def _agree(doc: np.ndarray, near: np.ndarray, far: np.ndarray, mine: np.ndarray, grams: np.ndarray, step: int, many: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(doc, head) by runs of words on one side of a pair of seeds; a line begins at grams[near] and goes on for ``far`` runs, forwards or backwards.
 
-    Runs of words of many documents next to a line's seeds, with nothing between
-    that fewer have, are the quoted line itself: there the least document is
-    met. Other runs of many are met by all that have them.
+    Runs of over ``many`` documents next to the seeds, with nothing between that
+    fewer have, are the quoted line itself: there the least document is met. Other
+    runs of many are met by all that have them.
     """
-    met = scratch.save(_met(around, MANY, marks=True), "met")
-    beyond = met.where("head is null").withColumn("nth", F.row_number().over(Window.partitionBy("line").orderBy("k"))).where("nth < k")
-    return met.where("head is not null").select("doc", "head").unionByName(_met(beyond.select("key", "doc", "mine"), None)).distinct()
+    lines = np.stack([doc, near, far])
+    order = np.lexsort((mine, *lines[::-1]))
+    lines, mine = lines[:, order], mine[order]
+    new = np.flatnonzero(np.concatenate([[True], (lines[:, 1:] != lines[:, :-1]).any(axis=0)]))
+    mine = np.logical_or.reduceat(mine, new)
+    doc, near, far = lines[:, new]
+    quoted = np.ones(len(doc), bool)  # so far
+    wide, k = max(1, block // len(doc)), 0
+    while k < far.max():
+        on = np.flatnonzero(far > k)
+        ks = np.arange(k, min(k + wide, int(far.max())))
+        inside = ks < far[on][:, None]
+        line, nth = np.nonzero(inside)
+        said = mix64(grams[near[on][line] + step * ks[nth]]) + ks[nth].astype(np.uint64)
+        order = np.argsort(said, kind="stable")
+        line, nth, said = line[order], nth[order], said[order]
+        same = said[1:] == said[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        line, nth, said = line[some], nth[some], said[some]
+        found, crowd = _pairs(said, doc[on[line]], mine[on[line]], many)
+        yield from found
+        full = ~inside  # what lies beyond a line's end is as good as quoted
+        full[line[crowd], nth[crowd]] = True
+        before = np.logical_and.accumulate(np.concatenate([quoted[on][:, None], full], axis=1), axis=1)
+        quoted[on] = before[:, -1]
+        beyond = crowd & ~before[line, nth]
+        yield from _pairs(said[beyond], doc[on[line[beyond]]], mine[on[line[beyond]]], None)[0]
+        k += wide
+
+
+def _met_by_words(around: DataFrame, many: int) -> DataFrame:
+    """(doc, head) of words_around(): documents that agree in three words at one distance from a pair of seeds, or in the pair's length."""
+    block = BLOCK
+
+    def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = part.column("key").to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            held = [np.zeros((2, 0), np.int64)]
+            for found in one(part.slice(a, b - a)):
+                held.append(np.stack(found))
+                if sum(v.shape[1] for v in held) > 4 * _PAIRS:
+                    held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                    if held[0].shape[1] > 2 * _PAIRS:
+                        yield out(held.pop())
+            if pairs := held:
+                yield out(np.unique(np.concatenate(pairs, axis=1), axis=1))
+
+    def one(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        part = part.combine_chunks()
+        column = lambda c: pa.concat_arrays(part.column(c).chunks)
+        row, at = _lists(column("at"))
+        to, mine = (_lists(column(c))[1].to_numpy(zero_copy_only=False) for c in ("to", "mine"))
+        at, (words, cut) = at.to_numpy(), _values(column("words"), np.uint32)
+        doc, size, lo = (part.column(c).to_numpy().astype(np.int64)[row] for c in ("doc", "size", "lo"))
+        grams, of = _run_hashes(words.astype(np.uint64), 3), cut[row] - lo
+        inner = np.maximum(0, to - at - K).astype(np.int64)
+        for near, far, step in ((of + at - 1, np.minimum(at, SIDE), -1), (of + to + K - 2, np.minimum(size - K - to, SIDE), 1), (of + at + K - 2, inner, 1)):
+            on = np.flatnonzero(far > 0)
+            if len(on):
+                yield from _agree(doc[on], near[on], far[on].astype(np.int64), mine[on], grams, step, many, 256 * block)
+        length = (to - at).astype(np.int64)
+        order = np.lexsort((doc, length))
+        yield from _pairs(length[order], doc[order], mine[order], many)[0]
+
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(v).cast(kind) for v in pairs], ["doc", "head"])
+
+    kind = pa.int64() if isinstance(around.schema["doc"].dataType, T.LongType) else pa.int32()
+    return _by_key(around, _pair_schema(around.schema["doc"].dataType), emit).distinct()
 
 
 def chains_of_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -830,7 +1071,7 @@ def rest_of_passages(marked: DataFrame, docs: DataFrame, scratch: Scratch, min_w
     named = marked.join(often, "doc").join(more, "doc", "left").select("doc", "places", F.when(F.col("more").isNull(), F.col("spans")).when(F.col("spans").isNull(), F.col("more")).otherwise(F.concat("spans", "more")).alias("spans"), "keys")
     named = scratch.save(named, "named")
     texts = pick_ids(docs, named.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
-    again = _met_by_words(words_around(named, texts), scratch)
+    again = _met_by_words(words_around(named, texts), MANY)
     again = scratch.save(again.join(pairs, ["doc", "head"], "left_anti"), "again")
     return found.unionByName(aligned_pairs(again, named))
 
@@ -840,27 +1081,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).where("doc is not null and text is not null")
-    found = seeds(docs)
-    several = scratch.save(found.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("seed", F.ceil(F.col("n") / HOT_SEED).cast("int").alias("salts")), "several")
-    hot = several.where("salts > 1")
-    n_hot = hot.count()
-    every = lambda t: t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    if n_hot:
-        found = found.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    else:
-        found = found.withColumn("salt", F.lit(0))
-    places = scratch.save(found.join(every(several), ["seed", "salt"]), "places")
-    lane = F.pmod(F.xxhash64("doc"), F.lit(LANES))
-    heads = places.groupBy("seed", lane.alias("lane")).agg(F.min(F.struct("doc", "pos")).alias("h"), F.max("doc").alias("last"), F.count("*").alias("n"), F.max("salts").alias("salts"))
-    heads = scratch.save(heads.select("seed", F.col("h.doc").alias("head"), F.col("h.pos").alias("y"), "last", "n", "salts"), "heads")
-    pair = (F.count("*") == 1) & (F.max("n") == 2) & F.max(F.col("head") < F.col("last"))
-    crowded = heads.groupBy("seed").agg(((F.sum("n") > F.count("*")) & ~pair).alias("crowded"), F.max("salts").alias("salts")).where("crowded")
-    marked = places.select("seed", "salt", "doc", "pos").join(every(crowded).select("seed", "salt", "crowded"), ["seed", "salt"], "left")
-    marked = marked.groupBy("doc").agg(F.collect_list(F.struct("seed", "pos", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("places"), F.max("crowded").alias("some")).where("some").drop("some")
+    met = scratch.save(met_at_seeds(docs, scratch), "places")
+    marked = met.groupBy("doc").agg(F.collect_list(F.struct("seed", "pos", "crowded")).alias("places"), F.max("crowded").alias("some")).where("some").drop("some")
     marked = scratch.save(marked, "marked")
-    matches = places.select("seed", "salt", "doc", "pos").join(every(heads.select("seed", "head", "y", "salts")), ["seed", "salt"]).where("doc <> head").select("doc", "head", F.col("pos").alias("x"), "y")
+    matches = met.select("doc", F.col("pos").alias("x"), F.explode("heads").alias("h")).select("doc", F.col("h.head").alias("head"), "x", F.col("h.y").alias("y"))
     runs_table = scratch.save(chains(matches), "chains")
-    scratch.drop(several, places, heads)
+    scratch.drop(met)
     found = aligned(runs_table, docs, scratch, min_words, min_similarity)
     again = pick_ids(docs, marked.select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
     split = marked.select("doc", F.expr("transform(filter(places, p -> p.crowded), p -> p.pos)").alias("at"), F.col("places.pos").alias("shared"))

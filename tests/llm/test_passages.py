@@ -205,3 +205,47 @@ def test_documents_that_quote_a_line_are_not_met_pair_by_pair(spark, monkeypatch
     texts |= {1000: f"{prose(953, 30)} {passage}", 2000: f"{changed(passage, 14, 'other')} {prose(954, 30)}"}
     assert any(hi - lo >= 50 for lo, hi in found(spark, texts))
     assert 0 < sum(met) <= 4 * len(texts)  # 861 pairs in all
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_of_crowded_columns_match_brute_force(seed):
+    r = np.random.default_rng(seed)
+    pairs = [(5 * a, 5 * b) for a in range(0, 40, 2) for b in range(90) if r.random() < 0.8]
+    x, y = (np.array(v) for v in zip(*pairs, strict=True))
+    score, back = [0.0] * len(x), [-1] * len(x)
+    chaining._dense(x, y, chaining.K, score, back)
+    want = brute_chain_scores(pairs, chaining.K)
+    assert score == pytest.approx([want[p] for p in pairs])
+    assert chaining.chain(x, y)[0][4] == pytest.approx(max(want.values()))
+
+
+def test_chains_too_short_are_those_that_give_no_long_alignment():
+    r = np.random.default_rng(5)
+    rows, column = [], lambda k: chaining.pa.array([v[k].tobytes() for v in rows], chaining.pa.binary())
+    while len(rows) < 200:
+        x = r.integers(0, 1 << 32, 160).astype(np.uint32)
+        y = np.where(r.random(160) < r.choice([0.05, 0.1, 0.3]), 7, x).astype(np.uint32)
+        same = np.flatnonzero([(x[p : p + 5] == y[p : p + 5]).all() for p in range(156)]).astype(np.int32)
+        at = same[(same >= 60) & (same < 90)]
+        rows += [(x, y, at, at)] if len(at) > 1 else []
+    zero = np.zeros(len(rows), np.int64)
+    short = chaining._too_short(*(column(k) for k in range(4)), zero, zero, 50)
+    assert 0 < short.sum() < len(rows)
+    for row, is_short in zip(rows, short, strict=True):
+        px, _ = chaining.align(*row)
+        assert is_short == (px[-1] - px[0] + 1 < 50)
+
+
+def test_words_around_a_stretch_are_a_row_a_document(spark, monkeypatch):
+    """Not one for each place of the stretch, side, distance and run of words."""
+    counts, whole = [], chaining.words_around
+
+    def counted(marked, texts):
+        out = whole(marked, texts)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(chaining, "words_around", counted)
+    texts = {i: f"{prose(6000 + i, 40)} {'again ' * 60}{prose(7000 + i, 40)}" for i in range(30)}
+    found(spark, texts)
+    assert counts and sum(counts) <= 4 * len(texts)
