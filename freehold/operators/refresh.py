@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.layers import Layers, null_safe
-from ..sources.work import kept
+from ..sources.work import drop_kept, kept
 from .areas import with_canonical_area
 from .marts import RENT_POINTS, SALE_POINTS, join_monthly, monthly_cells
 
@@ -89,6 +89,7 @@ class AreaMart:
         delta = kept(delta.select([F.col(f.name).cast(f.dataType) for f in layers.schema.fields]), "delta")
         layers.change(lambda _: delta, stream, batch)
         self._recompute(lookups.canonical(delta.select(*_REPORTED)).select(F.col("canonical_area_id").alias("area_id"), "month", "usage").distinct(), lookups)
+        drop_kept(delta)
 
     def redirect(self, before: Lookups, after: Lookups) -> None:
         """Recomputes the cells that rows leave or reach where redirects changed."""
@@ -115,6 +116,7 @@ class AreaMart:
             return old.join(touched, null_safe(old, touched, CELL), "left_anti").unionByName(cells.select([F.col(f.name).cast(f.dataType) for f in self.mart.schema.fields]))
 
         self.mart.replace(rows, years)
+        drop_kept(touched)
 
     def read(self, years: Iterable[int] | None = None) -> DataFrame:
         return self.mart.read(None if years is None else [str(y) for y in years])

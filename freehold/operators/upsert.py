@@ -43,10 +43,11 @@ def dedupe_natural_key(rows: DataFrame, key: Sequence[str], order: Sequence[Colu
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def guarded_upsert(stored: DataFrame, incoming: DataFrame, key: Sequence[str], update: Sequence[str]) -> DataFrame:
+def guarded_upsert(stored: DataFrame, incoming: DataFrame, key: Sequence[str], update: Sequence[str], was: bool = False) -> DataFrame:
     """Stored and new rows with ``action``: insert, update (an update column really differs) or keep.
 
-    Other columns of a stored row stay. Incoming has one row a key.
+    Other columns of a stored row stay. Incoming has one row a key. With was, also
+    the stored row as it was, a struct (null for an insert), of the same join.
     """
     s, i = stored.withColumn("_s", F.lit(True)).alias("s"), incoming.withColumn("_i", F.lit(True)).alias("i")
     changed = F.lit(False)
@@ -55,7 +56,8 @@ def guarded_upsert(stored: DataFrame, incoming: DataFrame, key: Sequence[str], u
     new, both = F.col("s._s").isNull(), F.col("s._s").isNotNull() & F.col("i._i").isNotNull()
     action = F.when(new, "insert").when(both & changed, "update").otherwise("keep")
     pick = [F.when(new | (F.col("i._i").isNotNull() & F.lit(c in update)), F.col(f"i.{c}") if c in incoming.columns else F.lit(None)).otherwise(F.col(f"s.{c}")).alias(c) for c in stored.columns]
-    return s.join(i, _null_safe(key), "full").select(*pick, action.alias("action"))
+    old = [F.when(~new, F.struct(*[F.col(f"s.{c}").alias(c) for c in stored.columns])).alias("was")] if was else []
+    return s.join(i, _null_safe(key), "full").select(*pick, action.alias("action"), *old)
 
 
 def written_counts(upserted: DataFrame) -> DataFrame:

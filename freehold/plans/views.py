@@ -17,9 +17,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def sale(spark: SparkSession, sf: str) -> DataFrame:
-    """Registered sales: one row a line item."""
-    t = lambda n: table(spark, sf, n)
+def sale(spark: SparkSession, sf: str, part: tuple[int, int] | None = None) -> DataFrame:
+    """Registered sales: one row a line item; with part (k, n), those of every n-th order from k on."""
+    own = lambda n, key: table(spark, sf, n) if part is None else table(spark, sf, n).where(F.pmod(key, F.lit(part[1])) == part[0])
+    t = lambda n: own(n, {"orders": "o_orderkey", "lineitem": "l_orderkey"}[n]) if n in ("orders", "lineitem") else table(spark, sf, n)
     # the area of an order first, so that line items are shuffled once for it
     placed = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     rows = t("lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))

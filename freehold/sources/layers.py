@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .snapshots import GRACE_SECONDS, Versions
-from .work import kept
+from .work import drop_kept, kept, tidy
 
+#: Rows of a batch up to which its keys may be sent to the stored rows; those of more meet them in one join.
+FEW_ROWS = 100_000
+#: Rows of the buckets that an upsert takes at once, as far as one has no more.
+PASS_ROWS = 600_000
 #: Deltas of a bucket from which it is written anew.
 COMPACT_AFTER = 8
 _NULL = "none"
@@ -33,6 +37,19 @@ def null_safe(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in key])
 
 
+def _passes(counts: dict[str, int]) -> list[list[str]]:
+    """Buckets in groups of at most PASS_ROWS rows, or one."""
+    out, rows = [], 0
+    for b, n in sorted(counts.items()):
+        if out and rows + n <= PASS_ROWS:
+            out[-1].append(b)
+            rows += n
+        else:
+            out.append([b])
+            rows = n
+    return out
+
+
 class Layers:
     """A table at root with the given key; bucket says how a row's bucket follows from its key columns."""
 
@@ -83,10 +100,15 @@ class Layers:
         """Writes rows by bucket; bucket -> path of those that got any."""
         folder = self.versions.new_folder()
         rows.select(*self.schema.names, self.bucket.alias("_bucket")).repartition("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(16))).write.partitionBy("_bucket").parquet(folder)
+        tidy(self.spark)
+        return self._written(folder)
+
+    def _written(self, folder: str) -> dict[str, str]:
+        """bucket -> path below a folder."""
         return {n.split("=", 1)[1]: f"{folder}/{n}" for n in self.versions.files.names(folder) if n.startswith("_bucket=")}
 
-    def change(self, make: Callable[[dict], DataFrame | None], stream: str | None = None, batch: int | None = None, note: Callable[[], str | None] = lambda: None) -> list[str]:
-        """One step: make(manifest) gives the rows to lay on top; the buckets that got some.
+    def change(self, make: Callable[[dict], DataFrame | dict[str, str] | None], stream: str | None = None, batch: int | None = None, note: Callable[[], str | None] = lambda: None) -> list[str]:
+        """One step: make(manifest) gives the rows to lay on top, or the paths of those it wrote by bucket; the buckets that got some.
 
         With stream and batch: a batch up to the last one that the stream
         committed is not done again; note() is remembered with it.
@@ -98,7 +120,7 @@ class Layers:
             if stream is not None and batch is not None and batch <= now.get("batches", {}).get(stream, [-1])[0]:
                 return None
             rows = make(now)
-            got.update(self._write(rows) if rows is not None else {})
+            got.update(self._write(rows) if isinstance(rows, DataFrame) else rows or {})
             number = now.get("changes", 0) + 1
             held = {b: {"base": x["base"], "deltas": list(x["deltas"])} for b, x in now.get("buckets", {}).items()}
             for b, path in got.items():
@@ -117,27 +139,40 @@ class Layers:
         Gives the changed rows with ``action`` and ``was``, the row before as a
         struct (null for an insert). The last batch of a stream gives the same
         again when it is replayed, and changes nothing; an older one gives None.
+        What is given is what was laid on top, so it is written once, and a large
+        batch a few buckets at a time.
         """
         from ..operators.upsert import guarded_upsert
 
         made: list[str] = []
 
-        def make(now: dict) -> DataFrame:
-            incoming = kept(rows, "incoming")  # read three times, and made once
-            stored = self.read(self.buckets_of(incoming), now)
-            same = stored.join(incoming.select(self.key), null_safe(stored, incoming, self.key), "left_semi")
-            out = guarded_upsert(same, incoming, self.key, update).where("action <> 'keep'")
-            old = same.select(F.struct(*self.schema.names).alias("was"), *[F.col(k).alias(f"_{k}") for k in self.key])
-            on = reduce(lambda a, b: a & b, [out[k].eqNullSafe(old[f"_{k}"]) for k in self.key])
+        def make(now: dict) -> dict[str, str]:
+            incoming = kept(rows, "incoming")  # made once
             made.append(self.versions.new_folder())
-            out.join(old, on, "left").drop(*[f"_{k}" for k in self.key]).write.parquet(made[-1])
-            return self.spark.read.parquet(made[-1])
+            counts = dict(map(tuple, incoming.groupBy(self.bucket.alias("b")).count().collect()))  # a row a bucket
+            for group in _passes(counts):
+                some = incoming.where(self.bucket.isin(group)) if len(group) < len(counts) else incoming
+                held = [b for b in group if b in now.get("buckets", {})]
+                if held:
+                    stored = self.read(held, now)
+                    if sum(counts[b] for b in group) <= FEW_ROWS:
+                        keys = some.select(self.key)
+                        stored = stored.join(F.broadcast(keys), null_safe(stored, keys, self.key), "left_semi")
+                    out = guarded_upsert(stored, some, self.key, update, was=True).where("action <> 'keep'")
+                else:
+                    given = [F.col(f.name) if f.name in some.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+                    out = some.select(*given, F.lit("insert").alias("action"), F.lit(None).cast(self.schema).alias("was"))
+                out.withColumn("_bucket", self.bucket).write.mode("append").partitionBy("_bucket").parquet(made[-1])
+                tidy(self.spark)
+            drop_kept(incoming)
+            return self._written(made[-1])
 
         self.change(make, stream, batch, lambda: made[-1])
         if not made and stream is not None:
             last, folder = self.versions.current()[1]["batches"][stream]
             made += [folder] if last == batch and folder else []
-        return self.spark.read.parquet(made[-1]) if made else None
+        changed = T.StructType([*self.schema.fields, T.StructField("action", T.StringType()), T.StructField("was", self.schema)])
+        return self.spark.read.schema(changed).parquet(made[-1]).drop("_bucket") if made else None
 
     def replace(self, make: Callable[[dict], DataFrame], buckets: Iterable[str]) -> None:
         """The given buckets, and those that the rows of make(manifest) belong to, become these rows; no other is touched."""

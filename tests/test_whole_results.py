@@ -1,5 +1,7 @@
 """Queries on tables of a few odd rows, held against their SQL."""
 
+import pathlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,27 @@ def test_facts_are_made_once_to_be_laid_out(spark, tmp_path):
     values = [None, float("nan"), float("-inf"), -1.5, -1.4, -0.0, 2.0, 2.1, 9.0, 9.1]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sinks._rank(F.col("v"), steps).alias("r")).collect()
     assert [r["r"] for r in got] == [0, 5, 0, 0, 1, 1, 2, 3, 4, 5]
+
+
+def test_an_upsert_writes_its_rows_once_and_leaves_no_copies(spark, tmp_path, monkeypatch):
+    """What is laid on top is what is given back; buckets one at a time change the same rows, updates tell what was."""
+    from pyspark.sql import types as T
+
+    from freehold.sources import layers
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    copies = lambda: {p.name for p in pathlib.Path(shared).iterdir() if p.name.startswith("incoming-")}
+    before = copies()
+    for rows, few in ((600_000, 100_000), (1, 0)):
+        monkeypatch.setattr(layers, "PASS_ROWS", rows)
+        monkeypatch.setattr(layers, "FEW_ROWS", few)
+        table = layers.Layers(spark, f"file://{tmp_path}/t{rows}", T.StructType.fromDDL("k bigint, v bigint"), ("k",), F.expr("pmod(k, 3)"))
+        table.upsert(spark.range(30).selectExpr("id AS k", "id AS v"), ("v",), "load", 0)
+        assert len([p for p in (tmp_path / f"t{rows}/data").iterdir()]) == 1
+        second = spark.range(20, 40).selectExpr("id AS k", "id + id % 2 AS v")
+        changed = table.upsert(second, ("v",), "load", 1)
+        want = {(k, k + k % 2, "update" if k < 30 else "insert", k if k < 30 else None) for k in range(20, 40) if k >= 30 or k % 2}
+        got = lambda c: {(r["k"], r["v"], r["action"], r["was"] and r["was"]["v"]) for r in c.collect()}
+        assert got(changed) == want == got(table.upsert(second, ("v",), "load", 1))  # a replay gives it again
+        assert {tuple(r) for r in table.read().collect()} == {(k, k + k % 2 if k >= 20 else k) for k in range(40)}
+    assert copies() == before
